@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +18,10 @@ from pyspark.sql import types as T
 
 from twinsieve.functions import fingerprints as fp
 from twinsieve.functions.paths import name_key, order_key
-from twinsieve.operators.spread import frame_star_spread, star_spread
+from twinsieve.operators.spread import SMALL_STAR, frame_star_spread, small_spread, star_spread
 from twinsieve.operators.stars import Links, greedy_stars
 from twinsieve.options import check_mode, check_threshold
-from twinsieve.plans.skew import SizedKeys
+from twinsieve.plans.skew import HOT_KEY_ROWS, SizedKeys
 from twinsieve.plans.workspace import Workspace
 
 MEMBER_COLUMNS = ["group_id", "duplicate_type", "max_distance", "path", "size", "media_type"]
@@ -71,82 +72,89 @@ def exact_members(ws: Workspace, records: DataFrame) -> DataFrame:
 class Stars:
     """Clustered nodes ``(key, rk, n, owner)`` and their groups.
 
-    A node is one distinct fingerprint, ``n`` the rows that hold it. Groups
-    have ``(owner, group_id, max_distance, n)``, those of a single row left out.
+    A node is one distinct fingerprint text, ``n`` the rows that hold it, of
+    which ``n_hot`` nodes have very many. Groups have ``(owner, group_id,
+    max_distance, n, nodes)``, those of a single row left out.
     """
 
     nodes: DataFrame
     groups: DataFrame
+    n_hot: int
 
 
-def _rank(ws: Workspace, nodes: DataFrame) -> tuple[DataFrame, int]:
-    """Add ``rk``, which orders nodes as ``ord`` does."""
-    if isinstance(nodes.schema["ord"].dataType, T.IntegralType):
-        ranked = nodes.withColumn("rk", F.col("ord").cast("bigint"))
-    else:
-        ranked = nodes.orderBy("ord").withColumn("rk", F.monotonically_increasing_id())
-    saved, seen = ws.save_counted(ranked.drop("ord"), "nodes")
-    return saved, seen["n"]
+def canonical(phash: Column | str) -> Column:
+    """Node key of a fingerprint text: 16 hex digits, or joined frames as they are."""
+    phash = F.col(phash) if isinstance(phash, str) else phash
+    return F.when(fp.is_multi(phash), phash).otherwise(fp.to_hex(fp.parse_hex(phash)))
 
 
-def single_stars(ws: Workspace, rows: DataFrame, threshold: int) -> Stars:
-    """Cluster ``rows(fp, ord)``; ``ord`` is unique and gives the order.
+def find_stars(ws: Workspace, rows: DataFrame, threshold: int) -> Stars:
+    """Cluster ``rows(phash, ord)``; ``ord`` is unique and gives the order.
 
     Copies of a fingerprint always share a star, so each is one node, placed
-    where its first row is.
+    where its first row is. Texts that do not parse match nothing, not even
+    their copies. Single fingerprints and joined frames are never compared.
     """
     check_threshold(threshold)
-    nodes, n = _rank(ws, rows.groupBy("fp").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n")))
-    if threshold == 0:
-        starred = nodes.withColumn("owner", F.col("rk"))
+    nodes = (rows.select(canonical("phash").alias("key"), "ord").where(F.col("key").isNotNull())
+             .groupBy("key").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
+             .withColumn("frames", fp.split_frames("key")).where(F.size("frames") > 0))
+    if isinstance(nodes.schema["ord"].dataType, T.IntegralType):
+        nodes = nodes.withColumn("rk", F.col("ord").cast("bigint"))
     else:
-        starred = ws.save(nodes.join(greedy_stars(Links(ws, nodes.select("rk", "fp"), n, True), threshold), "rk"),
-                          "stars")
-    return _grouped(ws, starred.withColumnRenamed("fp", "key"), fp.to_hex("key"), star_spread, "fp")
-
-
-def frame_stars(ws: Workspace, rows: DataFrame, threshold: int) -> Stars:
-    """Cluster ``rows(phash, ord)`` with joined frame fingerprints.
-
-    Rows without any frame that parses match nothing, not even their copies.
-    """
-    check_threshold(threshold)
-    nodes, _ = _rank(ws, rows.groupBy("phash").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
-                     .withColumn("frames", fp.split_frames("phash")).where(F.size("frames") > 0))
-    links, seen = ws.save_counted(nodes.select("rk", F.explode(F.array_distinct("frames")).alias("fp")), "links")
-    starred = ws.save(nodes.join(greedy_stars(Links(ws, links, seen["n"], False), threshold), "rk"), "stars")
-    return _grouped(ws, starred.withColumnRenamed("phash", "key"), F.col("key"), frame_star_spread, "frames")
-
-
-def _grouped(ws: Workspace, starred: DataFrame, text: Column, spread, measure: str) -> Stars:
-    groups = SizedKeys(ws, starred.groupBy("owner").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("nodes")).where("n >= 2"), ["owner"], "nodes", "groups")
-    ids = starred.where("rk = owner").select("owner", _group_id("perceptual", text).alias("group_id"))
-    source = starred.withColumnRenamed("key", "fp") if measure == "fp" else starred
-    wide = groups.join(source.select("owner", "rk", measure)).where("nodes > 1")
-    distances = spread(ws, wide.select("owner", "rk", measure, "nodes"))
-    table = (groups.df.join(ids, "owner").join(distances, "owner", "left")
-             .select("owner", "group_id", F.coalesce("max_distance", F.lit(0)).alias("max_distance"), "n", "nodes"))
-    return Stars(starred.select("key", "rk", "n", "owner"), ws.save(table, "groups"))
+        nodes = nodes.orderBy("ord").withColumn("rk", F.monotonically_increasing_id())
+    nodes, seen = ws.save_counted(nodes.select("key", "frames", "rk", "n"), "nodes",
+                                  multi=F.count_if(fp.is_multi("key")),
+                                  hot=F.count_if(F.col("n") > HOT_KEY_ROWS))
+    n_multi, n_single = seen["multi"], seen["n"] - seen["multi"]
+    pools = []
+    if n_single or not n_multi:
+        single = nodes.where(~fp.is_multi("key")).select("rk", F.col("frames")[0].alias("fp"), "n")
+        if threshold == 0:
+            starred = single.withColumn("owner", F.col("rk"))
+        else:
+            starred = greedy_stars(Links(ws, single, n_single, True), threshold)
+        groups = _star_groups(ws, starred.withColumnRenamed("fp", "x"), fp.to_hex("x"), star_spread)
+        pools.append((starred.select(fp.to_hex("fp").alias("key"), "rk", "n", "owner"), groups))
+    if n_multi:
+        multi = nodes.where(fp.is_multi("key"))
+        links, seen_links = ws.save_counted(
+            multi.select("rk", F.explode(F.array_distinct("frames")).alias("fp")), "links")
+        owners = greedy_stars(Links(ws, links, seen_links["n"], False), threshold)
+        starred = ws.save(multi.join(owners, "rk").withColumnRenamed("frames", "x"), "stars")
+        groups = _star_groups(ws, starred, F.col("key"), frame_star_spread)
+        pools.append((starred.select("key", "rk", "n", "owner"), groups))
+    return Stars(reduce(DataFrame.unionByName, [nodes for nodes, _ in pools]),
+                 reduce(DataFrame.unionByName, [groups for _, groups in pools]), seen["hot"] or 0)
+
+
+def _star_groups(ws: Workspace, starred: DataFrame, text: Column, spread) -> DataFrame:
+    """Groups of ``starred(rk, x, n, owner)`` with their largest distance."""
+    distance = fp.hamming("x", "y") if spread is star_spread else fp.min_frame_distance("x", "y")
+    name = F.max(F.when(F.col("rk") == F.col("owner"), F.col("key" if "key" in starred.columns else "x")))
+    counted = (starred.groupBy("owner").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("nodes"),
+                                            name.alias("key" if "key" in starred.columns else "x"))
+               .where("n >= 2").withColumn("group_id", _group_id("perceptual", text)))
+    near = small_spread(starred.select("owner", "rk", "x"), distance)
+    groups, seen = ws.save_counted(
+        counted.join(near, "owner", "left")
+        .select("owner", "group_id", F.coalesce("max_distance", F.lit(0)).alias("max_distance"), "n", "nodes"),
+        "groups", large=F.count_if(F.col("nodes") > SMALL_STAR))
+    if not seen["large"]:
+        return groups
+    large = SizedKeys(ws, groups.where(F.col("nodes") > SMALL_STAR).select("owner", "nodes"), ["owner"], "nodes")
+    wide = spread(ws, ws.save(large.join(starred.select("owner", "rk", "x")), "large"))
+    return ws.save(groups.join(wide.withColumnRenamed("max_distance", "wide"), "owner", "left")
+                   .withColumn("max_distance", F.coalesce("wide", "max_distance")).drop("wide"), "groups")
 
 
 def perceptual_members(ws: Workspace, records: DataFrame, threshold: int) -> DataFrame:
-    """Members of stars; single and joined fingerprints are never compared."""
+    """Members of the stars of ``phash``; rows without one are in no group."""
     rows = (records.where(F.col("phash").isNotNull())
-            .select("path", "size", "media_type", "phash", order_key("path").alias("ord")))
-    single = (rows.where(~fp.is_multi("phash")).withColumn("key", fp.parse_hex("phash"))
-              .where(F.col("key").isNotNull()))
-    multi = rows.where(fp.is_multi("phash")).withColumn("key", F.col("phash"))
-    found = single_stars(ws, single.select(F.col("key").alias("fp"), "ord"), threshold)
-    out = _star_members(ws, found, single)
-    if multi.isEmpty():
-        return out
-    return out.unionByName(_star_members(ws, frame_stars(ws, multi.select("phash", "ord"), threshold), multi))
-
-
-def _star_members(ws: Workspace, stars: Stars, rows: DataFrame) -> DataFrame:
+            .select("path", "size", "media_type", "phash", canonical("phash").alias("key")))
+    stars = find_stars(ws, rows.select("phash", order_key("path").alias("ord")), threshold)
     keys = stars.nodes.select("key", "owner", "n").join(stars.groups.drop("n", "nodes"), "owner")
-    sized = SizedKeys(ws, keys.select("key", "n", "group_id", "max_distance"), ["key"])
+    sized = SizedKeys(ws, keys.select("key", "n", "group_id", "max_distance"), ["key"], n_hot=stars.n_hot)
     return _members(sized.join(rows.select("key", "path", "size", "media_type")), "perceptual")
 
 

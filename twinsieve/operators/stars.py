@@ -36,20 +36,21 @@ PAIRS_PER_NODE = 64
 class Links:
     """Fingerprints of nodes: ``(rk, fp)``, one row per node and fingerprint.
 
-    ``unique`` tells that each node has one fingerprint, shared with no other.
+    ``unique`` tells that each node has one fingerprint, shared with no other;
+    then further columns of a node are carried along.
     """
 
     def __init__(self, ws: Workspace, df: DataFrame, n: int, unique: bool):
         self.ws, self.df, self.n, self.unique = ws, df, n, unique
         #: Columns that stand for a node in the tables of a run.
-        self.node = ["rk", "fp"] if unique else ["rk"]
+        self.node = df.columns if unique else ["rk"]
 
     def earliest(self, target: "Links", threshold: int) -> DataFrame:
         """Nodes with ``low``, the smallest target ``rk`` in reach, if any."""
         values = target.df.select("fp", F.col("rk").alias("val"))
         if self.unique:
             found = lowest_within(self.ws, self.df, values, self.n, target.n, threshold)
-            return self.df.join(found, "fp").select("rk", "fp", "low")
+            return self.df.join(found, "fp").select(*self.node, "low")
         values = values.groupBy("fp").agg(F.min("val").alias("val"))
         found = lowest_within(self.ws, self.df.select("fp").distinct(), values, self.n, target.n, threshold)
         return self.df.join(found, "fp").groupBy("rk").agg(F.min("low").alias("low"))
@@ -57,13 +58,13 @@ class Links:
     def of(self, nodes: DataFrame, n: int) -> "Links":
         """The links of ``n`` of the nodes."""
         if self.unique:
-            return Links(self.ws, nodes.select("rk", "fp"), n, True)
+            return Links(self.ws, nodes.select(*self.node), n, True)
         df, seen = self.ws.save_counted(self.df.join(nodes.select("rk"), "rk", "left_semi"), "links")
         return Links(self.ws, df, seen["n"], False)
 
 
 def greedy_stars(links: Links, threshold: int) -> DataFrame:
-    """``(rk, owner)`` for every node that has a link; seeds own themselves."""
+    """Nodes that have a link, with their ``owner``; seeds own themselves."""
     ws, node = links.ws, links.node
     sweep, seen = ws.save_counted(
         links.earliest(links, threshold).select(*node, (F.col("low") == F.col("rk")).alias("seed")),
@@ -71,7 +72,7 @@ def greedy_stars(links: Links, threshold: int) -> DataFrame:
     seeds, n_seeds = sweep.where("seed").select(*node), seen["seeds"]
     n_others = seen["n"] - n_seeds
     owned = sweep.where("not seed").select(*node, F.lit(None).cast("bigint").alias("owner"))
-    all_seeds = seeds.select("rk")
+    all_seeds = seeds
     while n_others:
         # The earliest seed in reach is the owner; seeds found later may be earlier.
         near = links.of(owned, n_others).earliest(links.of(seeds, n_seeds), threshold)
@@ -83,11 +84,10 @@ def greedy_stars(links: Links, threshold: int) -> DataFrame:
             break
         free = links.of(owned.where("owner is null"), seen["free"])
         seeds, n_seeds = _next_seeds(free, seen["free"], threshold)
-        all_seeds = all_seeds.unionByName(seeds.select("rk"))
+        all_seeds = all_seeds.unionByName(seeds)
         owned = owned.join(seeds.select("rk"), "rk", "left_anti")
         n_others = seen["n"] - n_seeds
-    return (owned.select("rk", "owner")
-            .unionByName(all_seeds.select("rk", F.col("rk").alias("owner"))))
+    return owned.unionByName(all_seeds.withColumn("owner", F.col("rk")))
 
 
 def _next_seeds(free: Links, n: int, threshold: int) -> tuple[DataFrame, int]:
@@ -99,7 +99,7 @@ def _next_seeds(free: Links, n: int, threshold: int) -> tuple[DataFrame, int]:
         return seeds, seen["n"]
     pairs = _node_pairs(free, threshold)
     seeds, n_seeds = _settle(ws, free.df.select("rk").distinct(), n, pairs)
-    return (free.df.join(seeds, "rk") if free.unique else seeds), n_seeds
+    return (free.df.join(seeds, "rk").select(*free.node) if free.unique else seeds), n_seeds
 
 
 def _pair_bound(free: Links, threshold: int) -> int:

@@ -14,19 +14,21 @@ MAX_HOT_KEYS = 100_000
 
 
 class SizedKeys:
-    """A written table with unique ``keys`` and the row count of each in ``rows``.
+    """A table with unique ``keys`` and the row count of each in ``rows``.
 
+    It is written out to learn how many keys are hot, unless ``n_hot`` tells.
     ``join`` attaches it to the rows it was counted from. Keys beyond
     HOT_KEY_ROWS are spread over as many tasks as their size asks for: their
-    rows get a salt and their table row is repeated once per salt. Spark picks
-    the join strategy, by the size of the written table.
+    rows get a salt and their table row is repeated once per salt.
     """
 
     def __init__(self, ws: Workspace, counted: DataFrame, keys: list[str], rows: str = "n",
-                 label: str = "keys"):
+                 label: str = "keys", n_hot: int | None = None):
         self.ws, self.keys, self.rows = ws, keys, rows
-        self.df, seen = ws.save_counted(counted, label, hot=F.count_if(F.col(rows) > HOT_KEY_ROWS))
-        self.count, self.n_hot = seen["n"], seen["hot"] or 0
+        self.df, self.n_hot = counted, n_hot
+        if n_hot is None:
+            self.df, seen = ws.save_counted(counted, label, hot=F.count_if(F.col(rows) > HOT_KEY_ROWS))
+            self.n_hot = seen["hot"] or 0
 
     def join(self, rows: DataFrame) -> DataFrame:
         if not self.n_hot or self.n_hot > MAX_HOT_KEYS:
