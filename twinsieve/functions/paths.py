@@ -86,5 +86,5 @@ def folder_index(path: Column | str, folders: Sequence[str]) -> Column:
 
 
 def path_tokens(path: Column | str) -> Column:
-    """Path split at separators, the separators kept as tokens."""
-    return F.split(_col(path), r"(?<=[\\/])|(?=[\\/])")
+    """Path split at separators, which are tokens of their own."""
+    return F.split(F.regexp_replace(_col(path), r"([\\/])", "\0$1\0"), "\0")

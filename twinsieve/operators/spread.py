@@ -1,4 +1,4 @@
-"""Largest pairwise distance inside each star."""
+"""Largest pairwise distance inside each group."""
 
 from __future__ import annotations
 
@@ -28,17 +28,17 @@ def small_spread(stars: DataFrame, distance: Column) -> DataFrame:
 
 
 def star_spread(ws: Workspace, stars: DataFrame) -> DataFrame:
-    """``(owner, max_distance)`` of large stars given as ``(owner, rk, x, nodes)``, ``x`` a fingerprint.
+    """``(owner, max_distance)`` of large groups ``(owner, rk, x, nodes)`` of fingerprints ``x``.
 
-    ``nodes`` is the size of the star. The distance is a metric, so two passes
+    ``nodes`` is the size of the group. The distance is a metric, so two passes
     from far-out nodes find a large distance and the triangle inequality
     leaves only the nodes that could take part in a larger one. Those, mostly
     none, are compared with each other.
     """
-    sizes = stars.where("rk = owner").select("owner", F.col("x").alias("seed"), "nodes")
-    members = ws.save(SizedKeys(ws, sizes, ["owner"], "nodes", "seeds").join(stars.drop("nodes"))
-                      .select("owner", "rk", "x", "nodes", hamming("x", "seed").alias("d0")), "radial")
-    # Farthest from the seed, then farthest from that one.
+    sizes = stars.groupBy("owner").agg(F.min("x").alias("origin"), F.first("nodes").alias("nodes"))
+    members = ws.save(SizedKeys(ws, sizes, ["owner"], "nodes", "origins").join(stars.drop("nodes"))
+                      .select("owner", "rk", "x", "nodes", hamming("x", "origin").alias("d0")), "radial")
+    # Farthest from any one node, then farthest from that.
     far = SizedKeys(ws, members.groupBy("owner").agg(
         F.max("d0").alias("r0"), F.max_by("x", "d0").alias("far"), F.first("nodes").alias("nodes")),
         ["owner"], "nodes", "far")

@@ -50,7 +50,7 @@ class ScanOptions:
         run gives what a full one would.
         """
         if not self.perceptual:
-            return "sha256"
+            return "names"
         strategy = self.video_strategy
         if strategy == "multi_frame":
             strategy += f":{max(self.multi_frame_count, 1)}"
