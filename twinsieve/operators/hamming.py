@@ -127,6 +127,23 @@ def similar_pairs(ws: Workspace, fps: DataFrame, n: int, threshold: int,
                         hamming("fp", "other").alias("d"))
 
 
+def similar_frame_sets(ws: Workspace, frames: DataFrame, threshold: int) -> DataFrame:
+    """``(a, b, d)``: pairs of items whose closest frames are within ``threshold``.
+
+    ``frames(item, fp)`` has a row per frame. Frames are compared once per
+    distinct fingerprint, however many items share it.
+    """
+    frames = ws.save(frames.select("item", "fp").distinct(), "frames")
+    fps, seen = ws.save_counted(frames.select("fp").distinct(), "fps")
+    near = similar_pairs(ws, fps, seen["n"], threshold)
+    both = (near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+            .unionByName(fps.select(F.col("fp").alias("a"), F.col("fp").alias("b"), F.lit(0).alias("d"))))
+    left = frames.select(F.col("fp").alias("a"), F.col("item").alias("item_a"))
+    right = frames.select(F.col("fp").alias("b"), F.col("item").alias("item_b"))
+    return (both.join(left, "a").join(right, "b").where("item_a < item_b")
+            .groupBy(F.col("item_a").alias("a"), F.col("item_b").alias("b")).agg(F.min("d").alias("d")))
+
+
 def _lowest(ws: Workspace, probe: DataFrame, target: DataFrame, n_target: int, threshold: int,
             keys: list[str] = BUCKET, by: tuple[str, ...] = ("fp",), spread: bool = True) -> DataFrame:
     met = _meet(ws, probe.drop("top"), target.drop("top"), n_target, keys, spread)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,26 +35,32 @@ def fingerprint_batch(batch: DataFrame, options: ScanOptions) -> DataFrame:
     return rows.join(image_fingerprints(batch.sparkSession, options.folders, oldest), "path", "left")
 
 
-def ingest(spark: SparkSession, options: ScanOptions, store: Snapshot, checkpoint: str,
-           fingerprints: Callable[[DataFrame, ScanOptions], DataFrame] = fingerprint_batch) -> StreamingQuery:
-    """Start a query that takes in all files not seen before, then stops.
+def ingest_stream(stream: DataFrame, store: Snapshot, checkpoint: str,
+                  fingerprints: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Start a query that stores all rows of a stream not seen before, then stops.
 
-    Upserts make a batch that is run again harmless. The file stream does
-    not notice files rewritten in place; a batch scan does.
+    ``fingerprints`` turns a batch into store rows. Upserts make a batch that
+    is run again harmless.
     """
     def take(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            store.upsert(fingerprints(batch, options))
-
-    files = None
-    for folder in regular_folders(options.folders):
-        one = (spark.readStream.format("binaryFile").schema(BINARY_FILES)
-               .option("recursiveFileLookup", True).load(folder))
-        files = one if files is None else files.unionByName(one)
-    return (files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+            store.upsert(fingerprints(batch))
+
+    return (stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def ingest_files(spark: SparkSession, options: ScanOptions, store: Snapshot, checkpoint: str) -> StreamingQuery:
+    """``ingest_stream`` of the media files below the folders of the options.
+
+    The file stream does not notice files rewritten in place; a batch scan does.
+    """
+    files = [spark.readStream.format("binaryFile").schema(BINARY_FILES)
+             .option("recursiveFileLookup", True).load(folder) for folder in regular_folders(options.folders)]
+    return ingest_stream(reduce(DataFrame.unionByName, files), store, checkpoint,
+                         lambda batch: fingerprint_batch(batch, options))
+
+
 def regular_folders(folders: Sequence[str]) -> list[str]:
     """Folders without those inside another one, so that a stream takes each file once."""
     cleaned = sorted({f.rstrip("/") for f in folders})
