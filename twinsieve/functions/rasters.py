@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 # Size of the reduced raster, and ITU-R 709 weights of grey in
 # the channel order blue, green, red.
@@ -72,7 +73,7 @@ def dhash_raster(pixels: np.ndarray) -> int:
     return int(np.packbits(brighter, bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def dhash_image(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
     """Hash of decoded images; NULL for rows that could not be decoded."""
     out = []

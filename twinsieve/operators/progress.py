@@ -76,7 +76,7 @@ def ema_rate(log: DataFrame, key: str, alpha: float = ALPHA, chunk_ms: int = CHU
     step = F.struct("t_ms", "n", "instant")
     chunks = rates.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(step)).alias("steps"))
     valid = F.filter("steps", lambda s: s.instant.isNotNull())
-    chunks = (chunks.withColumn("first", valid[0].instant)
+    chunks = (chunks.withColumn("first", F.get(valid, F.lit(0)).instant)
               .withColumn("keep", F.pow(F.lit(1 - alpha), F.size(valid)))
               .withColumn("gain", F.aggregate(valid, F.lit(0.0), lambda e, s: alpha * s.instant + (1 - alpha) * e)))
 

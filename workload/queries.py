@@ -390,13 +390,12 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
 
 def trailing_rate(spark: SparkSession, sf: str) -> DataFrame:
     rated = progress.with_share(progress.with_eta(progress.trailing_rate(_log(spark, sf), "user_id", DAY_MS)))
-    return rated.select("user_id", "t_ms", "n", F.round("rate", 6).alias("rate"),
-                        F.round("eta_s", 1).alias("eta_s"), F.round("share_pct", 6).alias("share_pct"))
+    return rated.select("user_id", "t_ms", "n", "rate", "eta_s", "share_pct")
 
 
 def ema_rate(spark: SparkSession, sf: str) -> DataFrame:
     return progress.ema_rate(_log(spark, sf), "user_id", chunk_ms=7 * DAY_MS).select(
-        "user_id", "t_ms", F.round("instant", 6).alias("instant"), F.round("ema", 6).alias("ema"))
+        "user_id", "t_ms", "instant", F.round("ema", 6).alias("ema"))
 
 
 QUERIES = {
