@@ -20,7 +20,9 @@ from twinsieve.functions.fingerprints import hamming
 from twinsieve.plans.bands import ALL_BITS, Bands, Tiles, choose_scheme, signed
 from twinsieve.plans.workspace import Workspace
 
-#: Rows (24 bytes each) up to which a side is broadcast.
+#: Fingerprints up to which a side is broadcast, whatever the scheme.
+FEW_ROWS = 2_000
+#: Rows (24 bytes each) of other tables that may be broadcast.
 BROADCAST_ROWS = 400_000
 #: A bucket is hot when it asks for more than the square of this many comparisons.
 HOT_ROWS = 50_000
@@ -29,7 +31,8 @@ LEADERS = 256
 #: Times the keys of hot buckets are lengthened before the rest is tiled.
 MAX_LEVELS = 3
 
-BUCKET = ["mask", "key"]
+#: The key comes first, as it tells rows apart where sorts look first.
+BUCKET = ["key", "mask"]
 
 
 def _long(value: int) -> Column:
@@ -55,15 +58,10 @@ def _with_keys(df: DataFrame, scheme: Bands | Tiles, probe: bool) -> DataFrame:
     return df.select(*df.columns, row.alias("mask"), F.lit(0).alias("top"), column.alias("key"))
 
 
-def _meet(ws: Workspace, probe: DataFrame, target: DataFrame, n_target: int, keys: list[str],
-          spread: bool) -> DataFrame:
-    """Equi-join on the bucket; the target side is broadcast if proven small."""
+def _meet(probe: DataFrame, target: DataFrame, keys: list[str], broadcast: bool) -> DataFrame:
+    """Equi-join on the bucket. A merge join is the fastest at going through large buckets."""
     target = target.withColumnRenamed("fp", "other")
-    if n_target <= BROADCAST_ROWS:
-        if spread:
-            probe = probe.repartition(ws.parallelism)
-        return probe.join(F.broadcast(target), keys)
-    return probe.join(target.hint("merge"), keys)
+    return probe.join(F.broadcast(target) if broadcast else target.hint("merge"), keys)
 
 
 def _hot_buckets(ws: Workspace, probe: DataFrame, target: DataFrame) -> tuple[DataFrame, int, int]:
@@ -116,7 +114,7 @@ def similar_pairs(ws: Workspace, fps: DataFrame, n: int, threshold: int,
         if n_hot:
             left, right = _tiled(left, hot, n_hot, True), _tiled(right, hot, n_hot, False)
             keys = TILED
-    met = _meet(ws, left, right.drop("top"), n * scheme.copies, keys, n > 2_000)
+    met = _meet(left, right.drop("top"), keys, n <= FEW_ROWS)
     close = met.where((F.col("fp") < F.col("other")) & (hamming("fp", "other") <= threshold))
     if isinstance(scheme, Bands):
         apart = F.col("fp").bitwiseXOR(F.col("other"))
@@ -144,9 +142,9 @@ def similar_frame_sets(ws: Workspace, frames: DataFrame, threshold: int) -> Data
             .groupBy(F.col("item_a").alias("a"), F.col("item_b").alias("b")).agg(F.min("d").alias("d")))
 
 
-def _lowest(ws: Workspace, probe: DataFrame, target: DataFrame, n_target: int, threshold: int,
-            keys: list[str] = BUCKET, by: tuple[str, ...] = ("fp",), spread: bool = True) -> DataFrame:
-    met = _meet(ws, probe.drop("top"), target.drop("top"), n_target, keys, spread)
+def _lowest(probe: DataFrame, target: DataFrame, threshold: int, keys: list[str] = BUCKET,
+            by: tuple[str, ...] = ("fp",), broadcast: bool = False) -> DataFrame:
+    met = _meet(probe.drop("top"), target.drop("top"), keys, broadcast)
     return (met.where(hamming("fp", "other") <= threshold)
             .groupBy(*by).agg(F.min("val").alias("low")))
 
@@ -169,25 +167,24 @@ def lowest_within(ws: Workspace, probe: DataFrame, target: DataFrame, n_probe: i
     n = max(n_probe, n_target)
     scheme = scheme or choose_scheme(n, threshold, ws.parallelism)
     p, t = _with_keys(probe, scheme, True), _with_keys(target, scheme, False)
-    rows = n_target * scheme.copies
     if isinstance(scheme, Tiles) or min(n_probe, n_target) * n <= HOT_ROWS**2:
-        return _lowest(ws, p, t, rows, threshold, spread=n > 2_000)
+        return _lowest(p, t, threshold, broadcast=n <= FEW_ROWS)
 
     parts = []
     p, t = p.drop("top"), t.drop("top")
     for level in range(MAX_LEVELS + 1):
         hot, n_hot, largest = _hot_buckets(ws, p, t)
         if not n_hot:
-            parts.append(_lowest(ws, p, t, rows, threshold))
+            parts.append(_lowest(p, t, threshold))
             break
-        parts.append(_lowest(ws, _in_hot(p, hot, n_hot, "left_anti"),
-                             _in_hot(t, hot, n_hot, "left_anti"), rows, threshold))
+        parts.append(_lowest(_in_hot(p, hot, n_hot, "left_anti"), _in_hot(t, hot, n_hot, "left_anti"), threshold))
         p, t = _in_hot(p, hot, n_hot, "left_semi"), _in_hot(t, hot, n_hot, "left_semi")
 
         first = F.row_number().over(Window.partitionBy(*BUCKET).orderBy("val", "fp"))
         leaders = t.withColumn("nth", first).where(F.col("nth") <= LEADERS).drop("nth")
-        found = ws.save(_lowest(ws, p, leaders, n_hot * LEADERS, threshold,
-                                by=(*BUCKET, "fp"), spread=False), "led")
+        # Broadcast, if small enough, so that a hot bucket is not gathered in one task.
+        found = ws.save(_lowest(p, leaders, threshold, by=(*BUCKET, "fp"),
+                                broadcast=n_hot * LEADERS <= BROADCAST_ROWS), "led")
         parts.append(found.select("fp", "low"))
         p, left = ws.save_counted(p.join(found, [*BUCKET, "fp"], "left_anti"), "unled")
         if not left["n"]:
@@ -195,12 +192,10 @@ def lowest_within(ws: Workspace, probe: DataFrame, target: DataFrame, n_probe: i
 
         wider = _wider_masks(ws, p, threshold, largest) if level < MAX_LEVELS else None
         if wider is None:
-            parts.append(_lowest(ws, _tiled(p, hot, n_hot, True), _tiled(t, hot, n_hot, False),
-                                 rows, threshold, keys=TILED))
+            parts.append(_lowest(_tiled(p, hot, n_hot, True), _tiled(t, hot, n_hot, False), threshold, keys=TILED))
             break
         p = ws.save(_rekey(p, wider), "wider")
-        t, grown = ws.save_counted(_rekey(t, wider), "wider")
-        rows = grown["n"]
+        t = ws.save(_rekey(t, wider), "wider")
     return (reduce(DataFrame.unionByName, parts)
             .groupBy("fp").agg(F.min("low").alias("low")))
 
