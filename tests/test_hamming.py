@@ -42,11 +42,11 @@ def check(ws, df, values, t, scheme):
     assert {r.fp: r.low for r in found} == lows
 
 
-@pytest.mark.parametrize("t", range(0, 21, 2))
+@pytest.mark.parametrize("t", [0, 1, 4, 8, 13, 20])
 def test_every_scheme_is_exact(spark, ws, t):
     values = sample(t)
     df = table(spark, values)
-    for scheme in (None, Tiles(3), band_scheme(t, 1), band_scheme(t, 2) if t < 12 else Tiles(1)):
+    for scheme in (Tiles(3), band_scheme(t, 1), *([band_scheme(t, 2)] if t < 9 else [])):
         check(ws, df, values, t, scheme)
 
 
@@ -56,8 +56,7 @@ def test_the_bound_is_inclusive_and_counts_bit_63(spark, ws):
     assert sorted((r.a, r.b) for r in found if 0 in (r.a, r.b)) == [(0, 1), (0, 3), (0, 0xFF)]
 
 
-@pytest.mark.parametrize("broadcast", [400_000, 10])
-@pytest.mark.parametrize("levels", [0, 2])
+@pytest.mark.parametrize("broadcast,levels", [(400_000, 2), (10, 0)])
 def test_hot_buckets_are_taken_apart_exactly(spark, ws, monkeypatch, broadcast, levels):
     monkeypatch.setattr(H, "HOT_ROWS", 4)
     monkeypatch.setattr(H, "LEADERS", 3)

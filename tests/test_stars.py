@@ -48,8 +48,9 @@ def test_a_chain_in_order(spark, ws, monkeypatch):
     assert owners(spark, ws, nodes, 2, True) == greedy(nodes, lambda a, b: distance(a, b) <= 2)
 
 
-@pytest.mark.parametrize("t", [0, 4, 18])
-def test_frame_sets(spark, ws, way, t):
+@pytest.mark.parametrize("t,pairs", [(0, 64), (4, 0), (18, 64)])
+def test_frame_sets(spark, ws, monkeypatch, t, pairs):
+    monkeypatch.setattr(S, "PAIRS_PER_NODE", pairs)
     rng = random.Random(4)
     nodes = []
     for i in range(50):

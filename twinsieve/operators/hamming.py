@@ -22,10 +22,14 @@ from twinsieve.plans.workspace import Workspace
 
 #: Fingerprints up to which a side is broadcast, whatever the scheme.
 FEW_ROWS = 2_000
+#: Bucket rows (32 bytes each) per task.
+TASK_ROWS = 2_000_000
 #: Rows (24 bytes each) of other tables that may be broadcast.
 BROADCAST_ROWS = 400_000
-#: A bucket is hot when it asks for more than the square of this many comparisons.
-HOT_ROWS = 50_000
+#: A bucket is hot when it asks for more than the square of this many
+#: comparisons, and is several times as large as buckets of its scheme should be.
+HOT_ROWS = 8_000
+UNEVEN = 4
 #: Lowest targets of a hot bucket that are tried first.
 LEADERS = 256
 #: Times the keys of hot buckets are lengthened before the rest is tiled.
@@ -44,18 +48,29 @@ def _tile_of(fp: str, count: Column | int) -> Column:
     return F.pmod(F.xxhash64(fp), count.cast("bigint"))
 
 
-def _with_keys(df: DataFrame, scheme: Bands | Tiles, probe: bool) -> DataFrame:
-    """Repeat rows once per bucket: adds ``mask``, ``top`` and ``key``."""
+def _with_keys(ws: Workspace, df: DataFrame, n: int, scheme: Bands | Tiles, probe: bool) -> DataFrame:
+    """Repeat rows once per bucket: adds ``mask``, ``top`` and ``key``.
+
+    Input is small next to what it grows to, so it is spread by its output;
+    ``n`` is the larger of both sides, for the same partitioning of both.
+    """
+    parts = n * scheme.copies // TASK_ROWS
+    if n > FEW_ROWS:
+        df = df.repartition(max(ws.parallelism, parts))
     if isinstance(scheme, Bands):
         choices = F.array(*[F.struct(_long(signed(m)).alias("mask"), F.lit(top).alias("top"))
                             for m, top in scheme.masks])
-        return (df.withColumn("pick", F.explode(choices))
-                .select(*df.columns, "pick.mask", "pick.top",
-                        F.col("fp").bitwiseAND(F.col("pick.mask")).alias("key")))
-    own = _tile_of("fp", scheme.count)
-    every = F.explode(F.sequence(_long(0), _long(scheme.count - 1)))
-    row, column = (own, every) if probe else (every, own)
-    return df.select(*df.columns, row.alias("mask"), F.lit(0).alias("top"), column.alias("key"))
+        keyed = (df.withColumn("pick", F.explode(choices))
+                 .select(*df.columns, "pick.mask", "pick.top",
+                         F.col("fp").bitwiseAND(F.col("pick.mask")).alias("key")))
+    else:
+        own = _tile_of("fp", scheme.count)
+        every = F.explode(F.sequence(_long(0), _long(scheme.count - 1)))
+        row, column = (own, every) if probe else (every, own)
+        keyed = df.select(*df.columns, row.alias("mask"), F.lit(0).alias("top"), column.alias("key"))
+    if parts > int(ws.spark.conf.get("spark.sql.shuffle.partitions")):
+        keyed = keyed.repartition(parts, *BUCKET)
+    return keyed
 
 
 def _meet(probe: DataFrame, target: DataFrame, keys: list[str], broadcast: bool) -> DataFrame:
@@ -64,14 +79,26 @@ def _meet(probe: DataFrame, target: DataFrame, keys: list[str], broadcast: bool)
     return probe.join(F.broadcast(target) if broadcast else target.hint("merge"), keys)
 
 
-def _hot_buckets(ws: Workspace, probe: DataFrame, target: DataFrame) -> tuple[DataFrame, int, int]:
-    """(mask, key, larger) of hot buckets, how many there are, the largest side."""
-    one, none = _long(1), _long(0)
-    sizes = (probe.select(*BUCKET, one.alias("p"), none.alias("t"))
-             .unionByName(target.select(*BUCKET, none.alias("p"), one.alias("t")))
-             .groupBy(*BUCKET).agg(F.sum("p").alias("p"), F.sum("t").alias("t"))
-             .where(F.col("p").cast("double") * F.col("t") > float(HOT_ROWS) ** 2)
-             .select(*BUCKET, F.greatest("p", "t").alias("larger")))
+def _hot_limit(scheme: Bands, n: int) -> float:
+    return max(HOT_ROWS, UNEVEN * scheme.even_bucket(n))
+
+
+def _hot_buckets(ws: Workspace, probe: DataFrame, target: DataFrame, limit: float,
+                 same: bool) -> tuple[DataFrame, int, int]:
+    """(key, mask, larger) of hot buckets, how many there are, the largest side.
+
+    With the ``same`` fingerprints on both sides one is counted.
+    """
+    if same:
+        sizes = (target.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("larger"))
+                 .where(F.col("larger") > limit))
+    else:
+        one, none = _long(1), _long(0)
+        sizes = (probe.select(*BUCKET, one.alias("p"), none.alias("t"))
+                 .unionByName(target.select(*BUCKET, none.alias("p"), one.alias("t")))
+                 .groupBy(*BUCKET).agg(F.sum("p").alias("p"), F.sum("t").alias("t"))
+                 .where(F.col("p").cast("double") * F.col("t") > float(limit) ** 2)
+                 .select(*BUCKET, F.greatest("p", "t").alias("larger")))
     hot, seen = ws.save_counted(sizes, "hot", largest=F.max("larger"))
     return hot, seen["n"], seen["largest"] or 0
 
@@ -107,10 +134,10 @@ def similar_pairs(ws: Workspace, fps: DataFrame, n: int, threshold: int,
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b"),
                           F.lit(0).alias("d")).where(F.lit(False))
     scheme = scheme or choose_scheme(n, threshold, ws.parallelism)
-    left, right = _with_keys(fps, scheme, True), _with_keys(fps, scheme, False)
+    left, right = _with_keys(ws, fps, n, scheme, True), _with_keys(ws, fps, n, scheme, False)
     keys = BUCKET
     if isinstance(scheme, Bands) and n > HOT_ROWS:
-        hot, n_hot, _ = _hot_buckets(ws, left, right)
+        hot, n_hot, _ = _hot_buckets(ws, left, right, _hot_limit(scheme, n), same=True)
         if n_hot:
             left, right = _tiled(left, hot, n_hot, True), _tiled(right, hot, n_hot, False)
             keys = TILED
@@ -145,35 +172,42 @@ def similar_frame_sets(ws: Workspace, frames: DataFrame, threshold: int) -> Data
 def _lowest(probe: DataFrame, target: DataFrame, threshold: int, keys: list[str] = BUCKET,
             by: tuple[str, ...] = ("fp",), broadcast: bool = False) -> DataFrame:
     met = _meet(probe.drop("top"), target.drop("top"), keys, broadcast)
+    if "bound" in probe.columns:
+        met = met.where("val < bound")
     return (met.where(hamming("fp", "other") <= threshold)
             .groupBy(*by).agg(F.min("val").alias("low")))
 
 
 def lowest_within(ws: Workspace, probe: DataFrame, target: DataFrame, n_probe: int, n_target: int,
-                  threshold: int, scheme: Bands | Tiles | None = None) -> DataFrame:
+                  threshold: int, scheme: Bands | Tiles | None = None, same: bool = False) -> DataFrame:
     """Per probe ``fp`` the smallest ``val`` of the targets within ``threshold``.
 
-    ``probe(fp)`` and ``target(fp, val)`` hold distinct fingerprints. Returns
-    ``(fp, low)``; probes without a target in reach are absent. A pair may meet
-    in several buckets, which a minimum does not mind.
+    ``probe(fp[, bound])`` and ``target(fp, val)`` hold distinct fingerprints;
+    only values below the bound of a probe count. Returns ``(fp, low)``; probes
+    without a target in reach are absent. A pair may meet in several buckets,
+    which a minimum does not mind. ``same`` says that both sides hold the same
+    fingerprints.
 
     Hot buckets are taken apart, exactly: most rows of a dense one are answered
     by its lowest few targets, tried first; what remains gets longer keys
     from the bits not yet fixed, and in the end tiles.
     """
-    probe, target = probe.select("fp"), target.select("fp", "val")
+    probe, target = probe.select(*[c for c in ("fp", "bound") if c in probe.columns]), target.select("fp", "val")
     if threshold == 0:
-        return probe.join(target, "fp").select("fp", F.col("val").alias("low"))
+        met = probe.join(target, "fp")
+        return (met.where("val < bound") if "bound" in probe.columns else met).select(
+            "fp", F.col("val").alias("low"))
     n = max(n_probe, n_target)
     scheme = scheme or choose_scheme(n, threshold, ws.parallelism)
-    p, t = _with_keys(probe, scheme, True), _with_keys(target, scheme, False)
+    p, t = _with_keys(ws, probe, n, scheme, True), _with_keys(ws, target, n, scheme, False)
     if isinstance(scheme, Tiles) or min(n_probe, n_target) * n <= HOT_ROWS**2:
         return _lowest(p, t, threshold, broadcast=n <= FEW_ROWS)
 
     parts = []
     p, t = p.drop("top"), t.drop("top")
     for level in range(MAX_LEVELS + 1):
-        hot, n_hot, largest = _hot_buckets(ws, p, t)
+        hot, n_hot, largest = _hot_buckets(ws, p, t, _hot_limit(scheme, n) if level == 0 else HOT_ROWS,
+                                           same and level == 0)
         if not n_hot:
             parts.append(_lowest(p, t, threshold))
             break

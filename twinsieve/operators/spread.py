@@ -35,10 +35,13 @@ def star_spread(ws: Workspace, stars: DataFrame) -> DataFrame:
     leaves only the nodes that could take part in a larger one. Those, mostly
     none, are compared with each other.
     """
-    sizes = stars.groupBy("owner").agg(F.min("x").alias("origin"), F.first("nodes").alias("nodes"))
+    # All of a star lies around its seed; any node will do for other groups.
+    seed = F.max(F.when(F.col("rk") == F.col("owner"), F.col("x")))
+    sizes = stars.groupBy("owner").agg(F.coalesce(seed, F.min("x")).alias("origin"),
+                                       F.first("nodes").alias("nodes"))
     members = ws.save(SizedKeys(ws, sizes, ["owner"], "nodes", "origins").join(stars.drop("nodes"))
                       .select("owner", "rk", "x", "nodes", hamming("x", "origin").alias("d0")), "radial")
-    # Farthest from any one node, then farthest from that.
+    # Farthest from the origin, then farthest from that.
     far = SizedKeys(ws, members.groupBy("owner").agg(
         F.max("d0").alias("r0"), F.max_by("x", "d0").alias("far"), F.first("nodes").alias("nodes")),
         ["owner"], "nodes", "far")

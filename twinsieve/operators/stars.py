@@ -55,6 +55,16 @@ class Links:
         found = lowest_within(self.ws, self.df.select("fp").distinct(), values, self.n, target.n, threshold)
         return self.df.join(found, "fp").groupBy("rk").agg(F.min("low").alias("low"))
 
+    def earliest_here(self, threshold: int) -> DataFrame:
+        """``earliest`` among these nodes; each is in its own reach."""
+        if not self.unique:
+            return self.earliest(self, threshold)
+        # Only earlier nodes are worth a row.
+        values = self.df.select("fp", F.col("rk").alias("val"))
+        found = lowest_within(self.ws, self.df.select("fp", F.col("rk").alias("bound")), values,
+                              self.n, self.n, threshold, same=True)
+        return self.df.join(found, "fp", "left").select(*self.node, F.coalesce("low", "rk").alias("low"))
+
     def of(self, nodes: DataFrame, n: int) -> "Links":
         """The links of ``n`` of the nodes."""
         if self.unique:
@@ -67,7 +77,7 @@ def greedy_stars(links: Links, threshold: int) -> DataFrame:
     """Nodes that have a link, with their ``owner``; seeds own themselves."""
     ws, node = links.ws, links.node
     sweep, seen = ws.save_counted(
-        links.earliest(links, threshold).select(*node, (F.col("low") == F.col("rk")).alias("seed")),
+        links.earliest_here(threshold).select(*node, (F.col("low") == F.col("rk")).alias("seed")),
         "sweep", seeds=F.count_if("seed"))
     seeds, n_seeds = sweep.where("seed").select(*node), seen["seeds"]
     n_others = seen["n"] - n_seeds
@@ -94,7 +104,7 @@ def _next_seeds(free: Links, n: int, threshold: int) -> tuple[DataFrame, int]:
     """More seeds among the undecided nodes: all of them if their pairs are few."""
     ws = free.ws
     if _pair_bound(free, threshold) > PAIRS_PER_NODE * free.n:
-        low = free.earliest(free, threshold)
+        low = free.earliest_here(threshold)
         seeds, seen = ws.save_counted(low.where(F.col("low") == F.col("rk")).select(*free.node), "seeds")
         return seeds, seen["n"]
     pairs = _node_pairs(free, threshold)

@@ -21,7 +21,7 @@ from math import ceil, comb, isqrt
 
 # Relative costs, as measured: moving one row through a shuffle and a sort,
 # comparing one pair.
-ROW_COST = 1000
+ROW_COST = 300
 PAIR_COST = 1
 MAX_MASKS = 2000
 TILE_ROWS = 20_000
@@ -50,6 +50,11 @@ class Bands:
     def copies(self) -> int:
         return comb(len(self.bands), self.need)
 
+    def even_bucket(self, n: int) -> float:
+        """Rows of a bucket if ``n`` fingerprints were spread evenly."""
+        bits = sum(b.bit_count() for b in self.bands[-self.need:])
+        return n / 2**bits
+
 
 @dataclass(frozen=True)
 class Tiles:
