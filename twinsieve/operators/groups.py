@@ -176,8 +176,10 @@ def find_members(ws: Workspace, records: DataFrame, mode: str = "both", threshol
     rows = _named(records)
     keys = repeated_keys(ws, rows.select("name", "size"), ["name", "size"], "filename")
     claimed = _members(keys.join(rows.select("name", "size", "path", "media_type")), "filename")
-    # Rows of a repeated key are exactly the claimed paths.
-    free = rows.join(keys.df.select("name", "size"), ["name", "size"], "left_anti").drop("name")
+    # Rows of a repeated key are exactly the claimed paths. What is left is read
+    # several times, a few columns each.
+    free = ws.save(rows.join(keys.df.select("name", "size"), ["name", "size"], "left_anti")
+                   .select("path", "size", "media_type", "exact_hash", "phash"), "free")
     return (claimed.unionByName(exact_members(ws, free))
             .unionByName(perceptual_members(ws, free, threshold)))
 

@@ -56,7 +56,7 @@ def _with_keys(ws: Workspace, df: DataFrame, n: int, scheme: Bands | Tiles, prob
     """
     parts = n * scheme.copies // TASK_ROWS
     if n > FEW_ROWS:
-        df = df.repartition(max(ws.parallelism, parts))
+        df = df.repartition(max(ws.parallelism, parts), "fp")
     if isinstance(scheme, Bands):
         choices = F.array(*[F.struct(_long(signed(m)).alias("mask"), F.lit(top).alias("top"))
                             for m, top in scheme.masks])
