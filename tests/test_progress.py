@@ -36,7 +36,7 @@ def log():
     return rows
 
 
-def test_rates_follow_the_serial_tracker(spark, log):
+def test_rates_follow_the_serial_tracker(spark, log, monkeypatch):
     df = spark.createDataFrame([(k, t, n, 10_000) for k, rows in log.items() for t, n in rows],
                                "k string, t_ms bigint, n bigint, total bigint").repartition(3)
     want = {(k, t): (r, e) for k, rows in log.items() for t, r, e in tracker(rows)}
@@ -44,7 +44,8 @@ def test_rates_follow_the_serial_tracker(spark, log):
         rate = want[r.k, r.t_ms][0]
         assert r.rate == (None if rate is None else pytest.approx(rate))
         assert r.eta_s == (None if rate is None or r.n <= 0 else pytest.approx((10_000 - r.n) / rate))
-    for chunk in (50_000, 10**9):
+    monkeypatch.setattr(progress, "CHUNK_SAMPLES", 7)
+    for chunk in (50_000, 10**9, None):
         rows = progress.ema_rate(df, "k", chunk_ms=chunk).collect()
         assert len(rows) == len(want)
         for r in rows:

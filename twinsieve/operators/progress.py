@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 # The trailing window and the smoothing factor.
 WINDOW_MS = 30_000
 ALPHA = 0.1
-#: Length of the pieces a log is cut into for smoothing.
-CHUNK_MS = 3_600_000
+#: Samples a piece of a log should hold at least, for smoothing.
+CHUNK_SAMPLES = 500
 
 
 def _samples(log: DataFrame, key: str) -> DataFrame:
@@ -52,13 +52,29 @@ def with_share(log: DataFrame) -> DataFrame:
                           .otherwise(F.lit(0.0)))
 
 
-def ema_rate(log: DataFrame, key: str, alpha: float = ALPHA, chunk_ms: int = CHUNK_MS) -> DataFrame:
+def _chunked(samples: DataFrame, key: str, chunk_ms: int | None) -> DataFrame:
+    """Adds ``chunk``, pieces of equal time per key.
+
+    Without a length, a log of n samples has about sqrt(n) pieces of sqrt(n)
+    samples, so that neither a piece nor the list of pieces grows large.
+    """
+    if chunk_ms is not None:
+        return samples.withColumn("chunk", F.floor(F.col("t_ms") / chunk_ms))
+    size = F.greatest(F.lit(float(CHUNK_SAMPLES)), F.sqrt(F.count(F.lit(1))))
+    pieces = F.greatest(F.floor(F.count(F.lit(1)) / size), F.lit(1).cast("bigint"))
+    length = F.max("t_ms") - F.min("t_ms") + 1
+    spans = samples.groupBy(key).agg(F.min("t_ms").alias("start"), (length / pieces).alias("span"))
+    return (samples.join(spans, key)
+            .withColumn("chunk", F.floor((F.col("t_ms") - F.col("start")) / F.col("span"))).drop("start", "span"))
+
+
+def ema_rate(log: DataFrame, key: str, alpha: float = ALPHA, chunk_ms: int | None = None) -> DataFrame:
     """``(key, t_ms, n, instant, ema)``: exponentially smoothed rate per second.
 
     The first rate starts the average. Samples that fall back in ``n`` have no
     rate and leave it unchanged; so does the first sample.
     """
-    samples = _samples(log, key).withColumn("chunk", F.floor(F.col("t_ms") / chunk_ms))
+    samples = _chunked(_samples(log, key), key, chunk_ms)
     by_chunk = Window.partitionBy(key).orderBy("chunk")
 
     # Rate of each sample against the one before, which may end an earlier chunk.

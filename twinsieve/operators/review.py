@@ -79,8 +79,9 @@ def deletion_manifest(marks: DataFrame, members: DataFrame) -> DataFrame:
 
     A path is in at most one group of each kind, so the array stays short.
     """
-    per_path = members.groupBy("path").agg(F.sort_array(F.collect_set("group_id")).alias("group_ids"),
-                                           F.max("size").alias("size"))
+    marked = members.join(marks.select("path"), "path", "left_semi")
+    per_path = marked.groupBy("path").agg(F.sort_array(F.collect_set("group_id")).alias("group_ids"),
+                                          F.max("size").alias("size"))
     return (marks.select("path").distinct().join(per_path, "path", "left")
             .select("path", F.coalesce("group_ids", F.array().cast("array<string>")).alias("group_ids"), "size"))
 
@@ -138,7 +139,8 @@ def apply_deletions(ws: Workspace, members: DataFrame, records: DataFrame, marks
 
 def marked_totals(marks: DataFrame, members: DataFrame) -> DataFrame:
     """One row: how many paths are marked and the bytes they hold, once per path."""
-    sizes = members.groupBy("path").agg(F.max("size").alias("size"))
+    marked = members.join(marks.select("path"), "path", "left_semi")
+    sizes = marked.groupBy("path").agg(F.max("size").alias("size"))
     total = F.coalesce(F.sum("size"), F.lit(0)).cast("bigint")
     return (marks.select("path").distinct().join(sizes, "path", "left")
             .agg(F.count(F.lit(1)).alias("n_marked"), total.alias("bytes"))

@@ -394,7 +394,7 @@ def trailing_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ema_rate(spark: SparkSession, sf: str) -> DataFrame:
-    return progress.ema_rate(_log(spark, sf), "user_id", chunk_ms=7 * DAY_MS).select(
+    return progress.ema_rate(_log(spark, sf), "user_id").select(
         "user_id", "t_ms", "instant", F.round("ema", 6).alias("ema"))
 
 
