@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.llm import bpe, phrases, pii, quality, simhash, token_counts
+from twinsieve.llm import bpe, phrases, pii, quality, quotes, repetition, secrets, simhash, token_counts, warc
 from twinsieve.llm.rows import table
 from twinsieve.plans.workspace import Workspace
 
@@ -16,11 +16,34 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 TOKEN_LIMIT = 2048
 
 
+def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{Workspace(spark).root}/archives"
+    warc.write_archives(table(spark, sf, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    return quotes.reply_order(Workspace(spark), table(spark, sf, "conversations"))
+
+
+def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = table(spark, sf, "documents").select("doc_id", secrets.find_secrets("text").alias("s")).select("doc_id", "s.*")
+    base = F.filter("spans", lambda s: s["kind"] < secrets.BASE)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.written(base), 256).alias("base_sha256"),
+                        secrets.written("spans").alias("spans"))
+
+
 def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", bpe.round_trip("text", WORD_BPE).alias("r")).select("doc_id", "r.*")
 
 
+def op5_repetition(spark: SparkSession, sf: str) -> DataFrame:
+    counts = table(spark, sf, "documents").select("doc_id", repetition.rules("text").alias("c")).select("doc_id", "c.*")
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         repetition.base_failed().alias("base_failed"), repetition.kept().alias("kept"))
+
+
 def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = phrases.find_passages(Workspace(spark), table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     hits = F.col("n_hit")
@@ -54,4 +77,6 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
                         pii.written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op6_decontaminate, op7_simhash, op8_token_counts, op9_quality, op10_pii)}
+QUERIES = {f.__name__: f for f in (
+    op1_warc, op2_quotes, op3_secrets, op4_bpe, op5_repetition, op6_decontaminate, op7_simhash, op8_token_counts,
+    op9_quality, op10_pii)}
