@@ -1,3 +1,33 @@
 """SQL counterparts of the queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+WARC = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes,
+                  sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select payload_digest, min(page_id) as first_id from p group by payload_digest)
+select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
+       case when later then 'revisit' else 'response' end as record_type, case when later then first_id end as refers_to
+from (select p.*, first_id, coalesce(payload_bytes >= 100 and first_id is not null and page_id is distinct from first_id,
+                                     false) as later
+      from p join f using (payload_digest))
+"""
+
+WORDS = r"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(
+    lower="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+DECONTAMINATE = f"""
+with d as (select row_number() over () as r, doc_id, {WORDS} as w from documents),
+b as (select cast(item_id as varchar) as item, {WORDS} as w from benchmark),
+win as (select distinct item, w[i:i + 12] as win from b, unnest(range(1, greatest(2, len(w) - 11))) t(i) where len(w) > 0),
+lens as (select distinct len(win) as n from win),
+runs as (select r, i, n, w[i:i + n - 1] as win from d, lens, unnest(range(1, len(w) - n + 2)) t(i) where len(w) >= n),
+hits as (select r, i, n, item from runs join win using (win)),
+words as (select r, count(distinct k) as n_hit from hits, unnest(range(i, i + n)) t(k) group by r),
+items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items
+          from (select distinct r, item from hits where item is not null) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join words using (r) left join items using (r)
+"""
+
+ORACLE: dict[str, str] = {"op1_warc": WARC, "op6_decontaminate": DECONTAMINATE}

@@ -5,7 +5,7 @@ Fingerprints within ``DISTANCE`` bits are linked, and texts linked through other
 1. Equal fingerprints fold to one node, so copies cost one row from there on.
 2. Candidates meet in buckets: the bits are cut in six segments, and two nodes within three bits agree in three of them
    at least. A bucket that is too large is cut again: among its free bits the same rule gives longer keys, until at most
-   eight bits are free. No bucket is capped and no pair of a bucket is written out.
+   nine bits are free. No bucket is capped and no pair of a bucket is written out.
 3. In a bucket, a pair must first pass the ring: of the eight bytes, some chain of consecutive ones must start with
    differences that stay within the share of the budget at every length. Only then all bits are counted.
 4. A bucket gives links that span its linked nodes, at most one per node; components join them over all buckets.
@@ -34,8 +34,9 @@ DISTANCE = 3
 SHINGLE_WORDS = 3
 #: Segments of the free bits, and how many of them two nodes within DISTANCE must share.
 SEGMENTS, SHARED = 6, 3
-#: Nodes of a bucket that are compared in one go; it exceeds the 2 ** 8 nodes that can differ in the last free bits.
+#: Nodes of a bucket that are compared in one go: as many as can differ in the last free bits.
 BUCKET_NODES = 512
+LAST_SHARED_BITS = 64 - 9
 #: Consecutive bytes of the ring that must stay within their budgets.
 CHAIN = 4
 BIT_COUNTS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -139,23 +140,24 @@ def _scheme(spark: SparkSession, masks: list[int]) -> tuple[DataFrame, list[int]
 
 def near_links(ws: Workspace, nodes: DataFrame, bucket_nodes: int = BUCKET_NODES) -> DataFrame:
     """Links (a, b) that connect exactly the distinct fingerprints ``fp`` that chains of near ones connect."""
-    spark, links, masks = nodes.sparkSession, None, [0]
-    left = nodes.select("fp", F.lit(0).cast("bigint").alias("mask"))
+    spark, links, masks = nodes.sparkSession, None, refined(0)
+    longer = nodes.select("fp", F.explode(F.array(*[F.lit(signed(m)).cast("bigint") for m in masks])).alias("mask"))
     while True:
-        scheme, masks = _scheme(spark, masks)
-        keyed = (left.join(F.broadcast(scheme), "mask")
-                 .select("fp", F.col("longer").alias("mask"), F.col("fp").bitwiseAND(F.col("longer")).alias("key")))
-        if links is not None:
-            keyed = keyed.distinct()  # the same longer mask can come from several shorter ones
+        keyed = longer.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         met = ws.save(keyed.groupBy("mask", "key").agg(F.count("fp").alias("n")).where("n > 1"), "buckets")
         together = ws.save(keyed.join(met, ["mask", "key"]), "together")
-        small = (together.where(F.col("n") <= bucket_nodes).groupBy("mask", "key")
+        # With so few free bits a bucket has no more than BUCKET_NODES nodes.
+        fits = (F.col("n") <= bucket_nodes) | (F.bit_count("mask") >= LAST_SHARED_BITS)
+        small = (together.where(fits).groupBy("mask", "key")
                  .agg(F.collect_list("fp").alias("fps")))
         found = ws.save(_links_of(small), "found")
         links = found if links is None else links.unionByName(found)
-        left = together.where(F.col("n") > bucket_nodes).select("fp", "mask")
+        left = together.where(~fits).select("fp", "mask")
         if left.isEmpty():
             return links
+        scheme, masks = _scheme(spark, masks)
+        # The same longer mask can come from several shorter ones.
+        longer = left.join(F.broadcast(scheme), "mask").select("fp", F.col("longer").alias("mask")).distinct()
 
 
 def near_components(ws: Workspace, prints: DataFrame) -> DataFrame:
