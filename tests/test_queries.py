@@ -2,6 +2,8 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import as_rows, connect, duck_rows, spark_rows
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,14 +14,15 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_flagship(spark):
     assert {"group_id", "path", "duplicate_type"} <= set(entry.entry(spark).columns)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, name):
     columns, rows = spark_rows(entry.queries()[name](spark, SF))
     assert (columns, rows) == duck_rows(con, entry.oracle_sql()[name])

@@ -8,7 +8,8 @@ from twinsieve.functions.fingerprints import parse_hex, to_hex
 from twinsieve.options import ScanOptions
 from twinsieve.plans.scan import fingerprint, image_areas, scan
 from twinsieve.plans.workspace import Workspace
-from twinsieve.schemas import FRAMES
+from twinsieve.schemas import FILES, FRAMES
+from twinsieve.sources import snapshot
 from twinsieve.sources.catalog import keep_media, list_media
 from twinsieve.sources.digests import digest_paths
 from twinsieve.sources.frames import sampled_frames, video_fingerprints
@@ -33,17 +34,17 @@ def names(df):
 
 
 def test_catalog(spark, tmp_path):
-    put(tmp_path, "photo.jpg", b"fake")
+    put(tmp_path, "harbour.jpg", b"fake")
     put(tmp_path, "sub/clip.MP4", b"fake!", 1700000000)
     put(tmp_path, "notes.txt", b"fake")
     put(tmp_path, "doc.pdf", b"fake")
     found = list_media(spark, [str(tmp_path), str(tmp_path / "sub"), str(tmp_path / "none")])
-    assert names(found) == ["clip.MP4", "photo.jpg"]
+    assert names(found) == ["clip.MP4", "harbour.jpg"]
     clip = found.where("media_type = 'video'").first()
     assert (clip.path, clip.size, clip.mtime) == (str(tmp_path / "sub/clip.MP4"), 5, 1700000000)
     assert "content" not in found._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
     assert list_media(spark, [str(tmp_path / "none")]).count() == 0
-    assert names(keep_media(found.unionByName(found))) == ["clip.MP4", "photo.jpg"]
+    assert names(keep_media(found.unionByName(found))) == ["clip.MP4", "harbour.jpg"]
 
 
 def test_image_hashes(spark, tmp_path):
@@ -99,34 +100,66 @@ def stored(spark, *rows):
 def test_store(spark, tmp_path):
     store = Snapshot(spark, str(tmp_path / "store"))
     assert store.read().count() == 0
-    store.upsert(stored(spark, ("/img/photo.jpg", 1024, 1700000000, "abc123")))
-    assert store.get("/img/photo.jpg", 1024, 1700000000).first().exact_hash == "abc123"
-    assert store.get("/img/photo.jpg", 1024, 9999999999).isEmpty()
-    store.upsert(stored(spark, *[(f"/img/{i}.jpg", 1000 + i, 1700000000, f"h{i}") for i in range(5)]))
+    store.upsert(stored(spark, ("/lib/own/harbour.png", 5311, 1650001234, "d1")))
+    assert store.get("/lib/own/harbour.png", 5311, 1650001234).first().exact_hash == "d1"
+    assert store.get("/lib/own/harbour.png", 5311, 1650001235).isEmpty()
+    store.upsert(stored(spark, *[(f"/lib/own/{i}.png", 40 + i, 1650000000, f"h{i}") for i in range(5)]))
     store.upsert(stored(spark))
-    store.upsert(stored(spark, ("/img/0.jpg", 7, 8, "new")))
+    store.upsert(stored(spark, ("/lib/own/0.png", 7, 8, "new")))
     assert store.read().count() == 6
-    assert store.get("/img/0.jpg", 7, 8).first().scanned_at > 0
-    catalog = spark.createDataFrame([("/img/0.jpg", 7, 8), ("/img/1.jpg", 1001, 1), ("/new", 1, 1)],
+    assert store.get("/lib/own/0.png", 7, 8).first().scanned_at > 0
+    catalog = spark.createDataFrame([("/lib/own/0.png", 7, 8), ("/lib/own/1.png", 41, 1), ("/new", 1, 1)],
                                     "path string, size bigint, mtime bigint")
     hits, misses = split_by_store(catalog, store.read(), "x")
-    assert [r.path for r in hits.collect()] == ["/img/0.jpg"] and names(misses) == ["1.jpg", "new"]
+    assert [r.path for r in hits.collect()] == ["/lib/own/0.png"] and names(misses) == ["1.png", "new"]
     assert split_by_store(catalog, store.read(), "y")[0].isEmpty()
     stats = store_stats(catalog, store.read(), "x").first()
     assert (stats.hits, stats.misses, stats.total) == (1, 2, 3) and stats.hit_rate == pytest.approx(100 / 3)
     assert store_stats(catalog.limit(0), store.read(), "x").first().hit_rate == 0
     store.prune(catalog)
-    assert names(store.read()) == ["0.jpg", "1.jpg"]
+    assert names(store.read()) == ["0.png", "1.png"]
     store.clear()
     assert store.read().count() == 0
-    store.vacuum(1)
-    assert len(store._generations()) == 1
+    store.vacuum()
+    assert len(store._listed()[0]) == 1
+
+
+def test_repeated_paths_count_once(spark, tmp_path):
+    store = Snapshot(spark, str(tmp_path / "store"))
+    store.upsert(stored(spark, ("/r/a", 1, 5, "old"), ("/r/a", 1, 9, "new"), ("/r/a", 1, 7, "mid"), ("/r/b", 1, 1, "b")))
+    assert sorted((r.path, r.exact_hash) for r in store.read().collect()) == [("/r/a", "new"), ("/r/b", "b")]
+
+
+def test_changes_are_small_and_fold(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshot, "MOST_CHANGES", 2)
+    store = Snapshot(spark, str(tmp_path / "store"))
+    store.publish(snapshot.stamped(stored(spark, *[(f"/f/{i}", i, 1, f"h{i}") for i in range(50)])))
+    for i in range(2):
+        store.upsert(stored(spark, (f"/f/{i}", 7, 7, "new")))
+    assert [g.full for g in store._current()] == [True, False, False]
+    assert store._load(store._current()[-1]).count() == 1 and store.read().count() == 50
+    store.upsert(stored(spark, ("/f/0", 8, 8, "newer")))
+    assert [g.full for g in store._current()] == [True] and store.read().count() == 50
+    assert store.get("/f/0", 8, 8, "x").first().exact_hash == "newer" and store.get("/f/0", 8, 8, "y").isEmpty()
+
+
+def test_a_concurrent_writer_fails(spark, tmp_path):
+    store = Snapshot(spark, str(tmp_path / "store"))
+    store.upsert(stored(spark, ("/c", 1, 1, "h")))
+    before = store._listed()[0]
+    store.upsert(stored(spark, ("/d", 1, 1, "h")))
+    with pytest.raises(snapshot.ConcurrentWriteError):
+        store._write(store.read(), True, before)
+    assert store.read().count() == 2
+    store._listed = lambda: (before, 1)  # as a writer sees it that listed before the other claimed
+    with pytest.raises(snapshot.ConcurrentWriteError):
+        store.upsert(stored(spark, ("/e", 1, 1, "h")))
 
 
 def test_a_broken_generation_is_not_current(spark, tmp_path):
     store = Snapshot(spark, str(tmp_path / "store"))
     store.upsert(stored(spark, ("/a", 1, 1, "h")))
-    (tmp_path / "store" / "gen-0000000002").mkdir()
+    (tmp_path / "store" / "gen-0000000002-changes").mkdir()
     assert store.read().count() == 1
     store.upsert(stored(spark, ("/b", 1, 1, "h")))
     assert store.read().count() == 2
@@ -174,29 +207,90 @@ def test_scan_and_rescan(spark, ws, tmp_path):
     areas = {r.path.rsplit("/", 1)[1]: r.area for r in image_areas(full.records).collect()}
     assert areas["one.png"] == 10000 and areas["bad.jpg"] == 0
 
-    # Another mode is another profile, and opens no file.
+    # By name alone no file is opened, and the store keeps what it has.
+    before = sorted(store.read().drop("scanned_at").collect())
     named = scan(ws, ScanOptions(folders=(str(lib),), mode="filename"), store)
-    assert named.stats.first().hits == 0 and named.records.where("exact_hash is not null").isEmpty()
+    assert named.stats is None and named.records.where("exact_hash is not null").isEmpty()
+    assert sorted(store.read().drop("scanned_at").collect()) == before
+    assert scan(ws, options, store).stats.first().hits == 7
+
 
+def frames_of(spark, lib, *clips):
+    return spark.createDataFrame([(str(lib / p), i, i / 4, fp) for p, fps in clips for i, fp in enumerate(fps)], FRAMES)
 
-def test_digests_of_same_sizes_only(spark, ws, tmp_path):
+
+def test_videos_are_one_record(spark, ws, tmp_path):
+    lib = tmp_path / "lib"
+    put(lib, "a/one.mp4", b"one video")
+    put(lib, "b/two.mp4", b"another video")
+    put(lib, "c/pic.png", striped())
+    frames = frames_of(spark, lib, ("a/one.mp4", (7, 255)), ("b/two.mp4", (2**40 - 1, 2**50 - 1)))
+    for mode in ("content", "both", "filename"):
+        found = scan(ws, ScanOptions(folders=(str(lib),), mode=mode, phash_threshold=2), frames=frames)
+        assert found.records.count() == 3 and found.groups.isEmpty()
+
+
+def test_every_sequence_equals_a_full_run(spark, ws, tmp_path):
+    lib = library(tmp_path)
+    put(lib, "h/[odd] {name}.mp4", b"video")
+    frames = frames_of(spark, lib, ("e/clip.mp4", (7, 255)), ("h/[odd] {name}.mp4", (3, 7)))
+    store = Snapshot(spark, str(tmp_path / "store"))
+    columns = ["path", "size", "mtime", "exact_hash", "phash", "width", "height"]
+
+    def change(step):
+        if step == 2:
+            put(lib, "i/old [copy].png", solid((1, 2, 3)), 1000)  # as old as a copied photo may be
+        if step == 3:
+            (lib / "c/near.png").unlink()
+            put(lib, "d/stripes.png", solid((5, 5, 5)), 1700000100)
+
+    steps = [("content", None, "first_frame"), ("both", frames, "first_frame"), ("filename", None, "first_frame"),
+             ("content", frames, "multi_frame"), ("content", None, "first_frame"), ("both", frames, "multi_frame")]
+    for step, (mode, given, strategy) in enumerate(steps):
+        change(step)
+        options = ScanOptions(folders=(str(lib), str(tmp_path / "missing")), mode=mode, video_strategy=strategy)
+        got, full = scan(ws, options, store, given), scan(ws, options, None, given)
+        assert sorted(got.records.select(*columns).collect()) == sorted(full.records.select(*columns).collect()), step
+        assert summary(got) == summary(full)
+        assert store.read().count() == store.read().select("path").distinct().count()
+        assert store.read().where("exact_hash is null").isEmpty()
+
+
+def test_a_unique_file_is_digested_for_later_copies(spark, ws, tmp_path):
+    lib = tmp_path / "lib"
+    put(lib, "a.mp4", b"video")
+    store, options = Snapshot(spark, str(tmp_path / "store")), ScanOptions(folders=(str(lib),), mode="content")
+    assert scan(ws, options, store).groups.isEmpty()
+    put(lib, "b.mp4", b"video")
+    assert summary(scan(ws, options, store)) == [("exact", 2, "a.mp4", None)]
+
+
+def test_large_and_unreadable_files_do_not_end_a_scan(spark, ws, tmp_path):
     lib = library(tmp_path)
+    with open(lib / "big.mp4", "wb") as f:
+        f.truncate(2_300_000_000)
     options = ScanOptions(folders=(str(lib),), mode="content")
-    assert summary(scan(ws, options, exact_scope="same_size")) == summary(scan(ws, options))
-    rows = fingerprint(ws, list_media(spark, options.folders), None, options, exact_scope="same_size")
-    assert rows.where("exact_hash is null").count() > 0
-    with pytest.raises(ValueError):
-        fingerprint(ws, list_media(spark, options.folders), None, options, exact_scope="x")
+    records = fingerprint(ws, list_media(spark, options.folders).unionByName(
+        spark.createDataFrame([("s3x://none/x.mp4", 300_000_000, 1, "video"), (str(lib / "gone.png"), 1, 1, "image")], FILES)),
+        None, options)
+    found = {r.path.rsplit("/", 1)[1]: r for r in records.collect()}
+    assert found["big.mp4"].exact_hash and found["big.mp4"].error is None
+    assert found["x.mp4"].error and found["gone.png"].error and found["one.png"].phash
 
 
-def test_scan_with_frames(spark, ws, tmp_path):
+def test_only_changed_files_are_opened(spark, ws, tmp_path, monkeypatch):
+    """Files that are not to be read have lost their permission, or their content."""
     lib = library(tmp_path)
-    put(lib, "h/clip2.mp4", b"other video")
-    frames = spark.createDataFrame([(str(lib / p), i, i / 4, fp) for p in ("e/clip.mp4", "h/clip2.mp4")
-                                    for i, fp in enumerate((7, 255))], FRAMES)
-    options = ScanOptions(folders=(str(lib),), mode="content", video_strategy="multi_frame")
-    groups = summary(scan(ws, options, frames=frames))
-    assert ("perceptual", 2, "clip.mp4", 0) in groups
+    store, options = Snapshot(spark, str(tmp_path / "store")), ScanOptions(folders=(str(lib),), mode="content")
+    first = {r.path: r.exact_hash for r in scan(ws, options, store).records.collect()}
+    for path in first:  # same size and time, other bytes: would show if they were read
+        stat = os.stat(path)
+        with open(path, "r+b") as f:
+            f.write(b"\0" * 4)
+        os.utime(path, (stat.st_mtime, stat.st_mtime))
+    put(lib, "z/older.png", striped(), 1000)
+    again = {r.path: r.exact_hash for r in scan(ws, options, store).records.collect()}
+    assert {p: again[p] for p in first} == first and len(again) == len(first) + 1
 
 
 def test_stream_of_files(spark, tmp_path):

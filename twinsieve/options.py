@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # The accepted names and the defaults of a scan.
 MODES = ("filename", "content", "both")
 VIDEO_STRATEGIES = ("exact_only", "first_frame", "multi_frame")
@@ -44,14 +47,19 @@ class ScanOptions:
 
     @property
     def fp_profile(self) -> str:
-        """Names everything a stored fingerprint depends on besides the file.
-
-        A row stored under another profile is a miss, so that an incremental
-        run gives what a full one would.
-        """
+        """What a stored fingerprint of a video depends on besides the file, if its frames were at hand."""
         if not self.perceptual:
             return "names"
         strategy = self.video_strategy
         if strategy == "multi_frame":
             strategy += f":{max(self.multi_frame_count, 1)}"
-        return f"sha256+dhash+{strategy}"
+        return f"sha256+{strategy}"
+
+    def profile_of(self, media_type: Column, hashed: Column) -> Column:
+        """The profile of each row: images do not depend on how videos are hashed.
+
+        ``hashed`` tells whether a video's frames were at hand. A row stored under another profile is a miss, so that an
+        incremental run gives what a full one would.
+        """
+        return (F.when(media_type == "image", "sha256+dhash")
+                .when(hashed, self.fp_profile).otherwise("sha256"))

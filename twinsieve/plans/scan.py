@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.functions.fingerprints import pixel_area
@@ -17,44 +17,44 @@ from twinsieve.sources.frames import video_fingerprints
 from twinsieve.sources.images import image_fingerprints
 from twinsieve.sources.snapshot import Snapshot, split_by_store, store_stats
 
+#: So many new or changed files are opened by name; of more, the listing is read from the oldest change on.
+FEW_PATHS = 1000
 RECORD_COLUMNS = ["path", "size", "mtime", "media_type", "exact_hash", "phash", "width", "height",
                   "fp_profile", "error"]
 
 
 @dataclass(frozen=True)
 class ScanResult:
-    """Records of a scan, its groups and members, and what the store knew."""
+    """Records of a scan, its groups and members, and what the store knew (nothing in filename mode)."""
 
     records: DataFrame
     groups: DataFrame
     members: DataFrame
-    stats: DataFrame
+    stats: DataFrame | None
 
 
 def fingerprint(ws: Workspace, files: DataFrame, store: Snapshot | None, options: ScanOptions,
-                frames: DataFrame | None = None, exact_scope: str = "all") -> DataFrame:
-    """Records of a catalog; only new or changed files are opened, then stored.
+                frames: DataFrame | None = None) -> DataFrame:
+    """Records of a catalog, one per path; only new or changed files are opened, then stored.
 
-    In filename mode nothing is opened. ``exact_scope="same_size"`` digests
-    only files whose size occurs twice: equal contents have equal sizes, so
-    groups are the same, but other files get no digest. Files that
-    could not be read have ``error`` set and are not stored.
+    In filename mode nothing is opened, and the store is neither read nor written. Files that could not be read have
+    ``error`` set and are not stored. A video that had no frames is stored as one without a hash, so that it is hashed
+    once its frames are there.
     """
-    if exact_scope not in ("all", "same_size"):
-        raise ValueError("exact_scope must be 'all' or 'same_size'")
-    files = ws.save(files.select("path", "size", "mtime", "media_type"), "files")
-    snapshot = store.read() if store else None
-    if snapshot is None:
-        hits, misses = None, files.withColumn("fp_profile", F.lit(options.fp_profile))
-    else:
-        hits, misses = split_by_store(files, snapshot, options.fp_profile)
+    files = ws.save(files.select("path", "size", "mtime", "media_type").dropDuplicates(["path"]), "files")
+    if not options.perceptual:
+        return _blank(files, "exact_hash", "phash", "fp_profile", "error", width="int", height="int").select(*RECORD_COLUMNS)
+    files = ws.save(_with_frames(files, frames), "files")
+    hits, misses = None, files.withColumn("fp_profile", _profile(options))
+    if store:
+        hits, misses = split_by_store(files, ws.save(store.read(), "stored"), _profile(options))
     misses, seen = ws.save_counted(misses, "misses", oldest=F.min("mtime"))
-    new = misses
-    if not options.perceptual or not seen["n"]:
-        new = _blank(new, "exact_hash", "phash", "error", width="int", height="int")
+    if not seen["n"]:
+        new = _blank(misses, "exact_hash", "phash", "error", width="int", height="int")
     else:
-        new = _with_digests(new, files, options, seen["oldest"], exact_scope)
-        new = _with_hashes(new, options, seen["oldest"], frames)
+        few = [r["path"] for r in misses.select("path").limit(FEW_PATHS + 1).collect()]
+        where = {"paths": few} if len(few) <= FEW_PATHS else {"changed_from": seen["oldest"]}
+        new = _with_hashes(_with_digests(misses, options, where), options, where, frames)
     new = ws.save(new.select(*RECORD_COLUMNS), "new")
     if store and seen["n"]:
         store.upsert(new.where("error is null").drop("error"))
@@ -63,28 +63,38 @@ def fingerprint(ws: Workspace, files: DataFrame, store: Snapshot | None, options
     return hits.withColumn("error", F.lit(None).cast("string")).select(*RECORD_COLUMNS).unionByName(new)
 
 
+def _with_frames(files: DataFrame, frames: DataFrame | None) -> DataFrame:
+    if frames is None:
+        return files.withColumn("framed", F.lit(False))
+    known = frames.where("fp is not null").select("path", F.lit(True).alias("framed")).distinct()
+    return files.join(known, "path", "left").withColumn("framed", F.coalesce("framed", F.lit(False)))
+
+
+def _profile(options: ScanOptions) -> Column:
+    return options.profile_of(F.col("media_type"), F.col("framed"))
+
+
 def _blank(df: DataFrame, *strings: str, **typed: str) -> DataFrame:
     for name, kind in {**dict.fromkeys(strings, "string"), **typed}.items():
         df = df.withColumn(name, F.lit(None).cast(kind))
     return df
 
 
-def _with_digests(new: DataFrame, files: DataFrame, options: ScanOptions, oldest: int, scope: str) -> DataFrame:
-    wanted = new
-    if scope == "same_size":
-        twice = files.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-        wanted = new.join(twice.select("size"), "size", "left_semi")
-    small = wanted.where(F.col("size") <= WHOLE_FILE_BYTES).select("path")
-    found = small.join(digest_small(files.sparkSession, options.folders, oldest), "path", "left")
+def _with_digests(new: DataFrame, options: ScanOptions, where: dict) -> DataFrame:
+    small = new.where(F.col("size") <= WHOLE_FILE_BYTES).select("path")
+    digested = digest_small(new.sparkSession, options.folders, **where).dropDuplicates(["path"])
+    found = small.join(digested, "path", "left")
     # The listing saw a file that is gone or unreadable now: ask for the reason.
     found, missed = found.where("exact_hash is not null"), found.where("exact_hash is null")
-    rest = wanted.where(F.col("size") > WHOLE_FILE_BYTES).select("path").unionByName(missed.select("path"))
+    rest = new.where(F.col("size") > WHOLE_FILE_BYTES).select("path").unionByName(missed.select("path"))
     digests = found.withColumn("error", F.lit(None).cast("string")).unionByName(digest_paths(rest))
     return new.join(digests, "path", "left")
 
 
-def _with_hashes(new: DataFrame, options: ScanOptions, oldest: int, frames: DataFrame | None) -> DataFrame:
-    hashed = image_fingerprints(new.sparkSession, options.folders, oldest)
+def _with_hashes(new: DataFrame, options: ScanOptions, where: dict, frames: DataFrame | None) -> DataFrame:
+    """Images get the hash of the image, videos that of their frames; each path meets one row at most."""
+    hashed = image_fingerprints(new.sparkSession, options.folders, **where).dropDuplicates(["path"])
+    hashed = hashed.join(new.where("media_type = 'image'").select("path"), "path", "left_semi")
     if frames is not None:
         videos = video_fingerprints(frames.join(new.where("media_type = 'video'").select("path"), "path", "left_semi"),
                                     options.video_strategy, options.multi_frame_count)
@@ -93,11 +103,13 @@ def _with_hashes(new: DataFrame, options: ScanOptions, oldest: int, frames: Data
 
 
 def scan(ws: Workspace, options: ScanOptions, store: Snapshot | None = None,
-         frames: DataFrame | None = None, exact_scope: str = "all") -> ScanResult:
+         frames: DataFrame | None = None) -> ScanResult:
     """Catalog, fingerprint and group the media below the folders of the options."""
     files = ws.save(list_media(ws.spark, options.folders), "catalog")
-    before = ws.save(store_stats(files, store.read(), options.fp_profile), "stats") if store else None
-    records = ws.save(fingerprint(ws, files, store, options, frames, exact_scope), "records")
+    before = None
+    if store and options.perceptual:
+        before = ws.save(store_stats(_with_frames(files, frames), store.read(), _profile(options)), "stats")
+    records = ws.save(fingerprint(ws, files, store, options, frames), "records")
     groups, members = find_duplicates(ws, records, options.mode, options.phash_threshold, unique_paths=True)
     return ScanResult(records, groups, members, before)
 

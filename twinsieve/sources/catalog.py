@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +18,28 @@ def plain_path(uri: Column | str) -> Column:
     return F.regexp_replace(uri, "^file:/+", "/")
 
 
-def existing(spark: SparkSession, folders: Sequence[str]) -> list[str]:
-    """The folders that exist, as the file system of each tells."""
+def literal_path(path: str) -> str:
+    """A path as the readers take it: without meaning for the characters of patterns."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
+
+
+def existing(spark: SparkSession, folders: Sequence[str], known_only: bool = False) -> list[str]:
+    """The folders that exist, as the file system of each tells.
+
+    Those of a file system that Spark does not know are an error, or left out with ``known_only``.
+    """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    paths = [(f, jvm.org.apache.hadoop.fs.Path(f)) for f in folders]
-    return [f for f, p in paths if p.getFileSystem(conf).exists(p)]
+    found = []
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        try:
+            if path.getFileSystem(conf).exists(path):
+                found.append(folder)
+        except Py4JJavaError as e:
+            if not (known_only and "UnsupportedFileSystemException" in str(e.java_exception)):
+                raise
+    return found
 
 
 def binary_files(spark: SparkSession, folders: Sequence[str]) -> DataFrame:

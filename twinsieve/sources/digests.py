@@ -10,19 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsieve.functions.fingerprints import content_digest
-from twinsieve.sources.catalog import binary_files, plain_path
+from twinsieve.functions.paths import media_type
+from twinsieve.sources.catalog import binary_files, existing, literal_path, plain_path
 
 #: Files up to this size are read as one row; larger ones in pieces.
 WHOLE_FILE_BYTES = 256 * 1024 * 1024
 PIECE_BYTES = 1 << 20
 
+# Schemes of Hadoop's file systems that the piecewise reader knows by another name.
+SCHEMES = {"s3a://": "s3://", "s3n://": "s3://", "abfss://": "abfs://"}
 
-def digest_small(spark: SparkSession, folders: Sequence[str], changed_from: int | None = None) -> DataFrame:
-    """``(path, exact_hash)`` of files that fit a row, from the binaryFile source.
 
-    Size and time conditions are applied to the listing, before files are opened.
+def digest_small(spark: SparkSession, folders: Sequence[str], changed_from: int | None = None,
+                 paths: Sequence[str] | None = None) -> DataFrame:
+    """``(path, exact_hash)`` of media files that fit a row, from the binaryFile source.
+
+    They are those below the folders, or ``paths`` only. Names, sizes and times are conditions on the listing, applied
+    before files are opened.
     """
-    files = binary_files(spark, folders).where(F.col("length") <= WHOLE_FILE_BYTES)
+    from_here = [literal_path(p) for p in existing(spark, paths, True)] if paths is not None else existing(spark, folders)
+    if not from_here:
+        return spark.createDataFrame([], "path string, exact_hash string")
+    files = (binary_files(spark, from_here).where(F.col("length") <= WHOLE_FILE_BYTES)
+             .where(media_type("_metadata.file_name").isNotNull()))
     if changed_from is not None:
         files = files.where(F.col("modificationTime") >= F.timestamp_seconds(F.lit(changed_from)))
     return files.select(plain_path("path").alias("path"), content_digest("content").alias("exact_hash"))
@@ -31,7 +41,7 @@ def digest_small(spark: SparkSession, folders: Sequence[str], changed_from: int
 def digest_paths(files: DataFrame) -> DataFrame:
     """``(path, exact_hash, error)`` of the paths given, each read in pieces.
 
-    A file that cannot be read has no digest and says why.
+    A file that cannot be read, or whose scheme the reader does not know, has no digest and says why.
     """
     return files.select("path").mapInPandas(_digest_batches, "path string, exact_hash string, error string")
 
@@ -42,13 +52,14 @@ def _digest_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for path in batch["path"]:
+            uri = next((new + path[len(old):] for old, new in SCHEMES.items() if path.startswith(old)), path)
             try:
-                system, inner = fs.FileSystem.from_uri(path)
+                system, inner = fs.FileSystem.from_uri(uri)
                 digest = hashlib.sha256()
                 with system.open_input_stream(inner) as stream:
                     while piece := stream.read(PIECE_BYTES):
                         digest.update(piece)
                 out.append((path, digest.hexdigest(), None))
-            except OSError as e:
+            except (OSError, ValueError) as e:
                 out.append((path, None, str(e)))
         yield pd.DataFrame(out, columns=["path", "exact_hash", "error"])

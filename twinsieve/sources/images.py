@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsieve.functions.fingerprints import to_hex
+from twinsieve.functions.paths import media_type
 from twinsieve.functions.rasters import dhash_image
-from twinsieve.sources.catalog import plain_path
+from twinsieve.sources.catalog import existing, literal_path, plain_path
+
+#: Larger image files are not decoded: a file must fit a row, and Spark's rows end at 2 GiB.
+LARGEST_IMAGE_BYTES = 1 << 30
 
 
 def origin_path(origin: Column | str) -> Column:
@@ -18,15 +22,20 @@ def origin_path(origin: Column | str) -> Column:
     return plain_path(F.url_decode(F.replace(origin, F.lit("+"), F.lit("%2B"))))
 
 
-def image_fingerprints(spark: SparkSession, folders: Sequence[str],
-                       changed_from: int | None = None) -> DataFrame:
-    """``(path, width, height, phash)`` of the images below the folders.
+def image_fingerprints(spark: SparkSession, folders: Sequence[str], changed_from: int | None = None,
+                       paths: Sequence[str] | None = None) -> DataFrame:
+    """``(path, width, height, phash)`` of the images below the folders, or of ``paths`` only.
 
-    What cannot be decoded has NULLs. ``changed_from`` (seconds) leaves older
-    files out of the listing, so that they are never opened.
+    What cannot be decoded has NULLs. Names, sizes and times are conditions on the listing: videos, other files, too
+    large ones and (with ``changed_from``, in seconds) older ones are never opened.
     """
+    from_here = [literal_path(p) for p in existing(spark, paths, True)] if paths is not None else existing(spark, folders)
+    if not from_here:
+        return spark.createDataFrame([], "path string, width int, height int, phash string")
     images = (spark.read.format("image").option("recursiveFileLookup", True)
-              .option("dropInvalid", False).load(list(folders)))
+              .option("dropInvalid", False).load(from_here)
+              .where(media_type("_metadata.file_name") == "image")
+              .where(F.col("_metadata.file_size") <= LARGEST_IMAGE_BYTES))
     if changed_from is not None:
         images = images.where(F.col("_metadata.file_modification_time") >= F.timestamp_seconds(F.lit(changed_from)))
     ok = F.col("image.height") > 0

@@ -1,18 +1,39 @@
-"""Fingerprint store: one Parquet table per generation.
+"""Fingerprint store: Parquet generations, full ones and small ones of changes.
 
-Every change writes a new generation beside the old one; it becomes current
-with its ``_SUCCESS`` marker, so readers never see a half-written state and a
-failed run leaves the store as it was.
+A change is a small generation beside the others; later ones win. Full generations are written when rows are pruned or
+cleared, and now and then to fold the changes. A generation counts once it has its ``_SUCCESS`` marker, so readers never
+see a half-written state and a failed run leaves the store as it was. Writers claim the number of their generation;
+where two run at once, one of them fails.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsieve.schemas import SNAPSHOT
 
 MATCH = ["path", "size", "mtime", "fp_profile"]
+#: Generations of changes after which they are folded into a full one.
+MOST_CHANGES = 16
+
+
+class ConcurrentWriteError(RuntimeError):
+    """Another writer has changed the store in the meantime."""
+
+
+@dataclass(frozen=True, order=True)
+class Generation:
+    number: int
+    full: bool
+
+    @property
+    def name(self) -> str:
+        return f"gen-{self.number:010d}-{'full' if self.full else 'changes'}"
 
 
 class Snapshot:
@@ -22,39 +43,67 @@ class Snapshot:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _generations(self) -> list[int]:
-        """Complete generations, oldest first."""
+    def _listed(self) -> tuple[list[Generation], int]:
+        """Complete generations in order, and the last number that anyone has claimed."""
         if not self._fs.exists(self._path(self.root)):
-            return []
+            return [], 0
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
-        numbers = sorted(int(n[4:]) for n in names if n.startswith("gen-"))
-        return [n for n in numbers if self._fs.exists(self._path(f"{self._folder(n)}/_SUCCESS"))]
+        parts = [n.split("-") for n in names if n.startswith("gen-")]
+        found = sorted(Generation(int(p[1]), p[2] == "full") for p in parts if p[2] in ("full", "changes"))
+        done = [g for g in found if self._fs.exists(self._path(f"{self.root}/{g.name}/_SUCCESS"))]
+        return done, max((int(p[1]) for p in parts), default=0)
+
+    def _current(self) -> list[Generation]:
+        """The last full generation and the changes after it."""
+        done = self._listed()[0]
+        first = max((i for i, g in enumerate(done) if g.full), default=0)
+        return done[first:]
 
-    def _folder(self, generation: int) -> str:
-        return f"{self.root}/gen-{generation:010d}"
+    def _load(self, generation: Generation) -> DataFrame:
+        return self.spark.read.schema(SNAPSHOT).parquet(f"{self.root}/{generation.name}")
 
     def read(self) -> DataFrame:
         """The current rows, one per path."""
-        done = self._generations()
-        if not done:
+        current = self._current()
+        if not current:
             return self.spark.createDataFrame([], SNAPSHOT)
-        return self.spark.read.schema(SNAPSHOT).parquet(self._folder(done[-1]))
-
-    def get(self, path: str, size: int, mtime: int) -> DataFrame:
-        """The row of a file if it is unchanged; the condition reaches the Parquet scan."""
-        return self.read().where((F.col("path") == path) & (F.col("size") == size) & (F.col("mtime") == mtime))
-
-    def publish(self, rows: DataFrame) -> None:
-        """Make ``rows`` the next generation."""
-        done = self._generations()
-        target = self._folder(done[-1] + 1 if done else 1)
+        changes = [self._load(g).withColumn("generation", F.lit(g.number)) for g in current if not g.full]
+        base = self._load(current[0]) if current[0].full else None
+        if not changes:
+            return base
+        rest = [F.col(c) for c in SNAPSHOT.fieldNames()[1:]]
+        last = (reduce(DataFrame.unionByName, changes).groupBy("path")
+                .agg(F.max_by(F.struct(*rest), "generation").alias("row")).select("path", "row.*"))
+        return last if base is None else base.join(last.select("path"), "path", "left_anti").unionByName(last)
+
+    def get(self, path: str, size: int, mtime: int, fp_profile: str | None = None) -> DataFrame:
+        """The row of a file if it is unchanged (and made under the profile); the condition reaches the Parquet scans."""
+        rows = self.read().where(F.col("path") == path).where((F.col("size") == size) & (F.col("mtime") == mtime))
+        return rows if fp_profile is None else rows.where(F.col("fp_profile") == fp_profile)
+
+    def _write(self, rows: DataFrame, full: bool, based_on: list[Generation]) -> None:
+        new = Generation(self._listed()[1] + 1, full)
+        try:
+            self._fs.create(self._path(f"{self.root}/gen-{new.number:010d}-claim"), False).close()
+        except Py4JJavaError as e:
+            raise ConcurrentWriteError(f"generation {new.number} of {self.root} is being written") from e
+        target = f"{self.root}/{new.name}"
         # Sorted within files, so that a point lookup skips most row groups.
         (rows.select(*[F.col(f.name).cast(f.dataType) for f in SNAPSHOT.fields])
-         .sortWithinPartitions("path").write.mode("overwrite").parquet(target))
+         .sortWithinPartitions("path").write.parquet(target))
+        if full and [g for g in self._listed()[0] if g != new] != based_on:
+            self._fs.delete(self._path(target), True)
+            raise ConcurrentWriteError(f"{self.root} has changed while generation {new.number} was written")
+
+    def publish(self, rows: DataFrame) -> None:
+        """Make ``rows``, one per path, all there is."""
+        self._write(rows, True, self._listed()[0])
 
     def upsert(self, rows: DataFrame) -> None:
-        """Replace the rows of these paths and stamp them; others stay."""
-        self.publish(merged(self.read(), rows))
+        """Replace the rows of these paths and stamp them; others stay and are not written again."""
+        self._write(stamped(rows), False, [])
+        if sum(not g.full for g in self._current()) > MOST_CHANGES:
+            self.publish(self.read())
 
     def prune(self, files: DataFrame) -> None:
         """Drop rows of paths that are no longer in the catalog."""
@@ -63,37 +112,52 @@ class Snapshot:
     def clear(self) -> None:
         self.publish(self.spark.createDataFrame([], SNAPSHOT))
 
-    def vacuum(self, keep: int = 2) -> None:
-        """Delete all but the last generations."""
-        for old in self._generations()[:-keep]:
-            self._fs.delete(self._path(self._folder(old)), True)
+    def vacuum(self) -> None:
+        """Delete the generations before the last full one."""
+        current = self._current()
+        for old in self._listed()[0]:
+            if current and old < current[0]:
+                self._fs.delete(self._path(f"{self.root}/{old.name}"), True)
 
 
-def merged(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows after an upsert; new ones carry the time of the run."""
-    fresh = new
+def stamped(rows: DataFrame) -> DataFrame:
+    """Store rows, one per path, with the time of the run.
+
+    Of repeated paths the row of the latest change of the file stays, of equal ones the largest in all columns.
+    """
     for field in SNAPSHOT.fields:
-        if field.name not in new.columns:
-            fresh = fresh.withColumn(field.name, F.lit(None).cast(field.dataType))
-    fresh = fresh.withColumn("scanned_at", F.unix_timestamp()).select(*SNAPSHOT.fieldNames())
+        if field.name not in rows.columns:
+            rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
+    rest = [n for n in SNAPSHOT.fieldNames() if n not in ("path", "scanned_at")]
+    last = F.max(F.struct("mtime", *[n for n in rest if n != "mtime"])).alias("row")
+    return (rows.groupBy("path").agg(last).select("path", "row.*").withColumn("scanned_at", F.unix_timestamp())
+            .select(*SNAPSHOT.fieldNames()))
+
+
+def merged(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows after an upsert; new ones carry the time of the run, and each path has one row."""
+    fresh = stamped(new)
     return old.join(fresh.select("path"), "path", "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def split_by_store(files: DataFrame, snapshot: DataFrame, fp_profile: str) -> tuple[DataFrame, DataFrame]:
+def _profiled(files: DataFrame, fp_profile: Column | str) -> DataFrame:
+    return files.withColumn("fp_profile", F.lit(fp_profile) if isinstance(fp_profile, str) else fp_profile)
+
+
+def split_by_store(files: DataFrame, snapshot: DataFrame, fp_profile: Column | str) -> tuple[DataFrame, DataFrame]:
     """(hits, misses) of a catalog: unchanged files with a stored row, and the rest.
 
-    A stored row counts only if it was made under the same profile.
+    A stored row counts only if it was made under the file's profile: a text for all, or an expression over the catalog.
     """
-    files = files.withColumn("fp_profile", F.lit(fp_profile))
-    stored = snapshot.where(F.col("fp_profile") == fp_profile)
-    kept = [c for c in stored.columns if c not in files.columns]
-    return files.join(stored.select(*MATCH, *kept), MATCH), files.join(stored.select(*MATCH), MATCH, "left_anti")
+    files = _profiled(files, fp_profile)
+    kept = [c for c in snapshot.columns if c not in files.columns]
+    return files.join(snapshot.select(*MATCH, *kept), MATCH), files.join(snapshot.select(*MATCH), MATCH, "left_anti")
 
 
-def store_stats(files: DataFrame, snapshot: DataFrame, fp_profile: str) -> DataFrame:
+def store_stats(files: DataFrame, snapshot: DataFrame, fp_profile: Column | str) -> DataFrame:
     """One row: hits, misses, total and the share of hits in percent."""
     stored = snapshot.select(*MATCH).withColumn("hit", F.lit(True))
-    looked = files.withColumn("fp_profile", F.lit(fp_profile)).join(stored, MATCH, "left")
+    looked = _profiled(files, fp_profile).join(stored, MATCH, "left")
     hits = F.count_if(F.col("hit"))
     total = F.count(F.lit(1))
     return looked.agg(hits.alias("hits"), (total - hits).alias("misses"), total.alias("total")).withColumn(

@@ -6,14 +6,13 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from twinsieve.functions.fingerprints import content_digest
 from twinsieve.options import ScanOptions
-from twinsieve.sources.catalog import describe, plain_path
-from twinsieve.sources.images import image_fingerprints
+from twinsieve.plans.scan import fingerprint
+from twinsieve.plans.workspace import Workspace
+from twinsieve.sources.catalog import describe
 from twinsieve.sources.snapshot import Snapshot
 
 BINARY_FILES = T.StructType([
@@ -24,15 +23,9 @@ BINARY_FILES = T.StructType([
 ])
 
 
-def fingerprint_batch(batch: DataFrame, options: ScanOptions) -> DataFrame:
-    """Store rows of one batch of the binaryFile source."""
-    files = describe(batch)
-    digests = batch.select(plain_path("path").alias("path"), content_digest("content").alias("exact_hash"))
-    rows = files.join(digests, "path").withColumn("fp_profile", F.lit(options.fp_profile))
-    oldest = files.agg(F.min("mtime")).first()[0]
-    if not options.perceptual or oldest is None:
-        return rows
-    return rows.join(image_fingerprints(batch.sparkSession, options.folders, oldest), "path", "left")
+def fingerprint_batch(ws: Workspace, batch: DataFrame, options: ScanOptions) -> DataFrame:
+    """Store rows of one batch of the binaryFile source; only its own media files are read."""
+    return fingerprint(ws, describe(batch.drop("content")), None, options).where("error is null").drop("error")
 
 
 def ingest_stream(stream: DataFrame, store: Snapshot, checkpoint: str,
@@ -58,7 +51,7 @@ def ingest_files(spark: SparkSession, options: ScanOptions, store: Snapshot, che
     files = [spark.readStream.format("binaryFile").schema(BINARY_FILES)
              .option("recursiveFileLookup", True).load(folder) for folder in regular_folders(options.folders)]
     return ingest_stream(reduce(DataFrame.unionByName, files), store, checkpoint,
-                         lambda batch: fingerprint_batch(batch, options))
+                         lambda batch: fingerprint_batch(Workspace(spark), batch, options))
 
 
 def regular_folders(folders: Sequence[str]) -> list[str]:
