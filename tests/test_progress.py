@@ -107,3 +107,15 @@ def test_rates_of_a_stream(spark, tmp_path):
     want = tracker([(base + 1000, 1), (base + 2000, 200), (base + 3000, 201)])
     got = [(t, out["s", t][1], out["s", t][2]) for t, _, _ in want]
     assert got == [(t, r and pytest.approx(r), e and pytest.approx(e)) for t, r, e in want]
+
+
+def test_trailing_rate_of_a_burst(spark):
+    """Many samples in one window, and long gaps; as a plain look back for each sample."""
+    rng = random.Random(11)
+    times = sorted({rng.randint(0, 5000) for _ in range(1500)} | {rng.randint(0, 10**6) for _ in range(60)} | {0, 30_000, 60_000})
+    rows = [("a", t, i * 3 % 997 + i) for i, t in enumerate(times)]
+    got = {r.t_ms: r.rate for r in progress.trailing_rate(spark.createDataFrame(rows, "k string, t_ms bigint, n bigint"), "k").collect()}
+    for _, t, n in rows:
+        first = next(r for r in rows if r[1] >= t - 30_000)
+        want = (n - first[2]) / ((t - first[1]) / 1000) if t > first[1] and n > first[2] else None
+        assert got[t] == pytest.approx(want) if want is not None else got[t] is None

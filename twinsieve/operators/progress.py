@@ -28,16 +28,21 @@ def trailing_rate(log: DataFrame, key: str, window_ms: int = WINDOW_MS) -> DataF
     NULL with a single sample in the window, or without an increase over it.
     """
     samples = _samples(log, key)
-    # A window reaches into the bucket before, so rows also go to the next one.
-    bucket = F.floor(F.col("t_ms") / window_ms)
-    spread = samples.withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
-    w = Window.partitionBy(key, "bucket").orderBy("t_ms").rangeBetween(-window_ms, 0)
-    seconds = (F.col("t_ms") - F.min("t_ms").over(w)) / F.lit(1000.0)
-    gain = F.col("n") - F.first("n").over(w)
-    out = spread.withColumn("seconds", seconds).withColumn("gain", gain).where(F.col("bucket") == bucket)
-    return (out.withColumn("rate", F.when((F.col("seconds") > 0) & (F.col("gain") > 0),
-                                          F.col("gain") / F.col("seconds")))
-            .drop("bucket", "seconds", "gain"))
+    # Each sample looks for the first one at or after the start of its window. Walking back in time, that is the last
+    # sample seen, so one sorted pass per bucket of a window's length is enough. The window may end in the next bucket.
+    seen = samples.select(key, F.col("t_ms").alias("at"), F.struct("t_ms", "n").alias("sample"),
+                          *[F.lit(None).cast(samples.schema[c].dataType).alias(c) for c in samples.columns if c != key])
+    bucket = F.floor(F.col("at") / window_ms)
+    seen = seen.withColumn("bucket", F.explode(F.array(bucket, bucket - 1)))
+    asks = samples.withColumns({"at": F.col("t_ms") - window_ms, "sample": F.lit(None)}).withColumn("bucket", bucket)
+    back = (Window.partitionBy(key, "bucket").orderBy(F.desc("at"), F.col("t_ms").isNotNull())
+            .rowsBetween(Window.unboundedPreceding, 0))
+    first = (seen.unionByName(asks).withColumn("first", F.last("sample", ignorenulls=True).over(back))
+             .where(F.col("t_ms").isNotNull()))
+    seconds = (F.col("t_ms") - F.col("first.t_ms")) / F.lit(1000.0)
+    gain = F.col("n") - F.col("first.n")
+    rate = F.when((seconds > 0) & (gain > 0), gain / seconds)
+    return first.select(*samples.columns, rate.alias("rate"))
 
 
 def with_eta(rated: DataFrame) -> DataFrame:

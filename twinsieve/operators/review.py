@@ -22,7 +22,11 @@ SEPARATORS = ("/", "\\")
 
 
 class ExtinctionError(RuntimeError):
-    """A deletion would leave groups without any file."""
+    """A deletion would leave groups without a file; ``groups`` has ``(group_id, n_files)`` of each."""
+
+    def __init__(self, message: str, groups: DataFrame | None = None):
+        super().__init__(message)
+        self.groups = groups
 
 
 def add_marks(marks: DataFrame, paths: DataFrame) -> DataFrame:
@@ -68,10 +72,11 @@ def extinct_groups(members: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def guard(members: DataFrame, marks: DataFrame) -> None:
-    """Raise ExtinctionError if any group would lose all its files."""
-    some = [r.group_id for r in extinct_groups(members, marks).limit(10).collect()]
+    """Raise ExtinctionError, with all of them, if any group would lose all its files."""
+    lost = extinct_groups(members, marks)
+    some = [r.group_id for r in lost.orderBy("group_id").limit(10).collect()]
     if some:
-        raise ExtinctionError("groups without survivors, among them: " + ", ".join(some))
+        raise ExtinctionError("groups without survivors, all of them in .groups, the first: " + ", ".join(some), lost)
 
 
 def deletion_manifest(marks: DataFrame, members: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from twinsieve.plans.workspace import Workspace
 
 #: Rows of one key that one task may take.
 HOT_KEY_ROWS = 1_000_000
-#: Hot keys that may be broadcast; each stands for HOT_KEY_ROWS rows or more.
-MAX_HOT_KEYS = 100_000
+#: Hot keys up to which their salts are broadcast; of more, they are joined by a shuffle.
+BROADCAST_HOT_KEYS = 100_000
 
 
 class SizedKeys:
@@ -31,13 +31,12 @@ class SizedKeys:
             self.n_hot = seen["hot"] or 0
 
     def join(self, rows: DataFrame) -> DataFrame:
-        if not self.n_hot or self.n_hot > MAX_HOT_KEYS:
-            # With more hot keys than may be broadcast no single one dominates;
-            # adaptive execution splits their partitions.
+        if not self.n_hot:
             return rows.join(self.df, self.keys)
         salts = F.ceil(F.col(self.rows) / HOT_KEY_ROWS)
         hot = self.df.where(F.col(self.rows) > HOT_KEY_ROWS).select(*self.keys, salts.alias("salts"))
-        salted = rows.join(F.broadcast(hot), self.keys, "left").withColumn(
+        hot = F.broadcast(hot) if self.n_hot <= BROADCAST_HOT_KEYS else hot
+        salted = rows.join(hot, self.keys, "left").withColumn(
             "salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("salts", F.lit(1).cast("bigint")))).drop("salts")
         every = F.sequence(F.lit(0).cast("bigint"), F.greatest(salts, F.lit(1).cast("bigint")) - 1)
         return salted.join(self.df.withColumn("salt", F.explode(every)), [*self.keys, "salt"]).drop("salt")

@@ -277,6 +277,9 @@ ORACLE = {
         from ranked_m m join areas a on a.path = m.path group by group_id"""),
     "auto_mark_all": _query("both_m kept_m", """
         select m.group_id, m.path from both_m m join kept_m k on k.group_id = m.group_id and k.keeper <> m.path"""),
+    "auto_mark_group": _query("both_m kept_m", """
+        select m.group_id, m.path from both_m m join kept_m k on k.group_id = m.group_id and k.keeper <> m.path
+        where m.group_id = (select min(group_id) from both_m)"""),
     "keep_nth": _query("ranked_m", """
         select group_id, path from (
           select group_id, path, row_number() over (partition by group_id order by ord) as k,
@@ -326,6 +329,10 @@ ORACLE = {
     "groups_page": _query("both_g", """
         select * from both_g order by wasted_bytes desc, duplicate_type, string_split(first_path, '/'), group_id
         limit 50 offset 50"""),
+    "one_group": _query("both_g", "select * from both_g where group_id = (select min(group_id) from both_g)"),
+    "pixel_areas": """
+        select doc_id, coalesce(greatest(n_chars * case when doc_id % 5 <> 0 then doc_id % 7 - 1 end, 0), 0) as area
+        from documents""",
     "image_files": _query("both_m", "select group_id, path from both_m where media_type = 'image'"),
     "result_summary": _query("both_m", """
         select total, visible, visible || ' of ' || total || ' groups' as label from (

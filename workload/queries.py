@@ -10,7 +10,6 @@ from twinsieve.functions.paths import extension, folder_index, priority_index
 from twinsieve.functions.rasters import dhash_luma8
 from twinsieve.operators import browse, groups, keeper, progress, review
 from twinsieve.operators.hamming import similar_frame_sets, similar_pairs
-from twinsieve.plans.bands import band_scheme
 from twinsieve.plans.workspace import Workspace
 from twinsieve.sources import frames as frame_source
 from twinsieve.sources.catalog import keep_media
@@ -88,7 +87,7 @@ def hamming_pairs_t16(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hamming_pairs_planted_t8(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(spark, v.dhash_planted(spark, sf), 8, band_scheme(8, 2))
+    return _pairs(spark, v.dhash_planted(spark, sf), 8)
 
 
 def _stars(spark: SparkSession, hashes: DataFrame, threshold: int) -> groups.Stars:
@@ -228,6 +227,15 @@ def auto_mark_all(spark: SparkSession, sf: str) -> DataFrame:
     return keeper.auto_mark(ws, members, v.PRIORITIES, "priority")
 
 
+def _first_group(members: DataFrame) -> str:
+    return members.agg(F.min("group_id")).first()[0]
+
+
+def auto_mark_group(spark: SparkSession, sf: str) -> DataFrame:
+    ws, members = _kept_members(spark, sf)
+    return keeper.auto_mark_group(ws, members, _first_group(members), v.PRIORITIES, "priority")
+
+
 def keep_nth(spark: SparkSession, sf: str) -> DataFrame:
     ws, members = _kept_members(spark, sf)
     return keeper.keep_nth(ws, members, 3)
@@ -294,6 +302,16 @@ def groups_page(spark: SparkSession, sf: str) -> DataFrame:
     return browse.page_of_groups(groups.group_table(members), 1, "size-desc").select(*GROUP_COLUMNS)
 
 
+def one_group(spark: SparkSession, sf: str) -> DataFrame:
+    _, members = _kept_members(spark, sf)
+    return browse.one_group(groups.group_table(members), _first_group(members)).select(*GROUP_COLUMNS)
+
+
+def pixel_areas(spark: SparkSession, sf: str) -> DataFrame:
+    height = F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 7 - 1)
+    return v.table(spark, sf, "documents").select("doc_id", fp.pixel_area(F.col("n_chars"), height).alias("area"))
+
+
 def image_files(spark: SparkSession, sf: str) -> DataFrame:
     return browse.image_files(_members(spark, sf)[1]).select("group_id", "path")
 
@@ -427,6 +445,7 @@ QUERIES = {
     "keeper_priority": keeper_priority,
     "keeper_quality": keeper_quality,
     "auto_mark_all": auto_mark_all,
+    "auto_mark_group": auto_mark_group,
     "keep_nth": keep_nth,
     "mark_sets": mark_sets,
     "survivors": survivors,
@@ -441,6 +460,8 @@ QUERIES = {
     "mark_column_preview": mark_column_preview,
     "groups_all_ext": groups_all_ext,
     "groups_page": groups_page,
+    "one_group": one_group,
+    "pixel_areas": pixel_areas,
     "image_files": image_files,
     "result_summary": result_summary,
     "store_hits": store_hits,

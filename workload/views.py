@@ -67,10 +67,6 @@ def luma_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "as int))").alias("luma"))
 
 
-def priorities(spark: SparkSession) -> list[str]:
-    return PRIORITIES
-
-
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in for pixel areas, per document."""
     quality = table(spark, sf_dir, "labels").select("doc_id", "quality")
