@@ -15,14 +15,14 @@ def found(ws, df, mode="content", t=8):
 
 
 def test_exact_pair(spark, ws):
-    groups, members = found(ws, records(spark, rec("/a/img1.jpg", 1000, "hash_abc"), rec("/b/img2.jpg", 1000, "hash_abc"),
-                                        rec("/c/img3.jpg", 2000, "hash_xyz")))
+    groups, members = found(ws, records(spark, rec("/x/elm.png", 731, "d7"), rec("/y/oak.png", 731, "d7"),
+                                        rec("/z/fir.png", 64, "d9")))
     assert [(g.duplicate_type, g.n_files, g.max_distance) for g in groups] == [("exact", 2, None)]
-    assert {m.path for m in members.collect()} == {"/a/img1.jpg", "/b/img2.jpg"}
+    assert {m.path for m in members.collect()} == {"/x/elm.png", "/y/oak.png"}
 
 
 def test_filename_pair_needs_the_same_size(spark, ws):
-    df = records(spark, rec("/a/Photo.jpg", 500, "h1"), rec("/b/photo.JPG", 500, "h2"), rec("/c/photo.jpg", 501, "h3"))
+    df = records(spark, rec("/x/Lake.png", 77, "d1"), rec("/y/lake.PNG", 77, "d2"), rec("/z/lake.png", 78, "d3"))
     groups, _ = found(ws, df, "filename")
     assert [(g.duplicate_type, g.n_files) for g in groups] == [("filename", 2)]
 
@@ -40,8 +40,8 @@ def test_wasted_bytes(spark, ws):
 
 
 def test_perceptual_trio(spark, ws):
-    df = records(spark, rec("/a.jpg", 100, None, "0000000000000000"), rec("/b.jpg", 100, None, "0000000000000001"),
-                 rec("/c.jpg", 100, None, "0000000000000011"))
+    df = records(spark, rec("/x.png", 9, None, "a5a5000000000f00"), rec("/y.png", 9, None, "a5a5000000000f08"),
+                 rec("/z.png", 9, None, "a5a5000000004f08"))
     groups, _ = found(ws, df)
     assert [(g.duplicate_type, g.n_files, g.max_distance) for g in groups] == [("perceptual", 3, 2)]
 

@@ -24,18 +24,18 @@ def values(df, *columns):
 
 
 def test_priority_keeper(spark):
-    m = members(spark, g=[("/low/a.jpg", 100), ("/high/b.jpg", 50)], h=[("/b/y.jpg", 2), ("/a/x.jpg", 1)])
-    assert kept(keeper.keepers(m, ["/high", "/low"])) == {"g": "/high/b.jpg", "h": "/a/x.jpg"}
-    assert kept(keeper.keepers(m, [])) == {"g": "/high/b.jpg", "h": "/a/x.jpg"}
+    m = members(spark, g=[("/tmp/elm.png", 31), ("/best/oak.png", 17)], h=[("/n/y.png", 2), ("/m/x.png", 1)])
+    assert kept(keeper.keepers(m, ["/best", "/tmp"])) == {"g": "/best/oak.png", "h": "/m/x.png"}
+    assert kept(keeper.keepers(m, [])) == {"g": "/best/oak.png", "h": "/m/x.png"}
 
 
 def test_quality_keeper(spark):
-    m = members(spark, g=[("/low/a.jpg", 500), ("/high/b.jpg", 100)], h=[("/a/s.png", 50), ("/b/l.png", 20)],
-                i=[("/a/1", 1), ("/b/2", 1)])
-    areas = spark.createDataFrame([("/a/s.png", 100), ("/b/l.png", 10000)], "path string, area bigint")
-    got = kept(keeper.keepers(m, ["/high", "/low"], "quality", areas))
+    m = members(spark, g=[("/tmp/elm.png", 90), ("/best/oak.png", 11)], h=[("/m/small.png", 70), ("/n/wide.png", 30)],
+                i=[("/m/1", 1), ("/n/2", 1)])
+    areas = spark.createDataFrame([("/m/small.png", 640), ("/n/wide.png", 9216)], "path string, area bigint")
+    got = kept(keeper.keepers(m, ["/best", "/tmp"], "quality", areas))
     # Without areas the folder decides; ties go to the last file.
-    assert got == {"g": "/high/b.jpg", "h": "/b/l.png", "i": "/b/2"}
+    assert got == {"g": "/best/oak.png", "h": "/n/wide.png", "i": "/n/2"}
     with pytest.raises(ValueError):
         keeper.keepers(m, [], "size")
 
@@ -94,6 +94,14 @@ def test_deletion(spark, ws):
     assert review.apply_deletions(ws, m, df, paths(spark, "/d", "/e"), allow_extinction=True)[0].count() == 2
 
 
+def test_only_what_went_is_taken_out(spark, ws):
+    df = records(spark, rec("/a", 5, "h", "00"), rec("/b", 5, "h", "01"), rec("/c", 5, "h", "03"))
+    m = ws.save(groups.find_members(ws, df, "content", 8), "m")
+    table, left, kept_records, manifest = review.apply_deletions(ws, m, df, paths(spark, "/b", "/c"), went=paths(spark, "/c", "/x"))
+    assert values(manifest, "path") == [("/c",)] and values(kept_records, "path") == [("/a",), ("/b",)]
+    assert values(table, "duplicate_type", "n_files", "max_distance") == [("exact", 2, None), ("perceptual", 2, 1)]
+
+
 def test_distances_of_large_groups(spark, ws, monkeypatch):
     from twinsieve.operators import spread
     rows = [rec(f"/{i}", i, None, f"{1 << i:x}") for i in range(12)]

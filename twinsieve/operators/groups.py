@@ -169,10 +169,16 @@ def find_members(ws: Workspace, records: DataFrame, mode: str = "both", threshol
     check_mode(mode)
     if not unique_paths:
         records = first_per_path(records)
+    plain, compared = _plain_members(ws, records, mode)
+    return plain if compared is None else plain.unionByName(perceptual_members(ws, compared, threshold))
+
+
+def _plain_members(ws: Workspace, records: DataFrame, mode: str) -> tuple[DataFrame, DataFrame | None]:
+    """Members of the groups that no threshold changes, and the rows left to compare, if any."""
     if mode == "content":
-        return exact_members(ws, records).unionByName(perceptual_members(ws, records, threshold))
+        return exact_members(ws, records), records
     if mode == "filename":
-        return filename_members(ws, records)
+        return filename_members(ws, records), None
     rows = _named(records)
     keys = repeated_keys(ws, rows.select("name", "size"), ["name", "size"], "filename")
     claimed = _members(keys.join(rows.select("name", "size", "path", "media_type")), "filename")
@@ -180,8 +186,7 @@ def find_members(ws: Workspace, records: DataFrame, mode: str = "both", threshol
     # several times, a few columns each.
     free = ws.save(rows.join(keys.df.select("name", "size"), ["name", "size"], "left_anti")
                    .select("path", "size", "media_type", "exact_hash", "phash"), "free")
-    return (claimed.unionByName(exact_members(ws, free))
-            .unionByName(perceptual_members(ws, free, threshold)))
+    return claimed.unionByName(exact_members(ws, free)), free
 
 
 def group_table(members: DataFrame) -> DataFrame:
@@ -216,6 +221,9 @@ def nested_files(members: DataFrame, largest: int) -> DataFrame:
 
 def threshold_sweep(ws: Workspace, records: DataFrame, thresholds: Sequence[int], mode: str = "both",
                     unique_paths: bool = False) -> dict[int, DataFrame]:
-    """Members per threshold, from records that are fingerprinted once."""
+    """Members per threshold; names and contents are grouped once for all."""
+    check_mode(mode)
     kept = ws.save(records if unique_paths else first_per_path(records), "records")
-    return {t: find_members(ws, kept, mode, t, unique_paths=True) for t in thresholds}
+    plain, compared = _plain_members(ws, kept, mode)
+    plain = ws.save(plain, "plain")
+    return {t: plain if compared is None else plain.unionByName(perceptual_members(ws, compared, t)) for t in thresholds}

@@ -119,20 +119,28 @@ def group_distances(ws: Workspace, members: DataFrame, records: DataFrame) -> Da
 
 
 def apply_deletions(ws: Workspace, members: DataFrame, records: DataFrame, marks: DataFrame,
-                    allow_extinction: bool = False, recompute: bool = True
+                    allow_extinction: bool = False, recompute: bool = True, went: DataFrame | None = None
                     ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(groups, members, records, manifest) after the marked paths are gone.
 
     Unless allowed, nothing happens if any group would be left without a file.
-    ``recompute=False`` keeps the freed bytes and distances of before.
+    ``went`` (path) has the paths that were really deleted, as the deleting tool reports; marked ones that it lacks stay.
+    Distances change only in groups that lost a file. ``recompute=False`` keeps the freed bytes and distances of before.
     """
     if not allow_extinction:
         guard(members, marks)
-    manifest = ws.save(deletion_manifest(marks, members), "manifest")
+    manifest = deletion_manifest(marks, members)
+    if went is not None:
+        manifest = manifest.join(went.select("path"), "path", "left_semi")
+    manifest = ws.save(manifest, "manifest")
     left = remaining_members(members, manifest)
     if recompute and "phash" in records.columns:
-        distances = group_distances(ws, left, records)
-        left = (left.drop("max_distance").join(distances, "group_id", "left").select(*members.columns))
+        left = ws.save(left, "left")
+        touched = manifest.select(F.explode("group_ids").alias("group_id")).distinct()
+        distances = (group_distances(ws, left.join(touched, "group_id", "left_semi"), records)
+                     .withColumnRenamed("max_distance", "now"))
+        left = (left.join(distances, "group_id", "left")
+                .withColumn("max_distance", F.coalesce("now", "max_distance")).select(*members.columns))
     left = ws.save(left, "left")
     groups = group_table(left)
     if not recompute:

@@ -31,6 +31,8 @@ from twinsieve.plans.workspace import Workspace
 RANGE_NODES = 50_000
 #: Pairs are listed once they are at most this many per undecided node.
 PAIRS_PER_NODE = 64
+#: So few undecided nodes have no more pairs than are quickly listed; counting them first would cost as much.
+LISTED_NODES = 2_000
 
 
 class Links:
@@ -103,7 +105,7 @@ def greedy_stars(links: Links, threshold: int) -> DataFrame:
 def _next_seeds(free: Links, n: int, threshold: int) -> tuple[DataFrame, int]:
     """More seeds among the undecided nodes: all of them if their pairs are few."""
     ws = free.ws
-    if _pair_bound(free, threshold) > PAIRS_PER_NODE * free.n:
+    if free.n > LISTED_NODES and _pair_bound(free, threshold) > PAIRS_PER_NODE * free.n:
         low = free.earliest_here(threshold)
         seeds, seen = ws.save_counted(low.where(F.col("low") == F.col("rk")).select(*free.node), "seeds")
         return seeds, seen["n"]
@@ -114,8 +116,6 @@ def _next_seeds(free: Links, n: int, threshold: int) -> tuple[DataFrame, int]:
 
 def _pair_bound(free: Links, threshold: int) -> int:
     """Upper bound on the pairs of nodes in reach, without listing them."""
-    if free.n <= 2 * PAIRS_PER_NODE:
-        return free.n * free.n // 2
     fps = free.df.groupBy("fp").agg(F.count(F.lit(1)).alias("c"))
     same = fps.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
     pairs = similar_pairs(free.ws, fps.select("fp"), free.n, threshold)

@@ -351,6 +351,9 @@ ORACLE = {
     "stream_ingest": """
         select '/doc/' || doc_id as path, n_chars as size, doc_id as mtime, sha256(text) as exact_hash
         from documents""",
+    "stream_cached": """
+        select user_id::varchar as scan_id, max(event_id % 1000) as current,
+               max(case when event_id % 3 <> 0 then event_id % 50 else 0 end) as cached from events group by 1""",
     "stream_ext_counts": """
         select user_id::varchar as scan_id, '.' || event_type as ext,
                sum(case when event_id % 5 = 0 then event_id % 7 else 1 end)::bigint as n

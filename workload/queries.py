@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from twinsieve.plans.workspace import Workspace
 from twinsieve.sources import frames as frame_source
 from twinsieve.sources.catalog import keep_media
 from twinsieve.sources.snapshot import Snapshot, merged, split_by_store, store_stats
-from twinsieve.streaming.counters import running_ext_counts
+from twinsieve.streaming.counters import running_cached, running_ext_counts
 from twinsieve.streaming.ingest import ingest_stream
 from workload import views as v
 
@@ -368,24 +370,37 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return store.read().select("path", "size", "mtime", "exact_hash")
 
 
-def stream_ext_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as a stream of progress events; the state after the last batch."""
+def _last_state(spark: SparkSession, sf: str, columns: list, counters, keys: list[str]) -> DataFrame:
+    """The state of counters after the last batch of the events, from what each batch changed."""
     ws = Workspace(spark)
     schema = v.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    events = stream.select(
-        F.col("user_id").cast("string").alias("scan_id"), F.col("ts").cast("timestamp").alias("event_time"),
-        F.lit("hashing").alias("phase"), F.concat(F.lit("/e/"), "event_id", F.lit("."), "event_type").alias("path"),
-        F.when(F.col("event_id") % 5 == 0, F.create_map("event_type", (F.col("event_id") % 7).cast("int")))
-        .alias("ext_deltas"))
-    last = {}
+    events = stream.select(F.col("user_id").cast("string").alias("scan_id"), F.col("ts").cast("timestamp").alias("event_time"),
+                           F.lit("hashing").alias("phase"), *columns)
+    changed = []
 
-    def keep(batch: DataFrame, _: int) -> None:
-        last["counts"] = ws.save(batch, "counts")
+    def keep(batch: DataFrame, number: int) -> None:
+        changed.append(ws.save(batch.withColumn("batch", F.lit(number)), "changes"))
 
-    (running_ext_counts(events).writeStream.outputMode("complete").foreachBatch(keep)
+    (counters(events).writeStream.outputMode("update").foreachBatch(keep)
      .option("checkpointLocation", f"{ws.root}/progress").trigger(availableNow=True).start().awaitTermination())
-    return last["counts"]
+    every = reduce(DataFrame.unionByName, changed)
+    values = [c for c in every.columns if c not in (*keys, "batch")]
+    return every.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values])
+
+
+def stream_ext_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a stream of progress events; the state after the last batch."""
+    columns = [F.concat(F.lit("/e/"), "event_id", F.lit("."), "event_type").alias("path"),
+               F.when(F.col("event_id") % 5 == 0, F.create_map("event_type", (F.col("event_id") % 7).cast("int")))
+               .alias("ext_deltas")]
+    return _last_state(spark, sf, columns, running_ext_counts, ["scan_id", "ext"])
+
+
+def stream_cached(spark: SparkSession, sf: str) -> DataFrame:
+    columns = [(F.col("event_id") % 1000).alias("current"),
+               F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 50).alias("cached")]
+    return _last_state(spark, sf, columns, running_cached, ["scan_id"])
 
 
 def sample_timestamps(spark: SparkSession, sf: str) -> DataFrame:
@@ -469,6 +484,7 @@ QUERIES = {
     "store_stats": stats_of_store,
     "stream_ingest": stream_ingest,
     "stream_ext_counts": stream_ext_counts,
+    "stream_cached": stream_cached,
     "sample_timestamps": sample_timestamps,
     "dhash_luma": dhash_luma,
     "trailing_rate": trailing_rate,
