@@ -79,7 +79,7 @@ class WordBpe:
         #: White space of the tokenizer file's pattern language, which is not quite that of this one.
         self.piece = regex.compile(split.replace(r"\s", r"\x09-\x0D\x20\x85\xA0  -     　"))
         self.inner = self._inner_pairs()
-        self.runs = Memo(self._encode_run)
+        self.runs = Memo(self.encode_run)
         self.pieces = Memo(self._encode_piece)
         self.fragments = Memo(self._encode_fragment)
 
@@ -102,7 +102,8 @@ class WordBpe:
         # Character by character: a sigma at a word's end is no exception.
         return composed.lower() if "Σ" not in composed else "".join(map(str.lower, composed))
 
-    def _encode_run(self, run: bytes) -> bytes:
+    def encode_run(self, run: bytes) -> bytes:
+        """Ids of a run without white space, given in UTF-8, as in ``encode``."""
         text = run.decode("utf-8", "surrogatepass")
         if text.isascii() and text.isalpha():
             return packed(self.pieces[text.lower()])
@@ -150,10 +151,6 @@ class WordBpe:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.runs.__getitem__, (text or "").encode("utf-8", "surrogatepass").split()))
 
-    def count(self, run: str) -> int:
-        """Number of ids of a text."""
-        return len(self.encode(run)) // 4
-
     def decode(self, ids: bytes) -> str:
         """The tokens of ids, special ones included, with a space between: the file names no decoder."""
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -1,17 +1,16 @@
 """Numbers of tokens of texts, counted once per distinct pre-token.
 
 A text's tokens are the sum over its pre-tokens. A pre-token here is a run without white space: the tokenizer drops
-white space and never joins across it, so counts of runs add up to the count of the text.
+white space and never joins across it, so counts of runs add up to the count of the text. Ids are never kept.
 
-1. Texts are taken in chunks of bounded size. A chunk is one row: the ids of its texts, its distinct pre-tokens, and
-   the frequencies of pre-tokens per text as a sparse matrix. It is written once, to a shared folder.
-2. Distinct pre-tokens of all chunks are counted, each once in the whole corpus; no ids are kept.
-3. Counts are joined to the chunks' pre-tokens, come back as one short vector per chunk, and multiplied with the
-   matrix.
+1. Tasks tally pre-tokens in tables of bounded size. The ``HEAD`` most frequent ones are counted, each once, and go to
+   all tasks; their number is fixed, and which they are decides the cost only.
+2. Each text's pre-token frequencies are taken. Those of the head are summed at once; the others, mostly rare words,
+   stay as a list with the text's row, in a table that is written to a shared folder.
+3. The distinct pre-tokens of these lists are counted, each once in the whole corpus, joined to the frequencies, and
+   summed per row.
 
-What is shuffled are the distinct pre-tokens of chunks and their counts, never one row per token or per text and
-token. A pre-token that every text has is one row per chunk, so a very common word is no hot key; adaptive execution
-splits the join if it is one all the same.
+So what is shuffled are rare pre-tokens only; a very common one is in the head and no key of a join.
 
 Null texts count as empty and have zero tokens and bytes. Repeated rows and ids each get a row. Only the id and the
 text are read, so other columns do not matter. An empty table gives an empty result.
@@ -19,7 +18,8 @@ text are read, so other columns do not matter. An empty table gives an empty res
 
 from __future__ import annotations
 
-import numpy as np
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,64 +29,38 @@ from pyspark.sql.types import StructType
 from twinsieve.llm.bpe import loaded
 from twinsieve.plans.workspace import Workspace
 
-#: Bytes of text after which a chunk is closed; a longer text makes a chunk of its own.
-CHUNK_BYTES = 16 << 20
-
-CHUNK = ("chunk string, ids array<bigint>, n_bytes array<bigint>, tokens array<string>, "
-         "starts binary, columns binary, freqs binary")
-
-
-class Chunk:
-    """Texts of a task, as a matrix of frequencies."""
-
-    def __init__(self):
-        self.ids: list = []
-        self.n_bytes: list[int] = []
-        self.places: dict[bytes, int] = {}
-        self.codes: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, key, text: str | None) -> None:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        runs, places = raw.split(), self.places
-        new = [run for run in dict.fromkeys(runs) if run not in places]
-        places.update(zip(new, range(len(places), len(places) + len(new))))
-        self.codes.append(np.fromiter(map(places.__getitem__, runs), np.int32, len(runs)))
-        self.ids.append(key)
-        self.n_bytes.append(len(raw))
-        self.size += len(raw)
-
-    def row(self, name: str) -> dict:
-        lengths = np.array([len(c) for c in self.codes])
-        width = max(1, len(self.places))
-        cells = np.repeat(np.arange(len(lengths)), lengths) * width + np.concatenate([*self.codes, np.zeros(0, int)])
-        cells, freqs = np.unique(cells.astype(np.int64), return_counts=True)
-        starts = np.searchsorted(cells, np.arange(len(lengths) + 1) * width)
-        return {"chunk": name, "ids": self.ids, "n_bytes": self.n_bytes,
-                "tokens": [t.decode("utf-8", "surrogatepass") for t in self.places],
-                "starts": starts.astype("<i8").tobytes(), "columns": (cells % width).astype("<i4").tobytes(),
-                "freqs": freqs.astype("<i4").tobytes()}
-
-
-def frequency_chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                     chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Per-text frequencies of pre-tokens, a row per chunk of texts."""
-    arrow = to_arrow_schema(StructType.fromDDL(CHUNK))
+#: Pre-tokens whose counts every task has.
+HEAD = 200_000
+#: Entries of a task's tally; it falls back to the more frequent half when full.
+TALLY_ENTRIES = 600_000
+
+FREQUENCIES = ("row bigint, doc_id bigint, n_bytes bigint, head_tokens bigint, "
+               "tokens array<binary>, freqs array<int>")
+
+
+def runs_of(raw: bytes) -> list[bytes]:
+    """Pre-tokens. ASCII letters become small as the tokenizer makes them, unless special tokens could come about."""
+    return raw.split() if b"<|" in raw else raw.lower().split()
 
-    def batches(incoming):
-        from pyspark import TaskContext
 
-        task, n, chunk = TaskContext.get().partitionId(), 0, Chunk()
+def tallied(docs: DataFrame, entries: int = TALLY_ENTRIES) -> DataFrame:
+    """Pre-tokens and how often tasks have seen them; rare ones may be missing."""
+
+    def batches(incoming):
+        tally: Counter = Counter()
         for batch in incoming:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                chunk.add(key, text.as_py())
-                if chunk.size >= chunk_bytes:
-                    yield pa.RecordBatch.from_pylist([chunk.row(f"{task}-{n}")], arrow)
-                    n, chunk = n + 1, Chunk()
-        if chunk.ids:
-            yield pa.RecordBatch.from_pylist([chunk.row(f"{task}-{n}")], arrow)
+            for text in batch.column(0):
+                tally.update(runs_of((text.as_py() or "").encode("utf-8", "surrogatepass")))
+                if len(tally) > entries:
+                    tally = Counter(dict(tally.most_common(entries // 2)))
+        some = tally.most_common(entries // 2)
+        for at in range(0, len(some), 50_000):
+            tokens, counts = zip(*some[at:at + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(counts, pa.int64())],
+                                             names=["token", "n"])
 
-    return docs.select(F.col(id_column).cast("bigint"), text_column).mapInArrow(batches, CHUNK)
+    per_task = docs.select("text").mapInArrow(batches, "token binary, n bigint").where("n > 1")
+    return per_task.groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def counter(path: str):
@@ -94,36 +68,53 @@ def counter(path: str):
 
     @F.arrow_udf("int")
     def count(tokens: pa.Array) -> pa.Array:
-        return pa.array(map(loaded(path).count, tokens.to_pylist()), pa.int32())
+        encode = loaded(path).encode_run
+        return pa.array([len(encode(t)) // 4 for t in tokens.to_pylist()], pa.int32())
 
     return count
 
 
-def summed(incoming, arrow: pa.Schema):
-    """Rows of texts from chunks with their pre-tokens' counts."""
-    for batch in incoming:
-        for i in range(batch.num_rows):
-            row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
-            starts = np.frombuffer(row["starts"].as_py(), "<i8")
-            columns, freqs = (np.frombuffer(row[c].as_py(), d) for c, d in (("columns", "<i4"), ("freqs", "<i4")))
-            counts = np.zeros(max(1, int(columns.max(initial=-1)) + 1), np.int64)
-            if row["places"].is_valid:
-                counts[row["places"].values.to_numpy()] = row["counts"].values.to_numpy()
-            sums = np.concatenate([[0], np.cumsum(counts[columns] * freqs)])
-            yield pa.RecordBatch.from_arrays(
-                [row["ids"].values, row["n_bytes"].values, pa.array(np.diff(sums[starts]))], schema=arrow)
-
-
-def token_counts(ws: Workspace, docs: DataFrame, path: str, id_column: str = "doc_id",
-                 text_column: str = "text") -> DataFrame:
-    """Id, ``n_bytes`` (UTF-8) and ``n_tokens`` of every text."""
-    chunks = ws.save(frequency_chunks(docs, id_column, text_column), "chunks")
-    uses = chunks.select("chunk", F.posexplode("tokens").alias("place", "token"))
+def frequencies(docs: DataFrame, head: dict[bytes, int]) -> DataFrame:
+    """Per row: the tokens of head pre-tokens, and the other pre-tokens with their frequencies."""
+    arrow = to_arrow_schema(StructType.fromDDL(FREQUENCIES))
+    shared = docs.sparkSession.sparkContext.broadcast(head)
+
+    def batches(incoming):
+        get = shared.value.get
+        for batch in incoming:
+            sizes, sums, tokens, freqs = [], [], [], []
+            for text in batch.column(2):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                total, rest, times = 0, [], []
+                for token, n in Counter(runs_of(raw)).items():
+                    known = get(token)
+                    if known is None:
+                        rest.append(token)
+                        times.append(n)
+                    else:
+                        total += known * n
+                sizes.append(len(raw))
+                sums.append(total)
+                tokens.append(rest)
+                freqs.append(times)
+            columns = [batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in
+                                                           zip((sizes, sums, tokens, freqs), list(arrow)[2:]))]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return docs.select("row", "doc_id", "text").mapInArrow(batches, FREQUENCIES)
+
+
+def token_counts(ws: Workspace, docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text",
+                 head: int = HEAD) -> DataFrame:
+    """``doc_id``, ``n_bytes`` (UTF-8) and ``n_tokens`` of every text."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("bigint").alias("doc_id"),
+                       F.col(text_column).alias("text"))
+    common = tallied(rows).orderBy(F.desc("n"), "token").limit(head).select("token")
+    known = {bytes(r["token"]): r["n"] for r in common.withColumn("n", counter(path)("token")).collect()}
+    table = ws.save(frequencies(rows, known), "frequencies")
+    uses = table.select("row", F.explode(F.arrays_zip("tokens", "freqs")).alias("u")).select(
+        "row", F.col("u.tokens").alias("token"), F.col("u.freqs").alias("freq"))
     counted = uses.select("token").distinct().withColumn("n", counter(path)("token"))
-    vectors = (uses.join(counted, "token").groupBy("chunk")
-               .agg(F.collect_list("place").alias("places"), F.collect_list("n").alias("counts")))
-    kind = StructType.fromDDL("doc_id bigint, n_bytes bigint, n_tokens bigint")
-    arrow = to_arrow_schema(kind)
-    return (chunks.drop("tokens").join(vectors, "chunk", "left")
-            .select("ids", "n_bytes", "starts", "columns", "freqs", "places", "counts")
-            .mapInArrow(lambda incoming: summed(incoming, arrow), kind))
+    sums = (uses.join(counted, "token").groupBy("row").agg(F.sum(F.col("freq") * F.col("n")).alias("rare_tokens")))
+    return table.select("row", "doc_id", "n_bytes", "head_tokens").join(sums, "row", "left").select(
+        "doc_id", "n_bytes", (F.col("head_tokens") + F.coalesce("rare_tokens", F.lit(0))).alias("n_tokens"))
