@@ -24,6 +24,5 @@ def spark():
 @pytest.fixture
 def ws(spark):
     from twinsieve.plans.workspace import Workspace
-    space = Workspace(spark)
-    yield space
-    space.drop()
+    with Workspace(spark) as space:
+        yield space

@@ -6,6 +6,7 @@ computed once even when several later steps read it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = named or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     own = tempfile.mkdtemp(prefix="spark-twinsieve-")
     spark.sparkContext.setCheckpointDir(own)
@@ -27,7 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """One folder of intermediate tables; ``drop`` removes it when done."""
+    """One folder of intermediate tables; ``drop`` removes it when done, as does the end of a ``with`` block.
+
+    Results that operators return read these tables: write them elsewhere first.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -54,6 +58,12 @@ class Workspace:
          .write.parquet(path))
         return self.spark.read.schema(df.schema).parquet(path), seen.get
 
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
     def drop(self) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
