@@ -150,6 +150,12 @@ def test_browsing(spark):
                      "size-desc": ["h", "g", "i"], "size-asc": ["i", "g", "h"]}
     assert [r.group_id for r in browse.page_of_groups(table, 7, "default", 2).collect()] == ["i"]
     assert [r.group_id for r in browse.page_of_groups(table, 0, "default", 2).collect()] == ["g", "h"]
+    for k in browse.SORTS:
+        page, seen = browse.page_after(table, None, k, 2).collect(), []
+        while page:
+            seen += [r.group_id for r in page]
+            page = browse.page_after(table, page[-1], k, 2).collect()
+        assert seen == order[k]
     assert [r.ext for r in browse.available_exts(m).collect()] == [".jpg", ".png"]
     assert [tuple(r) for r in browse.ext_counts(m).collect()] == [(".jpg", 5), ("(none)", 1), (".png", 1)]
     assert browse.result_summary(table, m, ".jpg").first().label == "1 of 3 groups"

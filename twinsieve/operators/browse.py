@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from twinsieve.functions.paths import extension
@@ -37,11 +37,33 @@ def sort_groups(groups: DataFrame, order: str = "default") -> DataFrame:
 
 
 def page_of_groups(groups: DataFrame, page: int, order: str = "default", page_size: int = PAGE_SIZE) -> DataFrame:
-    """One page, counting from 0; beyond the end, the last one."""
+    """One page, counting from 0; beyond the end, the last one.
+
+    A page far down gathers all before it; to go through many, use ``page_after``.
+    """
     pages = max(1, -(-groups.count() // page_size))
     return sort_groups(groups, order).offset(min(page, pages - 1) * page_size).limit(page_size)
 
 
+def page_after(groups: DataFrame, last: Row | None, order: str = "default", page_size: int = PAGE_SIZE) -> DataFrame:
+    """The page that follows the group ``last`` of the one before, or the first page.
+
+    It is sought by the sort keys, so no page costs more than the first, however far down it is.
+    """
+    if order not in SORTS:
+        raise ValueError(f"order must be one of {tuple(SORTS)}, got {order!r}")
+    keys = [("duplicate_type", True), ("first_key", True), ("group_id", True)]
+    keys = ([SORTS[order]] if SORTS[order] else []) + keys
+    if last is not None:
+        beyond, equal = F.lit(False), F.lit(True)
+        for name, up in keys:
+            column, value = F.col(name), F.lit(last[name])
+            beyond |= equal & (column > value if up else column < value)
+            equal &= column == value
+        groups = groups.where(beyond)
+    return sort_groups(groups, order).limit(page_size)
+
+
 def one_group(groups: DataFrame, group_id: str) -> DataFrame:
     """The group of this id, which must exist."""
     found = groups.where(F.col("group_id") == group_id)
@@ -72,6 +94,7 @@ def result_summary(groups: DataFrame, members: DataFrame, ext: str | None = None
     shown = groups if ext is None else groups_all_ext(groups, members, ext)
     visible = shown.agg(F.count(F.lit(1)).alias("visible"))
     total = groups.agg(F.count(F.lit(1)).alias("total"))
+    # The texts of the line.
     plural = F.when(F.col("total") == 1, "").otherwise("s")
     counted = F.concat(F.col("total").cast("string"), F.lit(" group"), plural)
     text = F.concat(F.col("visible").cast("string"), F.lit(" of "), counted) if ext else \
