@@ -29,8 +29,8 @@ from tokenizers import Tokenizer
 
 from twinsieve.llm.rows import struct_udf
 
-#: Entries of a task's table of encoded runs, pieces or fragments; it is emptied when full.
-CACHE_ENTRIES = 600_000
+#: Entries of a worker's table of encoded runs, pieces or fragments; it is emptied when full.
+CACHE_ENTRIES = 200_000
 #: Runs longer than this are encoded but not kept.
 CACHED_BYTES = 64
 
@@ -206,13 +206,14 @@ def loaded(path: str) -> WordBpe:
 
 
 def encoded(text: Column | str, path: str) -> Column:
-    """Struct with ``ids``: little-endian unsigned 32-bit integers, and ``n_tokens``."""
+    """Struct with ``ids``: little-endian unsigned 32-bit integers, ``n_tokens``, and the text they decode to."""
 
     def batch(texts):
-        ids = list(map(loaded(path).encode, texts))
-        return {"ids": ids, "n_tokens": [len(x) // 4 for x in ids]}
+        bpe = loaded(path)
+        ids = list(map(bpe.encode, texts))
+        return {"ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": list(map(bpe.decode, ids))}
 
-    return struct_udf(batch, "ids binary, n_tokens bigint")(text)
+    return struct_udf(batch, "ids binary, n_tokens bigint, decoded string")(text)
 
 
 def decoded(ids: Column | str, path: str) -> Column:

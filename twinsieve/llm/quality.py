@@ -25,15 +25,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.rows import struct_udf
+from twinsieve.llm.rows import content_key, struct_udf
 
 DIMENSIONS = 1 << 18
 #: Rated texts the model is fitted on, at most.
 FIT_ROWS = 20_000
 #: A feature must occur in so many of the rated texts to get a weight.
 MIN_TEXTS = 15
-#: Entries of a task's table of hashed words.
-CACHE_ENTRIES = 400_000
+#: Entries of a worker's table of hashed words; it is emptied when full.
+CACHE_ENTRIES = 150_000
 
 EDGES = re.compile(rb"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$")
 SYMBOLS = bytes(set(range(256)) - set(b"#*$%&|<>!@^~=_{}[]\\"))
@@ -142,11 +142,16 @@ def fit_on(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS, n_grad
     """The model of ``ratings`` (doc_id, grade) over ``docs`` (doc_id, text)."""
     rated = ratings.where("doc_id is not null and grade is not null").select("doc_id", "grade")
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(fit_rows)
-    found = struct_udf(lambda texts: {"buckets": [features(t) for t in texts]}, "buckets array<bigint>")
+    found = struct_udf(lambda texts: {"buckets": [features(t) for t in texts]}, "buckets array<int>")
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-            .select("doc_id", "grade", found("text").alias("f")).select("doc_id", "grade", "f.buckets"))
-    got = sorted(rows.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["grade"], r["buckets"]))
-    return fit([np.array(r["buckets"], np.int64) for r in got], np.array([r["grade"] for r in got], int), n_grades)
+            .select("doc_id", "grade", content_key("text").alias("key"), found("text").alias("f"))
+            .select("doc_id", "grade", "key", "f.buckets"))
+    # As arrays all the way: lists of numbers would take many times the memory.
+    got = rows.toArrow().combine_chunks()
+    order = got.sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("key", "ascending")]).combine_chunks()
+    lists = order["buckets"].chunk(0) if order.num_rows else None
+    parts = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py()) if lists else []
+    return fit(parts, order["grade"].to_numpy().astype(int), n_grades)
 
 
 def graded(model: OrdinalModel, text: Column | str, least: float = 0.5) -> Column:
