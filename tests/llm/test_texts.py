@@ -141,9 +141,10 @@ def test_ordinary_words_tell_against_a_pattern(spark, ws):
     assert pii.find_personal_data(ws, docs).where("doc_id = 200 and size(spans) > 0").count() == 0
 
 
-def test_masking(spark, ws):
+@pytest.mark.parametrize("block", [0, 1000])
+def test_masking(spark, ws, block):
     docs = spark.createDataFrame([(i, t, "en", 0) for i, t in CONTEXTS], "doc_id bigint, text string, _spans string, n_chars bigint")
-    got = {r["doc_id"]: r for r in pii.without_personal_data(ws, docs).collect()}
+    got = {r["doc_id"]: r for r in pii.without_personal_data(ws, docs, block).collect()}
     assert pii.without_personal_data(ws, docs).count() == len(CONTEXTS)
     assert got[0]["text"] == "filler words then Customer number: [ID] and so on" and got[0]["n_chars"] == len(got[0]["text"])
     assert got[300]["text"] is None and got[304]["text"] == "Customer number: none" and got[0]["_spans"] == "en"

@@ -221,12 +221,22 @@ def confident_patterns(ws: Workspace, docs: DataFrame, seen: DataFrame, rounds:
     return scored.where(F.col("confidence") >= confident)
 
 
-def find_personal_data(ws: Workspace, docs: DataFrame, **options) -> DataFrame:
-    """``doc_id``, ``text_key``, counts of the known kinds, and ``spans`` (start, kind, end) of every row of ``docs``."""
+def _scan(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` with their known spans, and a row per occurrence of an entity or candidate."""
     found = ws.save(docs.select("doc_id", content_key("text").alias("text_key"), struct_udf(scanned, SCAN)("text").alias("s"))
                     .select("doc_id", "text_key", "s.*"), "scanned")
-    seen = found.select("doc_id", "text_key", F.explode("seen").alias("o")).select("doc_id", "text_key", "o.*")
+    return found, found.select("doc_id", "text_key", F.explode("seen").alias("o")).select("doc_id", "text_key", "o.*")
+
+
+def find_personal_data(ws: Workspace, docs: DataFrame, **options) -> DataFrame:
+    """``doc_id``, ``text_key``, counts of the known kinds, and ``spans`` (start, kind, end) of every row of ``docs``."""
+    found, seen = _scan(ws, docs)
     patterns = ws.save(confident_patterns(ws, docs, seen.select("pattern", "value", "seed"), **options), "patterns")
+    return _with_spans(found, seen, patterns)
+
+
+def _with_spans(found: DataFrame, seen: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The scanned rows with the known spans and those that patterns discover."""
     more = (seen.where("not seed").join(patterns.select("pattern"), "pattern")
             .groupBy("doc_id", "text_key")
             .agg(F.collect_set(F.struct("start", F.lit(BASE).alias("kind"), "end")).alias("more")))
@@ -245,34 +255,62 @@ def written(spans: Column) -> Column:
         ":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def mask(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
+    """The text with each run of overlapping (start, kind, end) replaced by the name of the first one's kind in brackets."""
+    if text is None or not spans:
+        return text
+    parts, at = [], 0
+    for start, kind, end in spans:
+        if start >= at:
+            parts += [text[at:start], f"[{KINDS[kind].upper()}]"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
 def masked(text: Column | str, spans: Column | str) -> Column:
-    """The text with each run of overlapping spans replaced by the name of the first one's kind in brackets."""
+    """The text with ``spans`` masked."""
 
     def apply(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for text, some in zip(texts.to_pylist(), spans.to_pylist()):
-            if text is None or not some:
-                out.append(text)
-                continue
-            parts, at = [], 0
-            for s in some:
-                if s["start"] >= at:
-                    parts += [text[at:s["start"]], f"[{KINDS[s['kind']].upper()}]"]
-                at = max(at, s["end"])
-            out.append("".join([*parts, text[at:]]))
-        return pa.array(out, pa.string())
+        return pa.array([mask(t, [(s["start"], s["kind"], s["end"]) for s in some or []])
+                         for t, some in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
 
     return F.arrow_udf(apply, "string")(text, spans)
 
 
-def without_personal_data(ws: Workspace, docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, n_chars and any other columns) with personal data masked and ``n_chars`` counted anew."""
-    found = (find_personal_data(ws, docs.select("doc_id", "text")).where(F.size("spans") > 0)
+def masked_by(text: Column | str, patterns: list[int]) -> Column:
+    """The text with all known kinds masked, and candidates behind ``patterns``."""
+    known = frozenset(patterns)
+
+    def batch(texts):
+        out = []
+        for text in texts:
+            got = scanned([text])
+            spans = [(s["start"], s["kind"], s["end"]) for s in got["spans"][0]]
+            spans += [(o["start"], BASE, o["end"]) for o in got["seen"][0] if not o["seed"] and o["pattern"] in known]
+            out.append(mask(text, sorted(spans)))
+        return {"text": out}
+
+    return struct_udf(batch, "text string")(text)["text"]
+
+
+def without_personal_data(ws: Workspace, docs: DataFrame, block_patterns: int = BLOCK_PATTERNS) -> DataFrame:
+    """``docs`` (doc_id, text, n_chars and any other columns) with personal data masked and ``n_chars`` counted anew.
+
+    Texts are scanned again with the patterns at hand and so need no shuffle; more than ``block_patterns`` of them do not
+    go to all tasks, and spans are joined to the texts instead.
+    """
+    plain_docs = docs.select("doc_id", "text")
+    found, seen = _scan(ws, plain_docs)
+    patterns = ws.save(confident_patterns(ws, plain_docs, seen.select("pattern", "value", "seed")), "patterns")
+    some = [r["pattern"] for r in patterns.select("pattern").limit(block_patterns + 1).collect()]
+    if len(some) <= block_patterns:
+        rows = docs.select(*[masked_by("text", some).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+        return rows.withColumn("n_chars", F.char_length("text").cast("bigint"))
+    spans = (_with_spans(found, seen, patterns).where(F.size("spans") > 0)
              .groupBy("doc_id", "text_key").agg(F.first("spans").alias("_spans"))
-             .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_spans"))
-    found = ws.save(found, "to_mask")
-    joined = docs.alias("d").join(found, F.col("d.doc_id").eqNullSafe(F.col("_id"))
-                                  & content_key(F.col("d.text")).eqNullSafe(F.col("_key")), "left")
-    text = masked(F.col("d.text"), F.col("_spans"))
+             .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("_spans").alias("_found")))
+    joined = docs.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s._id"))
+                                  & content_key(F.col("d.text")).eqNullSafe(F.col("s._key")), "left")
+    text = masked(F.col("d.text"), F.col("s._found"))
     rows = joined.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
     return rows.withColumn("n_chars", F.char_length("text").cast("bigint"))
