@@ -23,8 +23,10 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from twinsieve.llm.rows import struct_udf
@@ -33,6 +35,8 @@ from twinsieve.llm.rows import struct_udf
 CACHE_ENTRIES = 200_000
 #: Runs longer than this are encoded but not kept.
 CACHED_BYTES = 64
+#: Rows whose ids and decoded texts a worker holds at once.
+PART_ROWS = 500
 
 
 def byte_symbols() -> list[str]:
@@ -205,15 +209,24 @@ def loaded(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encoded(text: Column | str, path: str) -> Column:
-    """Struct with ``ids``: little-endian unsigned 32-bit integers, ``n_tokens``, and the text they decode to."""
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id``, ``ids`` (little-endian unsigned 32-bit integers), ``n_tokens`` and ``decoded``, what they decode to.
 
-    def batch(texts):
-        bpe = loaded(path)
-        ids = list(map(bpe.encode, texts))
-        return {"ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": list(map(bpe.decode, ids))}
+    Results are several times as large as the texts, so they leave a worker in parts of ``PART_ROWS`` rows.
+    """
 
-    return struct_udf(batch, "ids binary, n_tokens bigint, decoded string")(text)
+    def batches(incoming):
+        bpe = loaded(path)
+        for batch in incoming:
+            for at in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(at, PART_ROWS)
+                ids = [bpe.encode(text.as_py()) for text in part.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                     pa.array(map(bpe.decode, ids), pa.string())], names=["doc_id", "ids", "n_tokens", "decoded"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+        batches, "doc_id bigint, ids binary, n_tokens bigint, decoded string")
 
 
 def decoded(ids: Column | str, path: str) -> Column:
