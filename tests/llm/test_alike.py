@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from llm.test_links import plain_roots
-from twinsieve.llm import alike
+from twinsieve.llm import alike, simhash
 
 
 def plain_shingles(text):
@@ -75,3 +75,18 @@ def test_candidates_at_the_threshold():
 def test_nulls_and_nothing(spark, ws, rows):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert alike.one_of_each(ws, docs).count() == len(rows) // 2
+
+
+@pytest.mark.parametrize("drop", [simhash.one_of_each, lambda ws, docs: corpus_pipeline.keep_one_of_each(ws.spark, docs, "")])
+def test_near_fingerprints_of_unlike_texts_drop_nothing(spark, ws, drop):
+    rng = random.Random(14)
+    base = rng.choices([f"w{i}" for i in range(2000)], k=900)
+    prints, found = simhash.fingerprint(" ".join(base)), []
+    while len(found) < 2:
+        other = edited(rng, base, 50)
+        if ((simhash.fingerprint(" ".join(other)) ^ prints) & (1 << 64) - 1).bit_count() <= 3:
+            found.append(other)
+    assert all(share(plain_shingles(" ".join(base)), plain_shingles(" ".join(o))) < 0.8 for o in found)
+    rows = [(i, " ".join(t)) for i, t in enumerate([base, *found, base])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in drop(ws, docs).collect()) == [0, 1, 2]

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from twinsieve.llm.alike import alike_roots, described_by
 from twinsieve.llm.components import connected_components
 from twinsieve.llm.rows import struct_udf
 from twinsieve.plans.workspace import Workspace
@@ -179,14 +180,20 @@ def near_duplicates(ws: Workspace, docs: DataFrame, id_column: str = "doc_id", t
 
 
 def one_of_each(ws: Workspace, docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text and any other columns) with the row of the smallest id of each component.
+    """``docs`` (doc_id, text and any other columns) with the row of the smallest id of each group of near duplicates.
 
-    Of several rows with that id one stays, and of a component without any id one row.
+    A group is a component's rows whose texts are ``alike`` or linked by such texts: near fingerprints alone drop no row.
+    Of several rows with the smallest id one stays, and of a group without any id one row.
     """
-    plain = docs.columns
-    packed = ws.save(docs.select(F.struct(*[F.col(f"`{c}`") for c in plain]).alias("row"), "doc_id",
-                                 fingerprints("text").alias("f")).select("row", "doc_id", "f.fp"), "packed")
-    components = near_components(ws, packed.select("doc_id", "fp"))
-    first = (packed.join(components, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .dropDuplicates(["root"]))
+    packed = ws.save(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id",
+                                 fingerprints("text").alias("f"), described_by("text").alias("d"))
+                     .select("row", "doc_id", "f.fp", "d.*"), "packed")
+    components = near_components(ws, packed.select("doc_id", "fp")).select("fp", F.col("root").alias("near"))
+    roots = alike_roots(ws, packed.select("key", "n", "bands", F.col("row.text").alias("text")))
+    nodes = (packed.groupBy("key", "fp").agg(F.min("doc_id").alias("first_id")).join(components, "fp")
+             .join(roots, "key", "left").select("key", "fp", "near", "first_id", F.coalesce("root", "key").alias("root")))
+    nodes = ws.save(nodes, "groups")
+    ids = nodes.groupBy("near", "root").agg(F.min("first_id").alias("least_id"))
+    first = (packed.select("row", "doc_id", "key", "fp").join(nodes.join(ids, ["near", "root"]), ["key", "fp"])
+             .where(F.col("doc_id").eqNullSafe(F.col("least_id"))).dropDuplicates(["near", "root"]))
     return first.select("row.*")
