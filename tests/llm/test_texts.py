@@ -51,6 +51,19 @@ def test_entropy_spans(text, found):
     assert len(secrets.entropy_spans(text)) == found
 
 
+@pytest.mark.parametrize("text, found", [
+    ("pw=Zx9Qp2Lk8Vn4Rt7Ws1Yb", "Zx9Qp2Lk8Vn4Rt7Ws1Yb"), ("key Zx9Qp2Lk8Vn4Rt7W end", "Zx9Qp2Lk8Vn4Rt7W"),
+    ("k Zx9Qp2Lk8V-4Rt7Ws1YbcD z", "Zx9Qp2Lk8V-4Rt7Ws1YbcD"), ("h=ABCDEF0123456789BEEF", "ABCDEF0123456789BEEF"),
+    ("id=3f7a09c5d18e42b6", "3f7a09c5d18e42b6"), ("aa/1212121212121212121212", None),
+    ("x9=averylongwordwithoutanydigits", None), ("aaaa1111aaaa1111-aaaa", None)])
+def test_short_and_joined_runs(text, found):
+    spans = secrets.entropy_spans(text)
+    if found is None:
+        assert not spans
+    else:
+        assert len(spans) == 1 and spans[0][0] <= text.index(found) and spans[0][1] >= text.index(found) + len(found)
+
+
 def test_secret_column(spark):
     rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*ODD, "token = abcdef1 é", "token = abcdef1 é"])],
                                  "doc_id int, text string, spans int")

@@ -1,10 +1,12 @@
 """Secrets in texts: known forms, and strings of high entropy.
 
 Known forms are assignments of passwords and the like, access keys and long hexadecimal strings. Beyond them, candidate
-strings (runs of the characters secrets are made of) get the Shannon entropy of every window of their character class.
-A window slides by one character and its entropy follows from the one before: only the counts of the character that
-leaves and of the one that enters change. Windows at or above the class's threshold are united to spans. Candidates on
-the allow list (identifiers that are no secrets, or have too few kinds of characters) are suppressed first.
+strings (runs of the characters secrets are made of) are cut into the longest runs of each character class, and such a
+run of ``LEAST`` characters or more gets the Shannon entropy of every window of its class. A run shorter than the window
+is one window, with a threshold that is the same share of the most bits its length can have. A run that a narrower class
+has whole is that class's alone. A window slides by one character and its entropy follows from the one before: only the counts of the character that
+leaves and of the one that enters change. Windows at or above the class's threshold are united to spans. Candidates and
+runs on the allow list (identifiers that are no secrets, or have too few kinds of characters) are suppressed first.
 
 Counts are summed as whole numbers, so a window's entropy does not depend on where the sliding began.
 
@@ -40,17 +42,29 @@ class CharacterClass:
     """A set of characters, the width of a window of them and the bits per character from which it is a secret."""
 
     name: str
-    run: re.Pattern
+    runs: tuple[re.Pattern, ...]
     window: int
     bits: float
 
+    def threshold(self, width: int) -> float:
+        """Bits per character for a window of ``width``: scaled by the most bits it can have."""
+        return self.bits * (math.log2(width) / math.log2(self.window))
 
-#: From the narrowest class to the widest; a run belongs to the first that has all its characters.
+
+#: Characters of a candidate, and of a run in it.
+LEAST = 16
+
+
+def runs_of(*characters: str) -> tuple[re.Pattern, ...]:
+    return tuple(re.compile(f"[{c}]{{{LEAST},}}+") for c in characters)
+
+
+#: From the narrowest class to the widest.
 CLASSES = (
-    CharacterClass("digits", re.compile(r"[0-9]+"), 32, math.inf),
-    CharacterClass("hexadecimal", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 20, 3.0),
-    CharacterClass("alphanumeric", re.compile(r"[A-Za-z0-9]+"), 20, 3.7),
-    CharacterClass("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 24, 4.0),
+    CharacterClass("digits", runs_of("0-9"), 32, math.inf),
+    CharacterClass("hexadecimal", runs_of("0-9a-f", "0-9A-F"), 20, 3.0),
+    CharacterClass("alphanumeric", runs_of("A-Za-z0-9"), 20, 3.7),
+    CharacterClass("base64", runs_of("A-Za-z0-9+/_=-"), 24, 4.0),
 )
 
 #: Candidates that are no secrets, each of which must match the whole string: words and names of words, UUIDs, dates
@@ -90,22 +104,37 @@ def window_entropies(text: str, window: int):
         yield whole - total / (1 << 40) / window
 
 
+def run_spans(run: str, kind: CharacterClass, start: int) -> list[list[int]]:
+    """Spans of windows at or above the threshold in a run that begins at ``start``."""
+    width, out = min(kind.window, len(run)), []
+    least = kind.threshold(width)
+    for i, bits in enumerate(window_entropies(run, width), start):
+        if bits >= least:
+            if out and out[-1][1] >= i:
+                out[-1][1] = i + width
+            else:
+                out.append([i, i + width])
+    return out
+
+
 def entropy_spans(text: str, allowed=ALLOWED, classes=CLASSES) -> list[tuple[int, int]]:
     """Spans of windows of high entropy within the candidates of a text."""
-    out: list[list[int]] = []
+    found: list[list[int]] = []
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if any(p.fullmatch(run) for p in allowed):
+        if any(p.fullmatch(m.group()) for p in allowed):
             continue
-        kind = next(k for k in classes if k.run.fullmatch(run))
-        if kind.bits == math.inf or len(run) < kind.window:
-            continue
-        for i, bits in enumerate(window_entropies(run, kind.window), m.start()):
-            if bits >= kind.bits:
-                if out and out[-1][1] >= i:
-                    out[-1][1] = i + kind.window
-                else:
-                    out.append([i, i + kind.window])
+        narrower: list[re.Pattern] = []
+        for kind in classes:
+            for sub in (x for p in kind.runs if kind.bits < math.inf for x in p.finditer(m.group())):
+                if not any(p.fullmatch(sub.group()) for p in (*narrower, *allowed)):
+                    found += run_spans(sub.group(), kind, m.start() + sub.start())
+            narrower += kind.runs
+    out: list[list[int]] = []
+    for a, b in sorted(found):
+        if out and out[-1][1] >= a:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
     return [(a, b) for a, b in out]
 
 
