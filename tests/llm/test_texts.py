@@ -154,6 +154,26 @@ def test_ordinary_words_tell_against_a_pattern(spark, ws):
     assert pii.find_personal_data(ws, docs).where("doc_id = 200 and size(spans) > 0").count() == 0
 
 
+def found_ids(spark, ws, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {texts[r["doc_id"]][s["start"]:s["end"]] for r in pii.find_personal_data(ws, docs).collect()
+            for s in r["spans"] if s["kind"] == pii.BASE}
+
+
+def test_identifiers_at_the_start_and_behind_joined_labels(spark, ws):
+    texts = [f"{p}user{i}@mail.example.com{q}" for i in range(8) for p, q in (
+        ("Customer: ", ""), ("see the id:", " ok"), ("a no=", " b"), ("", " wrote us today"))]
+    want = [("Customer: ", "AB-10037", ""), ("new id:", "AB-10038", " z"), ("no=", "AB-10039", ""), ("", "AB-10040", " wrote us again")]
+    assert found_ids(spark, ws, texts + ["".join(w) for w in want]) == {w[1] for w in want}
+
+
+def test_chains_of_patterns_are_followed_to_the_end(spark, ws):
+    texts = [f"l0 l0b user{i}@mail.example.com" for i in range(6)]
+    for k in range(6):
+        texts += [f"l{k} l{k}b X{k}-{1000 + i}" for i in range(6)] + [f"l{k + 1} l{k + 1}b X{k}-{1000 + i}" for i in range(6)]
+    assert len(found_ids(spark, ws, texts)) == 36
+
+
 @pytest.mark.parametrize("block", [0, 1000])
 def test_masking(spark, ws, block):
     docs = spark.createDataFrame([(i, t, "en", 0) for i, t in CONTEXTS], "doc_id bigint, text string, _spans string, n_chars bigint")

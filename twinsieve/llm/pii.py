@@ -2,11 +2,13 @@
 
 1. Every whole text is scanned for emails, addresses, card and phone numbers. These are the seed entities. Words with
    digits that could be identifiers of another kind are candidates.
-2. The two words before an entity or candidate are its lexical pattern. Patterns and instances make up a graph.
+2. An entity or candidate has up to three lexical patterns: the two words before it (a mark stands for words that the
+   start of the text cuts off), the word before it, and the two words after it. Words end at ':' and '=' too, so a label
+   joined to its value is the word before it. Patterns and instances make up a graph.
 3. Rounds: a pattern with enough trusted instances is induced, and the whole corpus is read to count what else it comes
    before. A pattern's confidence is the share of trusted instances among the words it comes before, without candidates
-   that are not trusted yet: those tell nothing, ordinary words tell against it. An instance is trusted as far as the patterns it occurs with make it likely. Trusted instances
-   induce further patterns, until none are new or ``ROUNDS`` are over.
+   that are not trusted yet: those tell nothing, ordinary words tell against it. An instance is trusted as far as the patterns of one sort that it occurs with make it likely. Trusted
+   instances induce further patterns, until none are new and no more patterns or instances become trusted.
 4. Candidates behind patterns of high confidence are spans of the kind ``id``, beside those of the known kinds.
 
 Patterns and instances are hashes; their graph is aggregated per task before it is shuffled, so a pair of words before
@@ -19,7 +21,7 @@ count once per pattern. Only the id and the text are read. An empty table gives
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,6 @@ from twinsieve.plans.workspace import Workspace
 
 KINDS = ("email", "ip", "card", "phone", "id")
 BASE = 4
-ROUNDS = 3
 #: Distinct trusted instances a pattern needs.
 MIN_SUPPORT = 5
 #: Confidence from which a pattern discovers identifiers.
@@ -46,9 +47,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-FROM_DIGIT = re.compile(r"[0-9][^\x20\x09-\x0D]*")
-SPACE = frozenset(" \t\n\x0b\x0c\r")
+WORD = re.compile(r"[^\x20\x09-\x0D:=]*[:=]+|[^\x20\x09-\x0D:=]+")
+FROM_DIGIT = re.compile(r"[0-9][^\x20\x09-\x0D:=]*")
+CUT = frozenset(" \t\n\x0b\x0c\r:=")
 EDGE = ".,;:!?\"'()[]{}<>"
 CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9._/#-]{4,38}[A-Za-z0-9]")
 
@@ -104,8 +105,43 @@ def plain(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass")
 
 
-def pattern_of(first: str, second: str) -> int:
-    return signed_hash(plain(first) + b" " + plain(second))
+#: Sorts of patterns, and the number that stands for a word before the start of a text.
+TWO_BEFORE, ONE_BEFORE, TWO_AFTER = range(3)
+START = 0
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """Hashes of words in lower case, each by itself."""
+    lower = plain("\n".join(words)).split(b"\n")
+    return np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in lower), np.uint64, len(lower)) if words else np.zeros(0, np.uint64)
+
+
+def patterns_of(first: np.ndarray, second: np.ndarray, sort: np.ndarray | int) -> np.ndarray:
+    """Patterns of two words' hashes, as signed 64-bit integers whose last two bits are the sort."""
+    x = (first * np.uint64(0x9E3779B97F4A7C15) + second) * np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return (x & ~np.uint64(3) | np.asarray(sort, np.uint64)).view(np.int64)
+
+
+def every_pattern(words: np.ndarray) -> np.ndarray:
+    """The patterns of each word of a text, given the words' hashes."""
+    padded = np.concatenate([np.full(2, START, np.uint64), words])
+    return np.concatenate([patterns_of(padded[:-2], padded[1:-1], TWO_BEFORE),
+                           patterns_of(np.zeros_like(words[:-1]), words[:-1], ONE_BEFORE),
+                           patterns_of(words[1:-1], words[2:], TWO_AFTER)])
+
+
+def place_patterns(words: list[re.Match], starts: list[int], ends: list[int], a: int, b: int):
+    """(first, second, sort) of the words around a place from ``a`` to ``b``; no word is the mark of the start."""
+    i, j = bisect_right(ends, a), bisect_left(starts, b)
+    before = [None, None, *(w.group() for w in words[max(0, i - 2):i])][-2:]
+    yield *before, TWO_BEFORE
+    if i:
+        yield None, before[1], ONE_BEFORE
+    if j + 1 < len(words):
+        yield words[j].group(), words[j + 1].group(), TWO_AFTER
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]):
@@ -115,7 +151,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]]):
     at = 0
     while m := FROM_DIGIT.search(text, at):
         start, end = m.span()
-        while start > at and text[start - 1] not in SPACE:
+        while start > at and text[start - 1] not in CUT:
             start -= 1
         at = end
         word = text[start:end]
@@ -141,34 +177,33 @@ def scanned(texts: list) -> dict[str, list]:
         seen = []
         if places:
             words = list(WORD.finditer(text))
-            ends = [w.end() for w in words]
-            for a, b, seed in places:
-                i = bisect_right(ends, a)
-                if i >= 2:
-                    value = signed_hash(re.sub(rb"[^0-9a-z@]", b"", plain(text[a:b])))
-                    seen.append({"pattern": pattern_of(words[i - 2].group(), words[i - 1].group()), "value": value,
-                                 "start": a, "end": b, "seed": seed})
+            starts, ends = [w.start() for w in words], [w.end() for w in words]
+            around = [(x, *place) for place in places for x in place_patterns(words, starts, ends, *place[:2])]
+            named = list({w for x, *_ in around for w in x[:2] if w is not None})
+            number = dict(zip(named, word_hashes(named).tolist())) | {None: START}
+            patterns = patterns_of(*(np.array([number[x[k]] for x, *_ in around], np.uint64) for k in (0, 1)),
+                                   np.array([x[2] for x, *_ in around], np.uint64))
+            for pattern, (_, a, b, seed) in zip(patterns.tolist(), around):
+                value = signed_hash(re.sub(rb"[^0-9a-z@]", b"", plain(text[a:b])))
+                seen.append({"pattern": pattern, "value": value, "start": a, "end": b, "seed": seed})
         out["seen"].append(seen)
     return out
 
 
 def pattern_uses(docs: DataFrame, patterns: np.ndarray) -> DataFrame:
-    """How many words each of ``patterns`` (ascending hashes) comes before in all texts: ``pattern``, ``uses``."""
+    """How many words of all texts have each of ``patterns`` (ascending): ``pattern``, ``uses``."""
     shared = docs.sparkSession.sparkContext.broadcast(patterns)
 
     def batches(incoming):
         known = shared.value
-        names = set(known.tolist())
         counts = np.zeros(len(known), np.int64)
-        digest = xxhash.xxh64_intdigest
-        wanted = {int(np.int64(n).view(np.uint64)) for n in names}
         for batch in incoming:
             for text in batch.column(0):
-                words = plain(text.as_py() or "").split()
-                for pair in zip(words, words[1:-1]):
-                    h = digest(b" ".join(pair), 7)
-                    if h in wanted:
-                        counts[np.searchsorted(known, np.uint64(h).view(np.int64))] += 1
+                words = word_hashes(WORD.findall(text.as_py() or ""))
+                if len(words):
+                    found = every_pattern(words)
+                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    np.add.at(counts, at[known[at] == found], 1)
         yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(counts)], names=["pattern", "uses"])
 
     per_task = docs.select("text").mapInArrow(batches, "pattern bigint, uses bigint")
@@ -188,7 +223,7 @@ def _uses_of(ws: Workspace, docs: DataFrame, induced: DataFrame, block: int) ->
         least = part[-1]
 
 
-def confident_patterns(ws: Workspace, docs: DataFrame, seen: DataFrame, rounds: int = ROUNDS,
+def confident_patterns(ws: Workspace, docs: DataFrame, seen: DataFrame,
                        min_support: int = MIN_SUPPORT, confident: float = CONFIDENT,
                        block_patterns: int = BLOCK_PATTERNS) -> DataFrame:
     """``pattern`` and ``confidence`` of patterns that discover identifiers, bootstrapped from the seeds.
@@ -197,25 +232,30 @@ def confident_patterns(ws: Workspace, docs: DataFrame, seen: DataFrame, rounds:
     """
     graph = ws.save(seen.groupBy("pattern", "value").agg(F.count("seed").alias("n"),
                                                          F.max(F.col("seed").cast("double")).alias("trust")), "graph")
-    trusted, known, scored = graph, None, None
-    for _ in range(rounds):
+    trusted, known, scored, reached = graph, None, None, None
+    while True:
         induced = (trusted.where(F.col("trust") >= confident).groupBy("pattern").agg(F.count("value").alias("support"))
                    .where(F.col("support") >= min_support))
         new = induced if known is None else induced.join(known.select("pattern"), "pattern", "left_anti")
         uses = _uses_of(ws, docs, ws.save(new, "induced"), block_patterns)
-        if uses is None:
+        if uses is not None:
+            known = uses if known is None else known.unionByName(uses)
+        if known is None:
             break
-        known = uses if known is None else known.unionByName(uses)
         sums = trusted.groupBy("pattern").agg(F.sum(F.col("n") * F.col("trust")).alias("good"),
                                               F.sum("n").alias("entities"))
         share = F.col("good") / F.greatest(F.col("uses") - F.col("entities") + F.col("good"), F.col("good"), F.lit(1))
         scored = ws.save(sums.join(known, "pattern").select("pattern", share.alias("confidence")), "scored")
-        # Noisy-or over the patterns of an instance; seeds keep full trust.
+        # Noisy-or over the patterns of one sort of an instance, as those of several sorts tell the same; seeds keep full trust.
         doubt = F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce("confidence", F.lit(0.0))))
-        values = (graph.join(scored, "pattern", "left").groupBy("value")
+        values = (graph.join(scored, "pattern", "left").groupBy("value", F.col("pattern").bitwiseAND(3).alias("sort"))
                   .agg(F.max("trust").alias("seed"), (1 - F.exp(F.sum(doubt))).alias("likely"))
-                  .select("value", F.greatest("seed", "likely").alias("trust")))
+                  .groupBy("value").agg(F.max(F.greatest("seed", "likely")).alias("trust")))
         trusted = ws.save(graph.drop("trust").join(values, "value"), "trusted")
+        now = (scored.where(F.col("confidence") >= confident).count(), trusted.where(F.col("trust") >= confident).count())
+        if uses is None and now == reached:
+            break
+        reached = now
     if scored is None:
         return seen.sparkSession.createDataFrame([], "pattern bigint, confidence double")
     return scored.where(F.col("confidence") >= confident)
