@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.llm import bpe, phrases, pii, quality, quotes, repetition, secrets, simhash, token_counts, warc
+from twinsieve.llm import (alignment, bpe, byte_bpe, importance, phrases, pii, quality, quotes, repetition, secrets, simhash,
+                           token_counts, warc)
 from twinsieve.llm.rows import table
 from twinsieve.plans.workspace import Workspace
 
-#: Tokenizer file of the queries; the operators take any path.
+#: Tokenizer files of the queries; the operators take any path.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 #: Tokens beyond which a text is over the limit.
 TOKEN_LIMIT = 2048
 
@@ -77,6 +81,22 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
                         pii.written(F.col("spans")).alias("spans"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    encoded = byte_bpe.encoded(Workspace(spark), table(spark, sf, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                          F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_importance(spark: SparkSession, sf: str) -> DataFrame:
+    found = importance.resample(Workspace(spark), table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.linked(Workspace(spark), table(spark, sf, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_quotes, op3_secrets, op4_bpe, op5_repetition, op6_decontaminate, op7_simhash, op8_token_counts,
-    op9_quality, op10_pii)}
+    op9_quality, op10_pii, op11_byte_bpe, op12_importance, op13_alignment)}

@@ -30,3 +30,14 @@ def struct_udf(function: Callable[[list], dict[str, list]], schema: str):
 def content_key(text: Column | str = "text") -> Column:
     """64 bits of a text, to tell rows of one id apart; rows equal in both are one for every decision."""
     return F.xxhash64(text)
+
+
+def parts_by_bytes(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Ranges of rows of at most ``most`` bytes each; a row beyond that is a range of its own."""
+    out, start, total = [], 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > most:
+            out.append((start, i))
+            start, total = i, 0
+        total += size
+    return [*out, (start, len(sizes))] if sizes else out
