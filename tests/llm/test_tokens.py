@@ -94,3 +94,37 @@ def test_counts(spark, ws, library, head):
 def test_counts_of_nothing(spark, ws):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert token_counts.token_counts(ws, docs, WORD_BPE).collect() == []
+
+
+def test_parts_are_encoded_as_single_texts(own, library, monkeypatch):
+    rng = random.Random(7)
+    letters = "abcthe 'sT’12½Àéß中文字가😀\t.!?#-"
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 90))) for _ in range(400)] + ["ab" * 900, "x" * 300 + " y"] + ODD
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids(x) for x in own.encode_all(texts)] == want
+    assert [ids(x) for x in own.encode_all(texts)] == want
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 50)
+    assert [ids(x) for x in bpe.WordBpe(WORD_BPE).encode_all(texts)] == want
+
+
+def test_frequent_results_outlive_a_full_table(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 4)
+    asked = []
+    memo = bpe.Memo(lambda x: asked.append(x) or x)
+    for i in range(30):
+        memo["often"], memo[str(i)]
+    assert asked.count("often") == 1 and len(memo) <= 4 and len(memo.old) <= 4
+
+
+def test_long_pre_tokens_stay_out_of_the_head(spark):
+    blob = "é" * 5000
+    docs = spark.createDataFrame([(f"{blob} short",)] * 6, "text string").coalesce(1)
+    got = token_counts.tallied(docs).collect()
+    assert [(bytes(r["token"]), r["n"]) for r in got] == [(b"short", 6)]
+
+
+def test_counts_of_long_pre_tokens(spark, ws, library):
+    texts = ["é" * 5000 + " " + "ab1" * 3000] * 4 + ["x" * 10_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(ws, docs, WORD_BPE).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}

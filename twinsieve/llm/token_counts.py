@@ -3,8 +3,8 @@
 A text's tokens are the sum over its pre-tokens. A pre-token here is a run without white space: the tokenizer drops
 white space and never joins across it, so counts of runs add up to the count of the text. Ids are never kept.
 
-1. Tasks tally pre-tokens in tables of bounded size. The ``HEAD`` most frequent ones are counted, each once, and go to
-   all tasks; their number is fixed, and which they are decides the cost only.
+1. Tasks tally pre-tokens of bounded length in tables of bounded size. The ``HEAD`` most frequent ones are counted, each
+   once, and go to all tasks; their number and bytes are bounded, and which they are decides the cost only.
 2. Each text's pre-token frequencies are taken. Those of the head are summed at once; the others, mostly rare words,
    stay as a list with the text's row, in a table that is written to a shared folder.
 3. The distinct pre-tokens of these lists are counted, each once in the whole corpus, joined to the frequencies, and
@@ -33,6 +33,8 @@ from twinsieve.plans.workspace import Workspace
 HEAD = 200_000
 #: Entries of a task's tally; it falls back to the more frequent half when full.
 TALLY_ENTRIES = 600_000
+#: Bytes of the longest pre-token of a tally and so of the head; longer ones are joined, however frequent.
+TALLY_BYTES = 64
 
 FREQUENCIES = ("row bigint, doc_id bigint, n_bytes bigint, head_tokens bigint, "
                "tokens array<binary>, freqs array<int>")
@@ -50,7 +52,8 @@ def tallied(docs: DataFrame, entries: int = TALLY_ENTRIES) -> DataFrame:
         tally: Counter = Counter()
         for batch in incoming:
             for text in batch.column(0):
-                tally.update(runs_of((text.as_py() or "").encode("utf-8", "surrogatepass")))
+                tally.update([r for r in runs_of((text.as_py() or "").encode("utf-8", "surrogatepass"))
+                              if len(r) <= TALLY_BYTES])
                 if len(tally) > entries:
                     tally = Counter(dict(tally.most_common(entries // 2)))
         some = tally.most_common(entries // 2)
@@ -68,8 +71,7 @@ def counter(path: str):
 
     @F.arrow_udf("int")
     def count(tokens: pa.Array) -> pa.Array:
-        encode = loaded(path).encode_run
-        return pa.array([len(encode(t)) // 4 for t in tokens.to_pylist()], pa.int32())
+        return pa.array(loaded(path).counts(tokens.to_pylist()), pa.int32())
 
     return count
 
