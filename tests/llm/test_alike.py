@@ -90,3 +90,53 @@ def test_near_fingerprints_of_unlike_texts_drop_nothing(spark, ws, drop):
     rows = [(i, " ".join(t)) for i, t in enumerate([base, *found, base])]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in drop(ws, docs).collect()) == [0, 1, 2]
+
+
+def template_group(rng, n, own):
+    """Texts of 300 words that share a template, with ``own`` words of their own at a place of their own."""
+    base = [f"t{i}" for i in range(300)]
+    out = []
+    for i in range(n):
+        at = rng.randrange(300 - own)
+        out.append(" ".join([*base[:at], *(f"o{i}x{k}" for k in range(own)), *base[at + own:]]))
+    return out
+
+
+def links_and_pairs(ws, rows, monkeypatch):
+    compared, confirmed = [], alike._confirmed
+
+    def counted(pairs, texts):
+        compared.append(pairs.count())
+        return confirmed(pairs, texts)
+
+    monkeypatch.setattr(alike, "_confirmed", counted)
+    docs = ws.spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(r["doc_id"] for r in alike.one_of_each(ws, docs).collect())
+    return kept, sum(compared)
+
+
+def test_groups_that_share_much_but_are_not_alike_stay_linear(ws, monkeypatch):
+    seen = []
+    for n in (200, 400):
+        rows = list(enumerate(template_group(random.Random(5), n, 45)))
+        sets = [plain_shingles(t) for _, t in rows[:60]]
+        assert all(0.5 < share(x, y) < 0.8 for i, x in enumerate(sets) for y in sets[:i])
+        kept, pairs = links_and_pairs(ws, rows, monkeypatch)
+        assert kept == list(range(n))
+        seen.append(pairs)
+    assert seen[1] <= 2.6 * seen[0] and seen[1] < 25 * 400
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_large_groups_equal_all_pairs(ws, monkeypatch, seed):
+    """Copies with many and few edits, copies of copies, shortened and lengthened ones, around no text of the table."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(160)]
+    texts = [edited(rng, base, rng.choice([1, 2, 3, 4, 5, 6, 8, 10, 14])) for _ in range(90)]
+    texts += [edited(rng, rng.choice(texts), rng.choice([1, 2, 3])) for _ in range(60)]
+    for _ in range(40):
+        at, words = rng.randrange(100), rng.choice(texts)
+        texts.append(words[:at] + words[at + rng.randrange(40):] + [f"x{rng.randrange(9)}" for _ in range(rng.randrange(20))])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    kept, pairs = links_and_pairs(ws, rows, monkeypatch)
+    assert kept == kept_ids(rows)
