@@ -156,6 +156,67 @@ def test_a_concurrent_writer_fails(spark, tmp_path):
         store.upsert(stored(spark, ("/e", 1, 1, "h")))
 
 
+def hashes(store):
+    return {r.path: r.exact_hash for r in store.read().collect()}
+
+
+@pytest.mark.parametrize("step", ["fold", "prune"])
+def test_a_change_during_a_fold_survives(spark, tmp_path, step):
+    store, other = (Snapshot(spark, str(tmp_path / "store")) for _ in range(2))
+    store.upsert(stored(spark, ("/a", 1, 1, "a"), ("/b", 1, 1, "b")))
+    store.upsert(stored(spark, ("/a", 2, 2, "a2")))
+    listed, rows = store._listed, store._rows
+
+    def landing(done):
+        store._rows = rows
+        other.upsert(stored(spark, ("/b", 3, 3, "b3"), ("/c", 3, 3, "c3")))
+        return rows(done)
+
+    store._rows = landing
+    with pytest.raises(snapshot.ConcurrentWriteError):
+        store.fold() if step == "fold" else store.prune(spark.createDataFrame([("/a",), ("/b",), ("/c",)], "path string"))
+    assert hashes(store) == {"/a": "a2", "/b": "b3", "/c": "c3"}
+    store.fold()
+    assert [g.full for g in store._current()] == [True] and hashes(store) == {"/a": "a2", "/b": "b3", "/c": "c3"}
+    assert listed() == other._listed()
+
+
+def test_upserts_go_on_where_a_fold_fails(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshot, "MOST_CHANGES", 1)
+    store, other = (Snapshot(spark, str(tmp_path / "store")) for _ in range(2))
+    store.upsert(stored(spark, ("/a", 1, 1, "a")))
+    rows = store._rows
+
+    def landing(done):
+        store._rows = rows
+        other._write(snapshot.stamped(stored(spark, ("/b", 1, 1, "b"))), False, [])
+        return rows(done)
+
+    store._rows = landing
+    store.upsert(stored(spark, ("/c", 1, 1, "c")))
+    assert hashes(store) == {"/a": "a", "/b": "b", "/c": "c"} and not any(g.full for g in store._current())
+    store.upsert(stored(spark, ("/d", 1, 1, "d")))
+    assert [g.full for g in store._current()] == [True] and len(hashes(store)) == 4
+
+
+def test_a_change_claimed_before_a_fold_and_finished_after_it_survives(spark, tmp_path):
+    store = Snapshot(spark, str(tmp_path / "store"))
+    store.upsert(stored(spark, ("/a", 1, 1, "a1"), ("/b", 1, 1, "b1"), ("/c", 1, 1, "c1")))
+    (tmp_path / "store" / "gen-0000000002-claim").touch()  # slow
+    store.upsert(stored(spark, ("/b", 3, 3, "b3")))
+    store.fold()
+    assert hashes(store) == {"/a": "a1", "/b": "b3", "/c": "c1"}
+    late = snapshot.stamped(stored(spark, ("/a", 2, 2, "a2"), ("/b", 2, 2, "b2"), ("/d", 2, 2, "d2")))
+    late.write.parquet(str(tmp_path / "store" / "gen-0000000002-changes"))
+    want = {"/a": "a2", "/b": "b3", "/c": "c1", "/d": "d2"}
+    assert hashes(store) == want
+    store.upsert(stored(spark, ("/e", 5, 5, "e5")))
+    assert hashes(store) == want | {"/e": "e5"}
+    store.fold()
+    store.vacuum()
+    assert hashes(store) == want | {"/e": "e5"} and len(store._listed()[0]) == 1
+
+
 def test_a_broken_generation_is_not_current(spark, tmp_path):
     store = Snapshot(spark, str(tmp_path / "store"))
     store.upsert(stored(spark, ("/a", 1, 1, "h")))

@@ -3,7 +3,11 @@
 A change is a small generation beside the others; later ones win. Full generations are written when rows are pruned or
 cleared, and now and then to fold the changes. A generation counts once it has its ``_SUCCESS`` marker, so readers never
 see a half-written state and a failed run leaves the store as it was. Writers claim the number of their generation;
-where two run at once, one of them fails.
+where two claim the same, one of them fails.
+
+A full generation names the generations it replaces, those of the one listing its rows come from, and hides no others.
+Its rows keep the number of the change they were made by. So a change that lands while a fold is written stays, as does
+one that was claimed before the fold and is finished after it, and it wins or loses by its own number.
 """
 
 from __future__ import annotations
@@ -14,12 +18,15 @@ from functools import reduce
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from twinsieve.schemas import SNAPSHOT
 
 MATCH = ["path", "size", "mtime", "fp_profile"]
 #: Generations of changes after which they are folded into a full one.
 MOST_CHANGES = 16
+#: Rows as they are stored: with the number of the change they were made by.
+NUMBERED = StructType([*SNAPSHOT.fields, StructField("generation", LongType())])
 
 
 class ConcurrentWriteError(RuntimeError):
@@ -53,28 +60,55 @@ class Snapshot:
         done = [g for g in found if self._fs.exists(self._path(f"{self.root}/{g.name}/_SUCCESS"))]
         return done, max((int(p[1]) for p in parts), default=0)
 
-    def _current(self) -> list[Generation]:
-        """The last full generation and the changes after it."""
-        done = self._listed()[0]
-        first = max((i for i, g in enumerate(done) if g.full), default=0)
-        return done[first:]
+    def _replaced(self, full: Generation, done: list[Generation]) -> set[int]:
+        """Numbers of the generations that a full one has taken over."""
+        named = self._path(f"{self.root}/gen-{full.number:010d}-replaced")
+        if not self._fs.exists(named):
+            return {g.number for g in done if g < full}
+        stream = self._fs.open(named)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return {int(n) for n in text.split(",") if n}
+
+    def _current(self, done: list[Generation] | None = None) -> list[Generation]:
+        """The generations that no full one has replaced, in order."""
+        done = self._listed()[0] if done is None else done
+        hidden = set().union(*(self._replaced(g, done) for g in done if g.full))
+        return [g for g in done if g.number not in hidden]
 
     def _load(self, generation: Generation) -> DataFrame:
-        return self.spark.read.schema(SNAPSHOT).parquet(f"{self.root}/{generation.name}")
+        rows = self.spark.read.schema(NUMBERED).parquet(f"{self.root}/{generation.name}")
+        number = F.coalesce("generation", F.lit(0)) if generation.full else F.lit(generation.number)
+        return rows.withColumn("generation", number.cast("bigint"))
 
-    def read(self) -> DataFrame:
-        """The current rows, one per path."""
-        current = self._current()
+    def _rows(self, done: list[Generation]) -> DataFrame:
+        """One row per path of these generations, the one of the last change, with its number."""
+        current = self._current(done)
         if not current:
-            return self.spark.createDataFrame([], SNAPSHOT)
-        changes = [self._load(g).withColumn("generation", F.lit(g.number)) for g in current if not g.full]
-        base = self._load(current[0]) if current[0].full else None
+            return self.spark.createDataFrame([], NUMBERED)
+        full = [g for g in current if g.full]
+        base = self._load(full[0]) if len(full) == 1 else None
+        changes = [self._load(g) for g in current if base is None or not g.full]
         if not changes:
             return base
-        rest = [F.col(c) for c in SNAPSHOT.fieldNames()[1:]]
+        rest = [F.col(c) for c in NUMBERED.fieldNames()[1:]]
         last = (reduce(DataFrame.unionByName, changes).groupBy("path")
                 .agg(F.max_by(F.struct(*rest), "generation").alias("row")).select("path", "row.*"))
-        return last if base is None else base.join(last.select("path"), "path", "left_anti").unionByName(last)
+        if base is None:
+            return last
+        # Paths that were not changed since stay as they are, without a shuffle of the base's other columns.
+        newest = max((n for n in self._replaced(full[0], done)), default=0)
+        if min(g.number for g in current if not g.full) > newest:
+            return base.join(last.select("path"), "path", "left_anti").unionByName(last)
+        both = base.join(last.select("path", F.col("generation").alias("changed")), "path", "left")
+        kept = both.where(F.coalesce(F.col("generation") > F.col("changed"), F.lit(True))).drop("changed")
+        return last.join(kept.select("path"), "path", "left_anti").unionByName(kept)
+
+    def read(self) -> DataFrame:
+        """The current rows, one per path."""
+        return self._rows(self._listed()[0]).drop("generation")
 
     def get(self, path: str, size: int, mtime: int, fp_profile: str | None = None) -> DataFrame:
         """The row of a file if it is unchanged (and made under the profile); the condition reaches the Parquet scans."""
@@ -88,35 +122,51 @@ class Snapshot:
         except Py4JJavaError as e:
             raise ConcurrentWriteError(f"generation {new.number} of {self.root} is being written") from e
         target = f"{self.root}/{new.name}"
+        if full:
+            replaced = self._fs.create(self._path(f"{self.root}/gen-{new.number:010d}-replaced"), True)
+            replaced.write(bytearray(",".join(str(g.number) for g in based_on).encode()))
+            replaced.close()
+            if "generation" not in rows.columns:
+                rows = rows.withColumn("generation", F.lit(max((g.number for g in based_on), default=0)))
         # Sorted within files, so that a point lookup skips most row groups.
-        (rows.select(*[F.col(f.name).cast(f.dataType) for f in SNAPSHOT.fields])
+        (rows.select(*[F.col(f.name).cast(f.dataType) for f in (NUMBERED if full else SNAPSHOT).fields])
          .sortWithinPartitions("path").write.parquet(target))
         if full and [g for g in self._listed()[0] if g != new] != based_on:
             self._fs.delete(self._path(target), True)
             raise ConcurrentWriteError(f"{self.root} has changed while generation {new.number} was written")
 
     def publish(self, rows: DataFrame) -> None:
-        """Make ``rows``, one per path, all there is."""
+        """Make ``rows``, one per path, all there is; a change that lands meanwhile is not replaced but an error."""
         self._write(rows, True, self._listed()[0])
 
+    def fold(self) -> None:
+        """Write the current rows as one full generation, from the listing that it is checked against."""
+        done = self._listed()[0]
+        self._write(self._rows(done), True, done)
+
     def upsert(self, rows: DataFrame) -> None:
         """Replace the rows of these paths and stamp them; others stay and are not written again."""
         self._write(stamped(rows), False, [])
         if sum(not g.full for g in self._current()) > MOST_CHANGES:
-            self.publish(self.read())
+            try:
+                self.fold()
+            except ConcurrentWriteError:
+                pass  # the rows are written; a later run folds them
 
     def prune(self, files: DataFrame) -> None:
         """Drop rows of paths that are no longer in the catalog."""
-        self.publish(self.read().join(files.select("path"), "path", "left_semi"))
+        done = self._listed()[0]
+        self._write(self._rows(done).join(files.select("path"), "path", "left_semi"), True, done)
 
     def clear(self) -> None:
         self.publish(self.spark.createDataFrame([], SNAPSHOT))
 
     def vacuum(self) -> None:
-        """Delete the generations before the last full one."""
-        current = self._current()
-        for old in self._listed()[0]:
-            if current and old < current[0]:
+        """Delete the generations that full ones have replaced."""
+        done = self._listed()[0]
+        current = self._current(done)
+        for old in done:
+            if old not in current:
                 self._fs.delete(self._path(f"{self.root}/{old.name}"), True)
 
 
