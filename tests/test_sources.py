@@ -1,4 +1,6 @@
+import hashlib
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,10 +8,11 @@ from pyspark.sql import functions as F
 from helpers import png, solid, striped
 from twinsieve.functions.fingerprints import parse_hex, to_hex
 from twinsieve.options import ScanOptions
+from twinsieve.plans import scan as scan_plan
 from twinsieve.plans.scan import fingerprint, image_areas, scan
 from twinsieve.plans.workspace import Workspace
 from twinsieve.schemas import FILES, FRAMES
-from twinsieve.sources import snapshot
+from twinsieve.sources import opening, snapshot
 from twinsieve.sources.catalog import keep_media, list_media
 from twinsieve.sources.digests import digest_paths
 from twinsieve.sources.frames import sampled_frames, video_fingerprints
@@ -368,3 +371,103 @@ def test_stream_of_files(spark, tmp_path):
 
 def test_hex_helpers_in_sources(spark):
     assert spark.range(1).select(to_hex(parse_hex(F.lit("0A")))).first()[0] == "000000000000000a"
+
+
+def opened(monkeypatch, ws):
+    """Ranges that were read, counted where they are dealt."""
+    seen = []
+    deal = opening.by_bytes
+
+    def counted(ws, rows):
+        seen.append(rows.count())
+        return deal(ws, rows)
+
+    monkeypatch.setattr(opening.digest_files, "__defaults__", (*opening.digest_files.__defaults__[:2], counted))
+    return seen
+
+
+def test_exactly_the_changed_files_are_opened(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scan_plan, "BLOCK_PATHS", 40)
+    lib, store = tmp_path / "lib", Snapshot(spark, str(tmp_path / "store"))
+    for i in range(300):
+        put(lib, f"{i:03}.mp4", b"video %d" % (i % 7), 1700000000 + i)
+    for i in range(30):
+        put(lib, f"p{i:02}.png", solid((i, i, i), 9), 1700000000 + i)
+    options = ScanOptions(folders=(str(lib),), mode="content")
+    with Workspace(spark) as ws:
+        seen = opened(monkeypatch, ws)
+        scan(ws, options, store)
+        assert seen == [330]
+    for i in range(0, 300, 3):
+        put(lib, f"{i:03}.mp4", b"changed %d" % i, 1800000000 if i else 1000)  # one is older than all others
+    put(lib, "p00.png", solid((200, 9, 9), 9), 1800000000)
+    read, names_read = scan_plan.image_fingerprints, []
+    monkeypatch.setattr(scan_plan, "image_fingerprints",
+                        lambda spark, folders, paths: names_read.append(paths) or read(spark, folders, paths=paths))
+    with Workspace(spark) as ws:
+        seen = opened(monkeypatch, ws)
+        again = scan(ws, options, store)
+        assert seen == [101] and [len(b) for b in names_read] == [1]
+        got = {r.path: r.exact_hash for r in again.records.collect()}
+        assert got == {str(f): hashlib.sha256(f.read_bytes()).hexdigest() for f in lib.iterdir()}
+
+
+def test_tasks_read_like_numbers_of_bytes(spark, ws):
+    rng = random.Random(1)
+    rows = [(f"/f/{i}", int(10 ** rng.uniform(0, 9))) for i in range(400)]
+    files = spark.createDataFrame(rows, "path string, size bigint")
+    cut = opening.ranges(files)
+    dealt = opening.by_bytes(ws, cut).withColumn("task", F.spark_partition_id())
+    per_task = [r["b"] for r in dealt.groupBy("task").agg(F.sum(F.col("length") + opening.OPEN_BYTES).alias("b")).collect()]
+    assert max(per_task) <= opening.TASK_BYTES + opening.WHOLE_FILE_BYTES + opening.OPEN_BYTES
+    assert len(per_task) >= sum(per_task) / opening.TASK_BYTES / 2
+    back = dealt.groupBy("path").agg(F.sum("length").alias("n"), F.min("start").alias("from"))
+    assert sorted((r["path"], r["n"]) for r in back.collect()) == sorted(rows) and back.where("`from` <> 0").isEmpty()
+
+
+def plain_tree(data, leaf, fanout):
+    level = [hashlib.sha256(data[i:i + leaf]).hexdigest() for i in range(0, len(data), leaf)]
+    while len(level) > 1:
+        level = [hashlib.sha256(f"tree {leaf} {''.join(level[i:i + fanout])}".encode()).hexdigest()
+                 for i in range(0, len(level), fanout)]
+    return level[0]
+
+
+def test_tree_digests(spark, ws, tmp_path, monkeypatch):
+    monkeypatch.setattr(opening, "FANOUT", 4)
+    monkeypatch.setattr(opening, "OPEN_BYTES", 0)
+    rng = random.Random(2)
+    data = {"a": rng.randbytes(70_001), "short": rng.randbytes(1000), "empty": b"", "edge": rng.randbytes(2000)}
+    data["same"] = data["a"]
+    data["other"] = data["a"][:50_000] + bytes([data["a"][50_000] ^ 1]) + data["a"][50_001:]
+    for name, content in data.items():
+        put(tmp_path, name, content, 1)
+    rows = [(str(tmp_path / n), len(c)) for n, c in data.items()] + [(str(tmp_path / "gone"), 9000), (str(tmp_path / "short"), 999)]
+    files = spark.createDataFrame(rows[:-1], "path string, size bigint")
+    tasks = []
+
+    def deal(ws, rows):
+        dealt = opening.by_bytes(ws, rows, 10_000)
+        tasks.append(dealt.where(F.col("path").endswith("/a")).select(F.spark_partition_id()).distinct().count())
+        return dealt
+
+    got = {r.path.rsplit("/", 1)[1]: r for r in opening.digest_files(ws, files, 2000, 1000, deal).collect()}
+    assert tasks[0] >= 5 and len(got) == 7
+    for name, content in data.items():
+        want = plain_tree(content, 1000, 4) if len(content) > 2000 else hashlib.sha256(content).hexdigest()
+        assert got[name].exact_hash == want and got[name].error is None
+    assert got["gone"].exact_hash is None and got["gone"].error
+    assert got["a"].exact_hash == got["same"].exact_hash != got["other"].exact_hash
+    changed = spark.createDataFrame(rows[-1:], "path string, size bigint")
+    assert "999" in opening.digest_files(ws, changed).first().error
+
+
+def test_a_sparse_file_is_read_by_several_tasks(spark, ws, tmp_path):
+    path = tmp_path / "sparse"
+    with open(path, "wb") as file:
+        file.truncate(300 * 1024 * 1024)
+    files = spark.createDataFrame([(str(path), 300 * 1024 * 1024)], "path string, size bigint")
+    assert opening.ranges(files).count() == 5
+    dealt = opening.by_bytes(ws, opening.ranges(files), 64 * 1024 * 1024)
+    assert dealt.select(F.spark_partition_id()).distinct().count() >= 4
+    assert opening.digest_files(ws, files).first().exact_hash

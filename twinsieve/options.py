@@ -55,11 +55,11 @@ class ScanOptions:
             strategy += f":{max(self.multi_frame_count, 1)}"
         return f"sha256+{strategy}"
 
-    def profile_of(self, media_type: Column, hashed: Column) -> Column:
+    def profile_of(self, media_type: Column, hashed: Column, large: Column | None = None) -> Column:
         """The profile of each row: images do not depend on how videos are hashed.
 
         ``hashed`` tells whether a video's frames were at hand. A row stored under another profile is a miss, so that an
-        incremental run gives what a full one would.
+        incremental run gives what a full one would. ``large`` tells of files whose content is digested as a tree.
         """
-        return (F.when(media_type == "image", "sha256+dhash")
-                .when(hashed, self.fp_profile).otherwise("sha256"))
+        kind = F.when(media_type == "image", "sha256+dhash").when(hashed, self.fp_profile).otherwise("sha256")
+        return kind if large is None else F.when(large, F.concat(F.lit("tree:"), kind)).otherwise(kind)

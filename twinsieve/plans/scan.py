@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,14 +12,15 @@ from twinsieve.functions.fingerprints import pixel_area
 from twinsieve.operators.groups import find_duplicates
 from twinsieve.options import ScanOptions
 from twinsieve.plans.workspace import Workspace
-from twinsieve.sources.catalog import list_media
-from twinsieve.sources.digests import WHOLE_FILE_BYTES, digest_paths, digest_small
+from twinsieve.sources.catalog import DIRECT, list_media
+from twinsieve.sources.digests import digest_named
 from twinsieve.sources.frames import video_fingerprints
 from twinsieve.sources.images import image_fingerprints
+from twinsieve.sources.opening import WHOLE_FILE_BYTES, digest_files
 from twinsieve.sources.snapshot import Snapshot, split_by_store, store_stats
 
-#: So many new or changed files are opened by name; of more, the listing is read from the oldest change on.
-FEW_PATHS = 1000
+#: Paths that are handed to one of Spark's readers at once.
+BLOCK_PATHS = 10_000
 RECORD_COLUMNS = ["path", "size", "mtime", "media_type", "exact_hash", "phash", "width", "height",
                   "fp_profile", "error"]
 
@@ -48,13 +50,11 @@ def fingerprint(ws: Workspace, files: DataFrame, store: Snapshot | None, options
     hits, misses = None, files.withColumn("fp_profile", _profile(options))
     if store:
         hits, misses = split_by_store(files, ws.save(store.read(), "stored"), _profile(options))
-    misses, seen = ws.save_counted(misses, "misses", oldest=F.min("mtime"))
+    misses, seen = ws.save_counted(misses, "misses")
     if not seen["n"]:
         new = _blank(misses, "exact_hash", "phash", "error", width="int", height="int")
     else:
-        few = [r["path"] for r in misses.select("path").limit(FEW_PATHS + 1).collect()]
-        where = {"paths": few} if len(few) <= FEW_PATHS else {"changed_from": seen["oldest"]}
-        new = _with_hashes(_with_digests(misses, options, where), options, where, frames)
+        new = _with_hashes(ws, ws.save(_with_digests(ws, misses), "digested"), options, frames)
     new = ws.save(new.select(*RECORD_COLUMNS), "new")
     if store and seen["n"]:
         store.upsert(new.where("error is null").drop("error"))
@@ -71,7 +71,7 @@ def _with_frames(files: DataFrame, frames: DataFrame | None) -> DataFrame:
 
 
 def _profile(options: ScanOptions) -> Column:
-    return options.profile_of(F.col("media_type"), F.col("framed"))
+    return options.profile_of(F.col("media_type"), F.col("framed"), F.col("size") > WHOLE_FILE_BYTES)
 
 
 def _blank(df: DataFrame, *strings: str, **typed: str) -> DataFrame:
@@ -80,25 +80,45 @@ def _blank(df: DataFrame, *strings: str, **typed: str) -> DataFrame:
     return df
 
 
-def _with_digests(new: DataFrame, options: ScanOptions, where: dict) -> DataFrame:
-    small = new.where(F.col("size") <= WHOLE_FILE_BYTES).select("path")
-    digested = digest_small(new.sparkSession, options.folders, **where).dropDuplicates(["path"])
-    found = small.join(digested, "path", "left")
-    # The listing saw a file that is gone or unreadable now: ask for the reason.
-    found, missed = found.where("exact_hash is not null"), found.where("exact_hash is null")
-    rest = new.where(F.col("size") > WHOLE_FILE_BYTES).select("path").unionByName(missed.select("path"))
-    digests = found.withColumn("error", F.lit(None).cast("string")).unionByName(digest_paths(rest))
+def _by_blocks(ws: Workspace, paths: DataFrame, read: Callable[[list[str]], DataFrame], label: str) -> DataFrame | None:
+    """What ``read`` makes of all ``paths``, a block of them at a time, each a written table."""
+    out, last = None, None
+    ordered = ws.save(paths.select("path").orderBy("path"), "paths")
+    while True:
+        rest = ordered if last is None else ordered.where(F.col("path") > last)
+        block = [r["path"] for r in rest.orderBy("path").limit(BLOCK_PATHS).collect()]
+        if not block:
+            return out
+        found = ws.save(read(block).dropDuplicates(["path"]), label)
+        out = found if out is None else out.unionByName(found)
+        last = block[-1]
+
+
+def _with_digests(ws: Workspace, new: DataFrame) -> DataFrame:
+    """``new`` with ``exact_hash`` or ``error``: each file is opened once, by the executors, whatever their number.
+
+    Where only Spark's readers know a file system, files are read by name.
+    """
+    direct = F.col("path").rlike(DIRECT)
+    digests = digest_files(ws, new.where(direct).select("path", "size"))
+    other = _by_blocks(ws, new.where(~direct), lambda block: digest_named(ws.spark, block), "named")
+    if other is not None:
+        reason = F.when(F.col("exact_hash").isNull(), F.lit("the file is gone, too large, or of an unknown file system"))
+        digests = digests.unionByName(new.where(~direct).select("path").join(other, "path", "left").withColumn("error", reason))
     return new.join(digests, "path", "left")
 
 
-def _with_hashes(new: DataFrame, options: ScanOptions, where: dict, frames: DataFrame | None) -> DataFrame:
+def _with_hashes(ws: Workspace, new: DataFrame, options: ScanOptions, frames: DataFrame | None) -> DataFrame:
     """Images get the hash of the image, videos that of their frames; each path meets one row at most."""
-    hashed = image_fingerprints(new.sparkSession, options.folders, **where).dropDuplicates(["path"])
-    hashed = hashed.join(new.where("media_type = 'image'").select("path"), "path", "left_semi")
+    readable = new.where((F.col("media_type") == "image") & F.col("error").isNull())
+    hashed = _by_blocks(ws, readable, lambda block: image_fingerprints(ws.spark, (), paths=block), "images")
     if frames is not None:
         videos = video_fingerprints(frames.join(new.where("media_type = 'video'").select("path"), "path", "left_semi"),
                                     options.video_strategy, options.multi_frame_count)
-        hashed = hashed.unionByName(_blank(videos, width="int", height="int"))
+        videos = _blank(videos, width="int", height="int")
+        hashed = videos if hashed is None else hashed.unionByName(videos)
+    if hashed is None:
+        return _blank(new, "phash", width="int", height="int")
     return new.join(hashed, "path", "left")
 
 

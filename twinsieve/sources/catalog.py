@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from twinsieve.functions.paths import media_type
 from twinsieve.schemas import FILES
 
+# Schemes of Hadoop's file systems that the readers on executors know by another name.
+SCHEMES = {"s3a://": "s3://", "s3n://": "s3://", "abfss://": "abfs://"}
+#: Paths whose file system these readers know: local ones and those of some schemes.
+DIRECT = r"^(/|(file|hdfs|s3|s3a|s3n|gs|gcs|abfs|abfss):)"
+
 
 def plain_path(uri: Column | str) -> Column:
     """Local URIs without their scheme; others as they are."""

@@ -10,31 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsieve.functions.fingerprints import content_digest
-from twinsieve.functions.paths import media_type
-from twinsieve.sources.catalog import binary_files, existing, literal_path, plain_path
+from twinsieve.sources.catalog import SCHEMES, binary_files, existing, literal_path, plain_path
+from twinsieve.sources.opening import WHOLE_FILE_BYTES
 
-#: Files up to this size are read as one row; larger ones in pieces.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
 PIECE_BYTES = 1 << 20
 
-# Schemes of Hadoop's file systems that the piecewise reader knows by another name.
-SCHEMES = {"s3a://": "s3://", "s3n://": "s3://", "abfss://": "abfs://"}
 
+def digest_named(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``(path, exact_hash)`` of these files through Spark's own reader, for file systems that only it knows.
 
-def digest_small(spark: SparkSession, folders: Sequence[str], changed_from: int | None = None,
-                 paths: Sequence[str] | None = None) -> DataFrame:
-    """``(path, exact_hash)`` of media files that fit a row, from the binaryFile source.
-
-    They are those below the folders, or ``paths`` only. Names, sizes and times are conditions on the listing, applied
-    before files are opened.
+    Files that are gone or too large for a row are left out.
     """
-    from_here = [literal_path(p) for p in existing(spark, paths, True)] if paths is not None else existing(spark, folders)
+    from_here = [literal_path(p) for p in existing(spark, paths, True)]
     if not from_here:
         return spark.createDataFrame([], "path string, exact_hash string")
-    files = (binary_files(spark, from_here).where(F.col("length") <= WHOLE_FILE_BYTES)
-             .where(media_type("_metadata.file_name").isNotNull()))
-    if changed_from is not None:
-        files = files.where(F.col("modificationTime") >= F.timestamp_seconds(F.lit(changed_from)))
+    files = binary_files(spark, from_here).where(F.col("length") <= WHOLE_FILE_BYTES)
     return files.select(plain_path("path").alias("path"), content_digest("content").alias("exact_hash"))
 
 
