@@ -13,7 +13,8 @@ from twinsieve.llm import byte_bpe
 from twinsieve.llm.queries import BYTE_RANKS, op11_byte_bpe
 
 ODD = [None, "", " ", "a", "\n\n  a\t\tb", "don't we'LL I'm", "x<|endoftext|>y", "É ñ ß İ Σς ﬁ", "a\x85b　c\x1cd",
-       "字漢字かなカナ가나" * 20, "😀👍🏽 ok", "1234567 ½³", "ab" * 3000, " " * 5000 + "x", "x" * 20_000, "᲋ㄳᲉa", "\0\x01"]
+       "字漢字かなカナ가나" * 20, "😀👍🏽 ok", "1234567 ½³", "ab" * 3000, " " * 5000 + "x", "x" * 20_000, "᲋ㄳᲉa", "\0\x01",
+       "a\uFDD0b \uFDD0the\uFDD1 \uFDD1\uFDD0", "the\uFDD1x\uFDD0cat the\uFDD1x\uFDD0cat"]
 
 
 @pytest.fixture(scope="module")

@@ -8,7 +8,7 @@ the vocabulary's pattern, and each word is encoded by itself:
    rank, and replaces that pair, from the left, wherever it stands. It ends when no two neighbours merge. Replacing all
    places at once gives what one at a time gives, since a pair that arises from a merge has a higher rank than the merge.
 2. The ranks are a literal map in the plan, from pairs of tokens to the token they merge to. Spark finds a map's key by
-   looking at one key after the other, so the map is cut into buckets by the key's hash, with one or two keys each.
+   looking at one key after the other, so the map is cut into buckets by the key's hash, with a few keys each.
 3. The distinct words of the corpus are counted. As many of the most frequent ones as ``HEAD`` allows are encoded once
    and become a literal map themselves. All other words, each of them rare, are folded where they stand: to bring their
    ids back by a join would shuffle the whole corpus. Which words are in the head decides the cost only.
@@ -38,15 +38,16 @@ from pyspark.sql import functions as F
 from twinsieve.plans.workspace import Workspace
 
 #: Distinct words encoded once for all rows, at most.
-HEAD = 131_072
+HEAD = 65_536
 #: Bytes of the longest word of the head, and of the longest word that is folded without certain cuts.
 LONG = 64
 #: Levels of a word's count per doubling, by which the head is chosen.
 LEVELS = 8
 #: Code point of the character of the token with rank 0.
 FIRST = 0x10000
-#: A character that is neither a byte nor a token: where to cut, and the end of a word that is done.
-MARK = "Ā"
+#: Characters that are neither a byte nor a token, nor meant for texts. The first one also marks where to cut and a word
+#: that is done.
+MARK, END = "\uFDD0", "\uFDD1"
 #: White space as Unicode has it; Java's own class knows less.
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 
@@ -60,19 +61,28 @@ def let(value: Column, kind: str, body: Callable[[Column], Column]) -> Column:
 
 
 class LiteralMap:
-    """A map between strings as a literal, in buckets by the keys' hash."""
+    """A map between strings as a literal, in buckets by the keys' hash; neither keys nor values hold ``MARK``.
+
+    A bucket is one string, its entries between marks: a plan with some hundred thousand small objects, and the text that
+    Spark keeps of it, would fill the driver.
+    """
 
     def __init__(self, entries: dict[str, str]):
-        self.mask = (1 << max(4, len(entries).bit_length())) - 1
-        buckets: list[dict] = [{} for _ in range(self.mask + 1)]
+        self.mask = (1 << max(4, (len(entries) // 3).bit_length())) - 1
+        buckets = [MARK] * (self.mask + 1)
         for key, value in entries.items():
-            buckets[xxhash.xxh64_intdigest(key.encode(), 42) & self.mask][key] = value
-        self.buckets = literal(buckets, "array<map<string,string>>")
+            buckets[xxhash.xxh64_intdigest(key.encode(), 42) & self.mask] += f"{key}{END}{value}{MARK}"
+        self.buckets = literal(buckets, "array<string>")
 
     def within(self, kind: str, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
         """``body`` of the lookup, which gives null for keys that are not there. The literal is in the plan once."""
-        return let(self.buckets, kind, lambda buckets: body(
-            lambda key: buckets[F.xxhash64(key).bitwiseAND(F.lit(self.mask)).cast("int")][key]))
+        def found(buckets: Column, key: Column) -> Column:
+            bucket = buckets[F.xxhash64(key).bitwiseAND(F.lit(self.mask)).cast("int")]
+            entry = F.concat(F.lit(MARK), key, F.lit(END))
+            after = F.call_function("substring_index", bucket, entry, F.lit(-1))
+            return F.when(F.contains(bucket, entry), F.substring_index(after, MARK, 1))
+
+        return let(self.buckets, kind, lambda buckets: body(lambda key: found(buckets, key)))
 
 
 def literal(value, kind: str) -> Column:
@@ -186,7 +196,8 @@ class ByteBpe:
     def encode(self, text: Column | str, head: LiteralMap) -> Column:
         """The tokens of a text; words of ``head`` are looked up."""
         return F.array_join(self.merges.within("array<string>", lambda merge: head.within("array<string>", lambda known: F.transform(
-            self.words(text), lambda word: F.coalesce(known(word), self._encode_word(word, merge))))), "")
+            self.words(text), lambda word: F.coalesce(
+                F.when(~F.contains(word, F.lit(MARK)), known(word)), self._encode_word(word, merge))))), "")
 
     @staticmethod
     def ids_of(tokens: Column) -> Column:
@@ -200,7 +211,8 @@ class ByteBpe:
     def head(self, ws: Workspace, texts: DataFrame, limit: int = HEAD) -> LiteralMap:
         """Ids of the most frequent distinct words of ``text``, at most ``limit``, each encoded once."""
         counted = (texts.select(F.explode(self.words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-                   .where((F.col("n") > 1) & (F.octet_length("word") <= LONG)))
+                   .where((F.col("n") > 1) & (F.octet_length("word") <= LONG))
+                   .where(~F.col("word").rlike(f"[{MARK}{END}]")))
         words = ws.save(counted.withColumn("level", F.floor(F.log2("n") * LEVELS).cast("int")), "words")
         level, total = math.inf, 0
         for row in sorted(words.groupBy("level").count().collect(), reverse=True):
