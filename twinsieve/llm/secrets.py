@@ -3,15 +3,16 @@
 Known forms are assignments of passwords and the like, access keys and long hexadecimal strings. Beyond them, candidate
 strings (runs of the characters secrets are made of) are cut into the longest runs of each character class, and such a
 run of ``LEAST`` characters or more gets the Shannon entropy of every window of its class. A run shorter than the window
-is one window, with a threshold that is the same share of the most bits its length can have. A run that a narrower class
-has whole is that class's alone. A window slides by one character and its entropy follows from the one before: only the counts of the character that
+is one window, with a threshold that is the same share of the most bits its length can have; digits alone need a whole
+window, as shorter ones are numbers of many kinds. A run that a narrower class has whole is that class's alone. A window slides by one character and its entropy follows from the one before: only the counts of the character that
 leaves and of the one that enters change. Windows at or above the class's threshold are united to spans. Candidates and
-runs on the allow list (identifiers that are no secrets, or have too few kinds of characters) are suppressed first.
+runs on the allow list (UUIDs, dates, and names, whatever their length) are suppressed first. A name is made of letters,
+with up to four digits behind a part, that look like words: of the case of words, and with letters as frequent as in words.
 
 Counts are summed as whole numbers, so a window's entropy does not depend on where the sliding began.
 
 Null and empty texts have no spans. Repeated rows get equal spans. Whole texts are read and every window of a candidate
-counts, however long it is.
+counts, however long it is. Columns beside the text are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ class CharacterClass:
     runs: tuple[re.Pattern, ...]
     window: int
     bits: float
+    #: Shorter runs of the class are no secrets.
+    least: int = 0
 
     def threshold(self, width: int) -> float:
         """Bits per character for a window of ``width``: scaled by the most bits it can have."""
@@ -61,21 +64,47 @@ def runs_of(*characters: str) -> tuple[re.Pattern, ...]:
 
 #: From the narrowest class to the widest.
 CLASSES = (
-    CharacterClass("digits", runs_of("0-9"), 32, math.inf),
+    CharacterClass("digits", runs_of("0-9"), 24, 2.8, least=24),
     CharacterClass("hexadecimal", runs_of("0-9a-f", "0-9A-F"), 20, 3.0),
     CharacterClass("alphanumeric", runs_of("A-Za-z0-9"), 20, 3.7),
     CharacterClass("base64", runs_of("A-Za-z0-9+/_=-"), 24, 4.0),
 )
 
-#: Candidates that are no secrets, each of which must match the whole string: words and names of words, UUIDs, dates
-#: and versions, paths of words.
+#: Candidates that are no secrets, each of which must match the whole string: UUIDs, dates, times and versions.
 ALLOWED = tuple(re.compile(p) for p in (
-    r"[A-Za-z_=/+-]+",
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"[0-9_=/+-]+",
-    r"(?:[A-Za-z]+[0-9]{0,4}[/_+=-]+)*[A-Za-z]*[0-9]{0,4}",
+    r"[_=/+-]*(?:[0-9]{1,15}[_=/+-]+)*[0-9]{0,15}",
 ))
 
+#: Words and paths of words, if their letters look like words.
+NAME = re.compile(r"[/_+=-]*(?:[A-Za-z]+[0-9]{0,4}[/_+=-]+)*[A-Za-z]*[0-9]{0,4}")
+LETTERS = re.compile(r"[A-Za-z]+")
+CASE_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: How often each letter, a to z, is found among 1000 letters of English.
+PER_MILLE = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+#: Bits by which a letter speaks for a word rather than for chance.
+LETTER_BITS = {c: math.log2(n * 26 / 1000) for c, n in zip("abcdefghijklmnopqrstuvwxyz", PER_MILLE)}
+#: Letters a part in the case of words has on average, and the bits, by length, that letters of words may lack.
+PART_LETTERS = 3
+
+
+def like_words(letters: str) -> bool:
+    """Whether letters without anything between them look like words."""
+    parts = CASE_PARTS.findall(letters)
+    bits = sum(map(LETTER_BITS.__getitem__, letters.lower()))
+    return len(parts) * PART_LETTERS <= len(letters) and bits >= -0.1 * len(letters)
+
+
+def is_name(text: str) -> bool:
+    """Whether a candidate is a name: its letters as a whole, and every long part, look like words."""
+    if not NAME.fullmatch(text):
+        return False
+    parts = LETTERS.findall(text)
+    whole = "".join(parts)
+    return not whole or (sum(len(CASE_PARTS.findall(p)) for p in parts) * PART_LETTERS <= len(whole)
+                         and sum(map(LETTER_BITS.__getitem__, whole.lower())) >= -0.1 * len(whole)
+                         and all(like_words(p) for p in parts if len(p) >= LEAST))
+
 SPANS = ("n_assign bigint, n_access bigint, n_hex bigint, "
          "spans array<struct<start: int, kind: int, end: int>>")
 
@@ -107,7 +136,7 @@ def window_entropies(text: str, window: int):
 def run_spans(run: str, kind: CharacterClass, start: int) -> list[list[int]]:
     """Spans of windows at or above the threshold in a run that begins at ``start``."""
     width, out = min(kind.window, len(run)), []
-    least = kind.threshold(width)
+    least = kind.threshold(width) if len(run) >= kind.least else math.inf
     for i, bits in enumerate(window_entropies(run, width), start):
         if bits >= least:
             if out and out[-1][1] >= i:
@@ -117,16 +146,20 @@ def run_spans(run: str, kind: CharacterClass, start: int) -> list[list[int]]:
     return out
 
 
+def is_allowed(text: str, patterns=ALLOWED) -> bool:
+    return is_name(text) or any(p.fullmatch(text) for p in patterns)
+
+
 def entropy_spans(text: str, allowed=ALLOWED, classes=CLASSES) -> list[tuple[int, int]]:
     """Spans of windows of high entropy within the candidates of a text."""
     found: list[list[int]] = []
     for m in CANDIDATE.finditer(text):
-        if any(p.fullmatch(m.group()) for p in allowed):
+        if is_allowed(m.group(), allowed):
             continue
         narrower: list[re.Pattern] = []
         for kind in classes:
-            for sub in (x for p in kind.runs if kind.bits < math.inf for x in p.finditer(m.group())):
-                if not any(p.fullmatch(sub.group()) for p in (*narrower, *allowed)):
+            for sub in (x for p in kind.runs for x in p.finditer(m.group())):
+                if not any(p.fullmatch(sub.group()) for p in narrower) and not is_allowed(sub.group(), allowed):
                     found += run_spans(sub.group(), kind, m.start() + sub.start())
             narrower += kind.runs
     out: list[list[int]] = []
