@@ -2,15 +2,17 @@
 
 A cumulative-link model: one weight per hashed feature, shared by all grades, and ordered thresholds between grades,
 ``P(grade <= k) = logistic(threshold[k] - score)``. A text's score gives its expected grade and the probability of
-the best grade, by which texts are selected.
+the best grade. All of them rise or fall with the score, so one limit on ``p_best`` selects texts by every tail alike. The
+limit is chosen on rated texts held out from a first fit: the highest that keeps ``KEEP_BEST`` of those of the best grade.
+Texts whose ``p_best`` equals the limit are kept.
 
 Features of a whole text are its distinct words, what non-letters words carry, and shares (of repeated words, capitals,
 symbols, repeated lines) in steps; each counts once, hashed into ``DIMENSIONS`` buckets.
 
-The model is fitted on at most ``FIT_ROWS`` rated texts, those with the lowest hash of their id; features of every other
-text are computed where the text is. Ratings that are null are left out. Null texts count as empty: they have the
+The model is fitted on at most ``FIT_ROWS`` rated texts, those with the lowest hash of their id; a text that is there
+several times under one id counts once. Features of every other text are computed where the text is. Ratings that are null are left out. Null texts count as empty: they have the
 features of a text without words and are scored by them. Repeated rows get the same score. Columns of the rows stay
-beside the result; only the names of the result's own struct are new. With no rated text the model scores all texts
+beside the result; only the names of the result's own struct are new. An empty table gives an empty result. With no rated text the model scores all texts
 alike, at the prior, and keeps them.
 """
 
@@ -31,7 +33,10 @@ DIMENSIONS = 1 << 18
 #: Rated texts the model is fitted on, at most.
 FIT_ROWS = 20_000
 #: A feature must occur in so many of the rated texts to get a weight.
-MIN_TEXTS = 15
+MIN_TEXTS = 5
+#: One rated text in so many is held out to choose the limit, which keeps this share of the best ones.
+HELD_OUT = 5
+KEEP_BEST = 0.99
 #: Entries of a worker's table of hashed words; it is emptied when full.
 CACHE_ENTRIES = 150_000
 
@@ -86,6 +91,8 @@ class OrdinalModel:
 
     thresholds: np.ndarray
     weights: np.ndarray = field(default_factory=lambda: np.zeros(DIMENSIONS, np.float32))
+    #: The least probability of the best grade that a text is kept with.
+    least: float = 0.5
 
     def at_most(self, scores: np.ndarray) -> np.ndarray:
         """``P(grade <= k)`` for each score and each k but the last grade."""
@@ -95,8 +102,8 @@ class OrdinalModel:
         return float(self.weights[found].sum())
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, epochs: int = 12, batch: int = 512,
-        rate: float = 0.15, decay: float = 3e-4) -> OrdinalModel:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, epochs: int = 30, batch: int = 512,
+        rate: float = 0.3, decay: float = 3e-4) -> OrdinalModel:
     """The model of rated texts, by gradient steps of adaptive size in a fixed order."""
     counts = np.array([(grades == k).sum() for k in range(n_grades)]) + 0.5
     prior = np.cumsum(counts)[:-1] / counts.sum()
@@ -138,6 +145,24 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, epochs: i
     return model
 
 
+def limit_of(best: np.ndarray, keep: float = KEEP_BEST) -> float:
+    """The highest limit from 0.5 to 0.9 that keeps a share ``keep`` of texts with these probabilities, or else 0.5."""
+    if not len(best):
+        return 0.5
+    return float(np.clip(np.sort(best)[int((1 - keep) * len(best))], 0.5, 0.9))
+
+
+def fit_with_limit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3) -> OrdinalModel:
+    """The model of all rated texts, with the limit that a model of most of them gives on the others."""
+    model = fit(rows, grades, n_grades)
+    held = np.arange(len(rows)) % HELD_OUT == HELD_OUT - 1
+    if held.any():
+        first = fit([r for r, h in zip(rows, held) if not h], grades[~held], n_grades)
+        scores = [first.score(r) for r, h, g in zip(rows, held, grades) if h and g == n_grades - 1]
+        model.least = limit_of(1 - first.at_most(np.array(scores))[:, -1])
+    return model
+
+
 def fit_on(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS, n_grades: int = 3) -> OrdinalModel:
     """The model of ``ratings`` (doc_id, grade) over ``docs`` (doc_id, text)."""
     rated = ratings.where("doc_id is not null and grade is not null").select("doc_id", "grade")
@@ -145,22 +170,24 @@ def fit_on(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS, n_grad
     found = struct_udf(lambda texts: {"buckets": [features(t) for t in texts]}, "buckets array<int>")
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
             .select("doc_id", "grade", content_key("text").alias("key"), found("text").alias("f"))
-            .select("doc_id", "grade", "key", "f.buckets"))
+            .groupBy("doc_id", "grade", "key").agg(F.first("f.buckets").alias("buckets"))
+            .orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key", "grade").limit(fit_rows))
     # As arrays all the way: lists of numbers would take many times the memory.
     got = rows.toArrow().combine_chunks()
     order = got.sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("key", "ascending")]).combine_chunks()
     lists = order["buckets"].chunk(0) if order.num_rows else None
     parts = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py()) if lists else []
-    return fit(parts, order["grade"].to_numpy().astype(int), n_grades)
+    return fit_with_limit(parts, order["grade"].to_numpy().astype(int), n_grades)
 
 
-def graded(model: OrdinalModel, text: Column | str, least: float = 0.5) -> Column:
-    """Struct of ``expected_grade``, ``p_best`` (the probability of the best grade) and ``kept``: it is ``least`` or more."""
+def graded(model: OrdinalModel, text: Column | str, least: float | None = None) -> Column:
+    """Struct of ``expected_grade``, ``p_best`` (the probability of the best grade) and ``kept``: it is the limit or more."""
+    limit = model.least if least is None else least
 
     def batch(texts):
         below = model.at_most([model.score(features(t)) for t in texts])
         best = 1 - below[:, -1]
-        return {"expected_grade": (1 - below).sum(axis=1), "p_best": best, "kept": best >= least}
+        return {"expected_grade": (1 - below).sum(axis=1), "p_best": best, "kept": best >= limit}
 
     return struct_udf(batch, "expected_grade double, p_best double, kept boolean")(text)
 
