@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -64,6 +65,60 @@ def test_short_and_joined_runs(text, found):
         assert len(spans) == 1 and spans[0][0] <= text.index(found) and spans[0][1] >= text.index(found) + len(found)
 
 
+def plain_entropy(text):
+    """Spans of high entropy, each window counted anew."""
+    classes = [(["0-9"], 24, 2.8, 24), (["0-9a-f", "0-9A-F"], 20, 3.0, 0), (["A-Za-z0-9"], 20, 3.7, 0), (["A-Za-z0-9+/_=-"], 24, 4.0, 0)]
+    inside = set()
+    for c in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+        if secrets.is_allowed(c.group()):
+            continue
+        for k, (sets, window, bits, least) in enumerate(classes):
+            for run in (r for s in sets for r in re.finditer(f"[{s}]{{16,}}", c.group())):
+                own, smaller = run.group(), [s for x in classes[:k] for s in x[0]]
+                if secrets.is_allowed(own) or len(own) < least or any(re.fullmatch(f"[{s}]+", own) for s in smaller):
+                    continue
+                width = min(window, len(own))
+                for i in range(len(own) - width + 1):
+                    part = Counter(own[i:i + width]).values()
+                    if -sum(n / width * math.log2(n / width) for n in part) >= bits * math.log2(width) / math.log2(window) - 1e-9:
+                        inside.update(range(c.start() + run.start() + i, c.start() + run.start() + i + width))
+    return inside
+
+
+def test_entropy_spans_equal_plain_ones():
+    rng = random.Random(12)
+    sets = ["0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFabcdefXYZ0123456789", "aA1+/_=-", "ab", " .:"]
+    for _ in range(1500):
+        text = "".join("".join(rng.choices(rng.choice(sets), k=rng.randint(1, 40))) for _ in range(rng.randint(1, 5)))
+        spans = secrets.entropy_spans(text)
+        assert {i for a, b in spans for i in range(a, b)} == plain_entropy(text), text
+        assert all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+
+
+@pytest.mark.parametrize("letters, sizes, least", [
+    (string.ascii_letters, (20, 32, 40), 0.9), (string.ascii_letters + string.digits, (20, 32, 40), 0.95),
+    (string.digits, (24, 32, 40), 0.9), (string.ascii_lowercase, (32, 40), 0.8)])
+def test_random_strings_are_found(letters, sizes, least):
+    rng = random.Random(3)
+    for size in sizes:
+        found = sum(bool(secrets.entropy_spans("key " + "".join(rng.choices(letters, k=size)) + " end")) for _ in range(300))
+        assert found >= least * 300
+    assert secrets.entropy_spans("QkRzXvTpLmNwGhJdYb7392")
+
+
+@pytest.mark.parametrize("name", [
+    "getUserAccountInformationFromDatabase", "Donaudampfschifffahrtsgesellschaft", "MAX_CONNECTION_RETRY_COUNT_PER_HOST",
+    "com/example/project/service/impl/UserServiceImpl2", "internationalization-and-localization2024", "4111111111111111",
+    "xmlHttpRequestEventTargetPrototype", "1700000000123456789"])
+def test_names_and_numbers_are_allowed(name):
+    assert not secrets.entropy_spans(f"see {name} there")
+
+
+def test_no_rows_no_secrets(spark):
+    rows = spark.createDataFrame([], "doc_id bigint, text string, spans string")
+    assert rows.select("spans", secrets.find_secrets("text").alias("s")).count() == 0
+
+
 def test_secret_column(spark):
     rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*ODD, "token = abcdef1 é", "token = abcdef1 é"])],
                                  "doc_id int, text string, spans int")
@@ -174,6 +229,55 @@ def test_chains_of_patterns_are_followed_to_the_end(spark, ws):
     assert len(found_ids(spark, ws, texts)) == 36
 
 
+def plain_confidence(graph, uses):
+    """Confidence of patterns at the fixpoint: {(pattern, value): (n, seed)} and {pattern: uses}, one sort of patterns."""
+    trust = {v: float(max(s for (_, w), (_, s) in graph.items() if w == v)) for _, v in graph}
+    seeds = dict(trust)
+    for _ in range(2000):
+        support = Counter(p for p, v in graph if trust[v] >= 0.5)
+        known = {p for p in support if support[p] >= 5}
+        confidence = {}
+        for p in known:
+            good = sum(n * trust[v] for (q, v), (n, _) in graph.items() if q == p)
+            entities = sum(n for (q, _), (n, _) in graph.items() if q == p)
+            confidence[p] = good / max(uses[p] - entities + good, good, 1)
+        for v in trust:
+            doubt = math.prod(max(1e-9, 1 - confidence.get(p, 0)) for p, w in graph if w == v)
+            trust[v] = max(seeds[v], 1 - doubt)
+    return {p: c for p, c in confidence.items() if c >= 0.5}
+
+
+def test_rounds_go_on_to_the_fixpoint(spark, ws):
+    # Trust grows by less and less: .29, .48, .55 and so on to .58, for one of the labels.
+    texts = [f"my label user{i}@mail.example.com" for i in range(5)] + [f"my label Q-{2000 + i}" for i in range(20)]
+    texts += [f"my label {w}" for w in "a b c d e f g h i j k l".split()]
+    assert found_ids(spark, ws, texts) == {f"Q-{2000 + i}" for i in range(20)}
+
+
+def test_patterns_equal_a_plain_fixpoint(spark, ws, monkeypatch):
+    rng, texts = random.Random(21), []
+    for label in range(12):
+        texts += [f"la{label} lb{label} u{rng.randint(0, 30)}@mail.example.com" for _ in range(rng.randint(0, 9))]
+        texts += [f"la{label} lb{label} K-{rng.randint(1000, 1060)}" for _ in range(rng.randint(0, 25))]
+        texts += [f"la{label} lb{label} word" for _ in range(rng.randint(0, 12))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    seen = pii._scan(ws, docs)[1].where(f"pattern & 3 = {pii.TWO_BEFORE}").select("pattern", "value", "seed")
+    rows = seen.collect()
+    graph = {k: (sum(r[:2] == k for r in rows), max(r["seed"] for r in rows if r[:2] == k)) for k in {r[:2] for r in rows}}
+    of_label = {f"la{k} lb{k}": None for k in range(12)}
+    patterns = {label: int(pii.every_pattern(pii.word_hashes(label.split() + ["x"]))[2]) for label in of_label}
+    uses = {p: sum(t.startswith(label + " ") for t in texts) for label, p in patterns.items()}
+    want = plain_confidence(graph, uses)
+    monkeypatch.setattr(pii, "EPSILON", 1e-6)
+    got = {r["pattern"]: r["confidence"] for r in pii.confident_patterns(ws, docs, seen).collect()}
+    assert want and got == pytest.approx(want, abs=1e-4)
+
+
+def test_no_documents_no_personal_data(spark, ws):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, pattern string, spans string")
+    assert pii.find_personal_data(ws, docs).count() == 0
+
+
 @pytest.mark.parametrize("block", [0, 1000])
 def test_masking(spark, ws, block):
     docs = spark.createDataFrame([(i, t, "en", 0) for i, t in CONTEXTS], "doc_id bigint, text string, _spans string, n_chars bigint")
@@ -204,6 +308,72 @@ def test_ordinal_model_on_held_out_texts():
     assert expected[grades[2000:] == 0].mean() < expected[grades[2000:] == 1].mean() < expected[grades[2000:] == 2].mean()
 
 
+def plain_features(text):
+    """Names of a text's features, hashed as the operator's."""
+    text, out = text or "", set()
+    words = [w for w in re.split("[ \t\n\r\x0b\x0c]+", text) if w]
+    for w in words:
+        core = re.sub("^[!-/:-@[-`{-~0-9\x00-\x1f\x7f]+|[!-/:-@[-`{-~0-9\x00-\x1f\x7f]+$", "", w) if not w.isdigit() else ""
+        if core:
+            out.add("".join(c.lower() if c.isascii() else c for c in core))
+    return {quality.bucket(w.encode()) for w in out}
+
+
+def test_features_hold_the_words():
+    for text in ["Some words, some (more) words!", "été Über alles", "a\nb\nb\nb", "x" * 10_000]:
+        got = quality.features(text)
+        assert plain_features(text) <= set(got.tolist()) and (np.diff(got) > 0).all()
+    assert len(quality.features("")) == len(quality.features(None)) == 6
+
+
+def loss(weights, thresholds, rows, grades, decay):
+    total = 0.0
+    for r, g in zip(rows, grades):
+        score = sum(weights[i] for i in r)
+        below = [0.0, *(1 / (1 + math.exp(score - t)) for t in thresholds), 1.0]
+        total -= math.log(max(1e-9, below[g + 1] - below[g]))
+    return total / len(rows) + decay / 2 * sum(w * w for w in weights)
+
+
+def test_fit_finds_the_least_loss():
+    """Against a plain loss: steps along any weight or threshold away from the fitted model make it no better."""
+    rng, decay = random.Random(5), 3e-4
+    rows, grades = [], []
+    for _ in range(300):
+        g = rng.choice([0, 1, 2, 2])
+        rows.append(np.array(sorted({rng.randint(0, 5), 6 + g if rng.random() < 0.7 else 6 + rng.randint(0, 2)}), np.int64))
+        grades.append(g)
+    model = quality.fit(rows, np.array(grades), epochs=3000, decay=decay)
+    w, t = [float(x) for x in model.weights[:9]], [float(x) for x in model.thresholds]
+    best = loss(w, t, rows, grades, decay)
+    for values in (w, t):
+        for i in range(len(values)):
+            for step in (-0.1, 0.1):
+                values[i] += step
+                assert loss(w, t, rows, grades, decay) > best - 1e-5
+                values[i] -= step
+    assert model.score(rows[0]) == pytest.approx(sum(w[i] for i in rows[0]), abs=1e-5)
+
+
+def test_limit_keeps_the_best():
+    best = np.linspace(0, 1, 1001)
+    assert quality.limit_of(best, 0.3) == pytest.approx(0.7) and quality.limit_of(best) == 0.5
+    assert quality.limit_of(best, 0.05) == 0.9
+    assert quality.limit_of(best[:0]) == 0.5
+
+
+def test_repeated_rated_ids_stay_within_the_bound(spark, monkeypatch):
+    """One id holds most rows; equal texts count once, and no more rows than asked for are fitted on."""
+    docs = spark.createDataFrame([(1, "same text", "x")] * 300 + [(1, f"text {i}", "x") for i in range(50)] + [(2, "other", "x")],
+                                 "doc_id bigint, text string, grade string")
+    ratings = spark.createDataFrame([(1, 2), (2, 0), (1, 2)], "doc_id bigint, grade int")
+    sizes = []
+    monkeypatch.setattr(quality, "fit_with_limit", lambda rows, grades, n: sizes.append((len(rows), grades.tolist().count(0))))
+    quality.fit_on(docs, ratings)
+    quality.fit_on(docs, ratings, fit_rows=20)
+    assert sizes[0] == (52, 1) and sizes[1][0] <= 20
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD, "fine text", "fine text"])], "doc_id bigint, text string")
     labels = spark.createDataFrame([(9, 1, 0), (9, 0, 0), (1, None, 1), (2, 1, None), (None, 1, 0)],

@@ -8,7 +8,7 @@
 3. Rounds: a pattern with enough trusted instances is induced, and the whole corpus is read to count what else it comes
    before. A pattern's confidence is the share of trusted instances among the words it comes before, without candidates
    that are not trusted yet: those tell nothing, ordinary words tell against it. An instance is trusted as far as the patterns of one sort that it occurs with make it likely. Trusted
-   instances induce further patterns, until none are new and no more patterns or instances become trusted.
+   instances induce further patterns, until none are new and no confidence grows by ``EPSILON`` any more.
 4. Candidates behind patterns of high confidence are spans of the kind ``id``, beside those of the known kinds.
 
 Patterns and instances are hashes; their graph is aggregated per task before it is shuffled, so a pair of words before
@@ -40,6 +40,8 @@ MIN_SUPPORT = 5
 CONFIDENT = 0.5
 #: Induced patterns that one pass over the corpus counts; more take further passes.
 BLOCK_PATTERNS = 1_000_000
+#: Rounds end when no confidence grows by as much.
+EPSILON = 1e-3
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -204,7 +206,8 @@ def pattern_uses(docs: DataFrame, patterns: np.ndarray) -> DataFrame:
                     found = every_pattern(words)
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                     np.add.at(counts, at[known[at] == found], 1)
-        yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(counts)], names=["pattern", "uses"])
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(known[used]), pa.array(counts[used])], names=["pattern", "uses"])
 
     per_task = docs.select("text").mapInArrow(batches, "pattern bigint, uses bigint")
     return per_task.groupBy("pattern").agg(F.sum("uses").alias("uses"))
@@ -218,7 +221,9 @@ def _uses_of(ws: Workspace, docs: DataFrame, induced: DataFrame, block: int) ->
         part = [r["pattern"] for r in rest.select("pattern").orderBy("pattern").limit(block).collect()]
         if not part:
             return out
-        uses = ws.save(pattern_uses(docs, np.array(part, np.int64)), "uses")
+        counted = rest.where(F.col("pattern") <= part[-1]).select("pattern").join(
+            pattern_uses(docs, np.array(part, np.int64)), "pattern", "left")
+        uses = ws.save(counted.select("pattern", F.coalesce("uses", F.lit(0)).alias("uses")), "uses")
         out = uses if out is None else out.unionByName(uses)
         least = part[-1]
 
@@ -232,7 +237,7 @@ def confident_patterns(ws: Workspace, docs: DataFrame, seen: DataFrame,
     """
     graph = ws.save(seen.groupBy("pattern", "value").agg(F.count("seed").alias("n"),
                                                          F.max(F.col("seed").cast("double")).alias("trust")), "graph")
-    trusted, known, scored, reached = graph, None, None, None
+    trusted, known, scored = graph, None, None
     while True:
         induced = (trusted.where(F.col("trust") >= confident).groupBy("pattern").agg(F.count("value").alias("support"))
                    .where(F.col("support") >= min_support))
@@ -245,20 +250,23 @@ def confident_patterns(ws: Workspace, docs: DataFrame, seen: DataFrame,
         sums = trusted.groupBy("pattern").agg(F.sum(F.col("n") * F.col("trust")).alias("good"),
                                               F.sum("n").alias("entities"))
         share = F.col("good") / F.greatest(F.col("uses") - F.col("entities") + F.col("good"), F.col("good"), F.lit(1))
-        scored = ws.save(sums.join(known, "pattern").select("pattern", share.alias("confidence")), "scored")
+        now = sums.join(known, "pattern").select("pattern", share.alias("confidence"))
+        if scored is not None:
+            now = now.join(scored.select("pattern", F.col("confidence").alias("was")), "pattern", "left")
+        scored = ws.save(now, "scored")
+        # Confidence only grows, so a round that hardly changes any is the last one.
+        change = scored.agg(F.max(F.col("confidence") - F.coalesce("was", F.lit(0.0)))).first()[0] if "was" in now.columns else 1
+        if uses is None and (change or 0) < EPSILON:
+            break
         # Noisy-or over the patterns of one sort of an instance, as those of several sorts tell the same; seeds keep full trust.
         doubt = F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce("confidence", F.lit(0.0))))
         values = (graph.join(scored, "pattern", "left").groupBy("value", F.col("pattern").bitwiseAND(3).alias("sort"))
                   .agg(F.max("trust").alias("seed"), (1 - F.exp(F.sum(doubt))).alias("likely"))
                   .groupBy("value").agg(F.max(F.greatest("seed", "likely")).alias("trust")))
         trusted = ws.save(graph.drop("trust").join(values, "value"), "trusted")
-        now = (scored.where(F.col("confidence") >= confident).count(), trusted.where(F.col("trust") >= confident).count())
-        if uses is None and now == reached:
-            break
-        reached = now
     if scored is None:
         return seen.sparkSession.createDataFrame([], "pattern bigint, confidence double")
-    return scored.where(F.col("confidence") >= confident)
+    return scored.where(F.col("confidence") >= confident).select("pattern", "confidence")
 
 
 def _scan(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
