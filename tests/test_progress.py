@@ -119,3 +119,38 @@ def test_trailing_rate_of_a_burst(spark):
         first = next(r for r in rows if r[1] >= t - 30_000)
         want = (n - first[2]) / ((t - first[1]) / 1000) if t > first[1] and n > first[2] else None
         assert got[t] == pytest.approx(want) if want is not None else got[t] is None
+
+
+def test_smoothing_of_a_burst_and_of_long_gaps(spark, monkeypatch):
+    """Cuts by count: a burst has many pieces, a sparse log few; blocks, pieces and a null key as the serial tracker."""
+    rng = random.Random(12)
+    rows, n = [], {}
+    for key, times in (("burst", range(3000)), ("sparse", range(0, 10**9, 10**7)), (None, range(0, 900, 3)),
+                       ("falls", range(0, 50, 5))):
+        n[key] = []
+        for i, t in enumerate(times):
+            n[key].append((t, 100 - i if key == "falls" else i * 3 + rng.choice([0, 1, 5, -9])))
+            rows.append((key, *n[key][-1]))
+    monkeypatch.setattr(progress, "BUCKET_MS", 64)
+    monkeypatch.setattr(progress, "CHUNK_SAMPLES", 200)
+    monkeypatch.setattr(progress, "BLOCK_SAMPLES", 16)
+    df = spark.createDataFrame(rows, "k string, t_ms bigint, n bigint").repartition(4)
+    sizes = {(r.k, r.piece): r["count"] for r in progress._pieces(progress._samples(df, "k"), "k", None).groupBy("k", "piece").count().collect()}
+    assert max(sizes.values()) <= 264 and len([p for k, p in sizes if k == "burst"]) >= 12
+    assert len([p for k, p in sizes if k == "sparse"]) == 1
+    for alpha in (0.1, 0.97):
+        got = {(r.k, r.t_ms): r.ema for r in progress.ema_rate(df, "k", alpha).collect()}
+        assert len(got) == len(rows)
+        for key, samples in n.items():
+            for t, _, ema in tracker(samples, alpha=alpha):
+                assert got[key, t] == (None if ema is None else pytest.approx(ema))
+
+
+@pytest.mark.parametrize("alpha", [0.0, 1.0])
+def test_smoothing_needs_a_share(spark, alpha):
+    with pytest.raises(ValueError):
+        progress.ema_rate(spark.createDataFrame([], "k string, t_ms bigint, n bigint"), "k", alpha)
+
+
+def test_smoothing_of_nothing(spark):
+    assert progress.ema_rate(spark.createDataFrame([], "k string, t_ms bigint, n bigint"), "k").count() == 0

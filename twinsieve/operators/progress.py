@@ -6,14 +6,20 @@ tasks; what a cut needs from before it is carried over exactly.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The trailing window and the smoothing factor.
 WINDOW_MS = 30_000
 ALPHA = 0.1
-#: Samples a piece of a log should hold at least, for smoothing.
-CHUNK_SAMPLES = 500
+#: Length of a bucket of a log; a bucket has at most one sample per instant.
+BUCKET_MS = 1 << 16
+#: Samples a piece of a log should hold, and at most so many more as a bucket has.
+CHUNK_SAMPLES = 1 << 16
+#: Samples of a block of a piece, at most.
+BLOCK_SAMPLES = 256
 
 
 def _samples(log: DataFrame, key: str) -> DataFrame:
@@ -57,20 +63,56 @@ def with_share(log: DataFrame) -> DataFrame:
                           .otherwise(F.lit(0.0)))
 
 
-def _chunked(samples: DataFrame, key: str, chunk_ms: int | None) -> DataFrame:
-    """Adds ``chunk``, pieces of equal time per key.
+def _pieces(samples: DataFrame, key: str, piece_ms: int | None) -> DataFrame:
+    """Adds ``piece``, ascending in time per key, which must not be null.
 
-    Without a length, a log of n samples has about sqrt(n) pieces of sqrt(n)
-    samples, so that neither a piece nor the list of pieces grows large.
+    Buckets of equal time hold at most ``BUCKET_MS`` samples, one per instant, however dense a log is. Buckets that follow
+    each other make up a piece until it has ``CHUNK_SAMPLES``, so a sparse log has few pieces and a burst has many.
     """
-    if chunk_ms is not None:
-        return samples.withColumn("chunk", F.floor(F.col("t_ms") / chunk_ms))
-    size = F.greatest(F.lit(float(CHUNK_SAMPLES)), F.sqrt(F.count(F.lit(1))))
-    pieces = F.greatest(F.floor(F.count(F.lit(1)) / size), F.lit(1).cast("bigint"))
-    length = F.max("t_ms") - F.min("t_ms") + 1
-    spans = samples.groupBy(key).agg(F.min("t_ms").alias("start"), (length / pieces).alias("span"))
-    return (samples.join(spans, key)
-            .withColumn("chunk", F.floor((F.col("t_ms") - F.col("start")) / F.col("span"))).drop("start", "span"))
+    if piece_ms is not None:
+        return samples.withColumn("piece", F.floor(F.col("t_ms") / piece_ms))
+    samples = samples.withColumn("bucket", F.floor(F.col("t_ms") / BUCKET_MS))
+    earlier = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = (samples.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("c"))
+              .select(key, "bucket", F.floor(F.coalesce(F.sum("c").over(earlier), F.lit(0)) / CHUNK_SAMPLES).alias("piece")))
+    return samples.join(pieces, [key, "bucket"]).drop("bucket")
+
+
+def _rates(samples: DataFrame, key: str) -> DataFrame:
+    """Adds ``instant``, the rate of each sample against the one before, which may end an earlier piece."""
+    ends = (samples.groupBy(key, "piece").agg(F.max(F.struct("t_ms", "n")).alias("end"))
+            .withColumn("before", F.lag("end").over(Window.partitionBy(key).orderBy("piece"))).drop("end"))
+    within = Window.partitionBy(key, "piece").orderBy("t_ms")
+    previous = F.coalesce(F.lag(F.struct("t_ms", "n")).over(within), F.col("before"))
+    seconds = (F.col("t_ms") - F.col("p.t_ms")) / F.lit(1000.0)
+    return (samples.join(ends, [key, "piece"]).withColumn("p", previous)
+            .select(key, "piece", "t_ms", "n",
+                    F.when(F.col("n") >= F.col("p.n"), (F.col("n") - F.col("p.n")) / seconds).alias("instant")))
+
+
+#: What a run of samples does to the average before it, how many rates it has, and the first of them.
+MAP = ("keep", "gain", "rates", "first")
+
+
+def _composed(maps: DataFrame, by: list[str], at: str) -> DataFrame:
+    """``all``, the composition of a line of maps, and ``before``, for each of them that of all earlier ones.
+
+    Lines are short: blocks of a piece, pieces of a key.
+    """
+    nothing = F.struct(F.lit(1.0).alias("keep"), F.lit(0.0).alias("gain"), F.lit(0).cast("bigint").alias("rates"),
+                       F.lit(None).cast("double").alias("first"))
+    kind = "struct<keep:double,gain:double,rates:bigint,first:double>"
+    start = F.struct(nothing.alias("all"), F.array().cast(f"array<struct<at:bigint,map:{kind}>>").alias("before"))
+
+    def advance(acc: Column, m: Column) -> Column:
+        both = F.struct((acc.all.keep * m.keep).alias("keep"), (m.keep * acc.all.gain + m.gain).alias("gain"),
+                        (acc.all.rates + m.rates).alias("rates"), F.coalesce(acc.all.first, m["first"]).alias("first"))
+        return F.struct(both.alias("all"),
+                        F.array_append(acc.before, F.struct(m.at.alias("at"), acc.all.alias("map"))).alias("before"))
+
+    line = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), *MAP)))
+    return (maps.groupBy(*by).agg(line.alias("line"))
+            .select(*by, F.aggregate("line", start, advance).alias("r")).select(*by, "r.all", "r.before"))
 
 
 def ema_rate(log: DataFrame, key: str, alpha: float = ALPHA, chunk_ms: int | None = None) -> DataFrame:
@@ -78,57 +120,36 @@ def ema_rate(log: DataFrame, key: str, alpha: float = ALPHA, chunk_ms: int | Non
 
     The first rate starts the average. Samples that fall back in ``n`` have no
     rate and leave it unchanged; so does the first sample.
-    """
-    samples = _chunked(_samples(log, key), key, chunk_ms)
-    by_chunk = Window.partitionBy(key).orderBy("chunk")
 
-    # Rate of each sample against the one before, which may end an earlier chunk.
-    ends = (samples.groupBy(key, "chunk").agg(F.max(F.struct("t_ms", "n")).alias("end"))
-            .withColumn("before", F.lag("end").over(by_chunk)).drop("end"))
-    within = Window.partitionBy(key, "chunk").orderBy("t_ms")
-    previous = F.coalesce(F.lag(F.struct("t_ms", "n")).over(within), F.col("before"))
-    rates = (samples.join(ends, [key, "chunk"]).withColumn("p", previous)
-             .withColumn("instant", F.when(F.col("n") >= F.col("p.n"), (F.col("n") - F.col("p.n"))
-                                           / ((F.col("t_ms") - F.col("p.t_ms")) / F.lit(1000.0))))
-             .select(key, "chunk", "t_ms", "n", "instant"))
-
-    # A chunk maps the average before it to keep * average + gain; starting the
-    # average at the first rate makes the first step like all others.
-    step = F.struct("t_ms", "n", "instant")
-    chunks = rates.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    valid = F.filter("steps", lambda s: s.instant.isNotNull())
-    chunks = (chunks.withColumn("first", F.get(valid, F.lit(0)).instant)
-              .withColumn("keep", F.pow(F.lit(1 - alpha), F.size(valid)))
-              .withColumn("gain", F.aggregate(valid, F.lit(0.0), lambda e, s: alpha * s.instant + (1 - alpha) * e)))
-
-    # The averages before each chunk, from one short list of chunks per key.
-    line = F.array_sort(F.collect_list(F.struct("chunk", "first", "keep", "gain")))
-    start = F.struct(F.lit(None).cast("double").alias("at"),
-                     F.array().cast("array<struct<chunk:bigint,at:double>>").alias("out"))
-
-    def advance(acc: Column, c: Column) -> Column:
-        base = F.coalesce(acc.at, c.first)
-        return F.struct((c.keep * base + c.gain).alias("at"),
-                        F.array_append(acc.out, F.struct(c.chunk.alias("chunk"), base.alias("at"))).alias("out"))
-
-    carried = (chunks.groupBy(key).agg(line.alias("line"))
-               .select(key, F.explode(F.aggregate("line", start, advance, lambda a: a.out)).alias("c"))
-               .select(key, F.col("c.chunk").alias("chunk"), F.col("c.at").alias("at")))
-
-    item = "array<struct<t_ms:bigint,n:bigint,instant:double,ema:double>>"
-    begin = F.struct(F.col("at").alias("at"), F.lit(False).alias("live"), F.array().cast(item).alias("out"))
-
-    def smooth(acc: Column, s: Column) -> Column:
-        new = F.when(s.instant.isNull(), acc.at).otherwise(alpha * s.instant + (1 - alpha) * acc.at)
-        live = acc.live | s.instant.isNotNull()
-        row = F.struct(s.t_ms.alias("t_ms"), s.n.alias("n"), s.instant.alias("instant"),
-                       F.when(live | F.col("started"), new).alias("ema"))
-        return F.struct(new.alias("at"), live.alias("live"), F.array_append(acc.out, row).alias("out"))
-
-    # Before its first rate a key has no average.
-    started = F.coalesce(F.max(F.col("first").isNotNull()).over(
-        by_chunk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    flags = chunks.select(key, "chunk", "first").withColumn("started", started).select(key, "chunk", "started")
-    return (chunks.join(carried, [key, "chunk"]).join(flags, [key, "chunk"])
-            .select(key, F.explode(F.aggregate("steps", begin, smooth, lambda a: a.out)).alias("r"))
-            .select(key, "r.*"))
+    A run of samples maps the average before it to ``keep * average + gain``, and such maps compose. They are summed up
+    over blocks of some samples, composed along the blocks of a piece and the pieces of a key, and what comes before is
+    then applied to each sample by itself. ``chunk_ms`` sets the length of a piece in time.
+    """
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must lie between 0 and 1")
+    left = F.lit(1 - alpha)
+    # Powers of what is left of a rate after a block of rates must stay far from a double's limits.
+    size = max(1, min(BLOCK_SAMPLES, int(400 / -math.log(1 - alpha))))
+    samples = _samples(log, key).select(F.struct(key).alias("of"), "t_ms", "n")  # never null
+    in_piece = Window.partitionBy("of", "piece").orderBy("t_ms")
+    to_here = Window.partitionBy("of", "piece", "block").orderBy("t_ms").rowsBetween(Window.unboundedPreceding, 0)
+    rates = (_rates(_pieces(samples, "of", chunk_ms), "of")
+             .withColumn("block", F.floor((F.row_number().over(in_piece) - 1) / size))
+             .withColumn("rates", F.count("instant").over(to_here))
+             .withColumn("gain", F.coalesce(F.sum(alpha * F.col("instant") * F.pow(left, -F.col("rates"))).over(to_here), F.lit(0.0))
+                         * F.pow(left, F.col("rates"))))
+
+    first = F.min_by("instant", F.when(F.col("instant").isNotNull(), F.col("t_ms"))).alias("first")
+    blocks = (rates.groupBy("of", "piece", "block").agg(F.max_by(F.struct("rates", "gain"), "t_ms").alias("m"), first)
+              .select("of", "piece", "block", F.pow(left, F.col("m.rates")).alias("keep"), "m.gain", "m.rates", "first"))
+    pieces = _composed(blocks, ["of", "piece"], "block")
+    # Starting the average at a key's first rate makes the first step like all others.
+    starts = (_composed(pieces.select("of", "piece", "all.*"), ["of"], "piece")
+              .select("of", F.col("all.first").alias("base"), F.explode("before").alias("b"))
+              .select("of", F.col("b.at").alias("piece"), F.col("b.map.rates").alias("ago"),
+                      (F.col("b.map.keep") * F.col("base") + F.col("b.map.gain")).alias("e")))
+    known = rates.join(pieces.select("of", "piece", "before").join(starts, ["of", "piece"]), ["of", "piece"])
+    block = F.get("before", F.col("block").cast("int")).map
+    average = F.pow(left, F.col("rates")) * (block.keep * F.col("e") + block.gain) + F.col("gain")
+    ema = F.when(F.col("ago") + block.rates + F.col("rates") > 0, average)
+    return known.select(f"of.{key}", "t_ms", "n", "instant", ema.alias("ema"))
