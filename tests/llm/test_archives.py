@@ -57,7 +57,7 @@ def test_a_file_is_dictionary_and_frames(spark, ws):
     # Any frame can be read on its own.
     frames = warc.archive_frames([b"one record " * 50, b"another record " * 50] * 200)
     dictionary = zstandard.ZstdCompressionDict(frames[0][8:])
-    assert zstandard.ZstdDecompressor(dict_data=dictionary).decompress(frames[7]) == b"one record " * 50 or True
+    assert zstandard.ZstdDecompressor(dict_data=dictionary).decompress(frames[7]) == b"one record " * 50
     assert zstandard.ZstdDecompressor(dict_data=dictionary).decompress(frames[2]) == b"another record " * 50
 
 
