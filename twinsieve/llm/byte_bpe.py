@@ -3,12 +3,14 @@
 The vocabulary is a file of ranks: tokens are byte strings, and a token's rank is its id. A text is cut into words by
 the vocabulary's pattern, and each word is encoded by itself:
 
-1. A word's bytes become an array of tokens, held as a string with one character for each token: the one whose code
+1. A word's bytes become an array of tokens, or a string with one character for each token: the one whose code
    point is the rank plus ``FIRST``. One step of the fold looks up what every two neighbours merge to, takes the lowest
    rank, and replaces that pair, from the left, wherever it stands. It ends when no two neighbours merge. Replacing all
    places at once gives what one at a time gives, since a pair that arises from a merge has a higher rank than the merge.
-2. The ranks are a literal map in the plan, from pairs of tokens to the token they merge to. Spark finds a map's key by
-   looking at one key after the other, so the map is cut into buckets by the key's hash, with a few keys each.
+2. The ranks are a literal table in the plan, from pairs of tokens to the token they merge to. Spark finds a map's key by
+   looking at one key after the other, so the map is an array, in which each pair has a slot of its own
+   (``MergeTable``): few integers are computed for a pair, however many there are.
+   Words of up to ``LONG`` bytes are folded as arrays of ranks, one place at a time; longer parts as said, as strings.
 3. The distinct words of the corpus are counted. As many of the most frequent ones as ``HEAD`` allows are encoded once
    and become a literal map themselves. All other words, each of them rare, are folded where they stand: to bring their
    ids back by a join would shuffle the whole corpus. Which words are in the head decides the cost only.
@@ -26,6 +28,7 @@ from __future__ import annotations
 import base64
 import json
 import math
+import random
 import re
 from collections.abc import Callable
 from functools import lru_cache
@@ -45,6 +48,8 @@ LONG = 64
 LEVELS = 8
 #: Code point of the character of the token with rank 0.
 FIRST = 0x10000
+#: Bits of a rank in a slot of the table of merges.
+BITS = 20
 #: Characters that are neither a byte nor a token, nor meant for texts. The first one also marks where to cut and a word
 #: that is done.
 MARK, END = "\uFDD0", "\uFDD1"
@@ -85,6 +90,54 @@ class LiteralMap:
         return let(self.buckets, kind, lambda buckets: body(lambda key: found(buckets, key)))
 
 
+class MergeTable:
+    """The token that two tokens' ranks merge to, as two literal arrays.
+
+    A pair (a, b) belongs to one of many small groups, and its slot is a linear form of the ranks, shifted by its group,
+    modulo the size of the table. Shifts are chosen, for large groups first, so that no two pairs have the same slot. A
+    slot holds both ranks' key and the merged rank.
+    """
+
+    def __init__(self, pairs: dict[tuple[int, int], int]):
+        bits = max(4, (2 * len(pairs)).bit_length())
+        size, self.mask, self.groups = 1 << bits, (1 << bits) - 1, (1 << bits - 2) - 1
+        rng, fits = random.Random(11), False
+        while not fits:
+            self.factors = [rng.randrange(1, 1 << 30, 2) for _ in range(4)]
+            fits, shifts, slots = self.placed(pairs, rng, size)
+        self.shifts, self.slots = literal(shifts, "array<int>"), literal(slots, "array<bigint>")
+
+    def placed(self, pairs: dict[tuple[int, int], int], rng: random.Random, size: int) -> tuple[bool, list[int], list[int]]:
+        """Whether all pairs have a slot of their own, the groups' shifts and the table."""
+        p, q, r, s = self.factors
+        groups: dict[int, list[tuple[int, int]]] = {}
+        for (a, b), rank in pairs.items():
+            groups.setdefault(a * p + b * q & self.groups, []).append((a * r + b * s, a << 2 * BITS | b << BITS | rank))
+        shifts, slots = [0] * (self.groups + 1), [-1] * size
+        for group, members in sorted(groups.items(), key=lambda g: (-len(g[1]), g[0])):
+            if len({at & self.mask for at, _ in members}) < len(members):
+                return False, [], []
+            while any(slots[at + shifts[group] & self.mask] >= 0 for at, _ in members):
+                shifts[group] = rng.randrange(size)
+            for at, entry in members:
+                slots[at + shifts[group] & self.mask] = entry
+        return True, shifts, slots
+
+    def within(self, kind: str, body: Callable[[Callable[[Column, Column], Column]], Column]) -> Column:
+        """``body`` of the lookup, which gives null for pairs that do not merge. The literals are in the plan once."""
+        p, q, r, s = (F.lit(factor).cast("bigint") for factor in self.factors)
+
+        def found(shifts: Column, slots: Column, a: Column, b: Column) -> Column:
+            shift = F.get(shifts, (a * p + b * q).bitwiseAND(F.lit(self.groups)).cast("int"))
+            slot = F.get(slots, (a * r + b * s + shift).bitwiseAND(F.lit(self.mask)).cast("int"))
+            return let(slot, "int", lambda entry: F.when(
+                F.shiftright(entry, BITS) == F.shiftleft(a.cast("bigint"), BITS) + b,
+                entry.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")))
+
+        return let(self.shifts, kind, lambda shifts: let(
+            self.slots, kind, lambda slots: body(lambda a, b: found(shifts, slots, a, b))))
+
+
 def literal(value, kind: str) -> Column:
     """A nested literal; Catalyst folds the parsing away."""
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
@@ -135,9 +188,12 @@ class ByteBpe:
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         tokens = rank_file(path)
         self.pattern, self.full_pattern, self.newer = java_patterns(spark, pattern)
-        self.merges = LiteralMap({chr(FIRST + tokens[token[:i]]) + chr(FIRST + tokens[token[i:]]): chr(FIRST + rank)
+        self.merges = MergeTable({(tokens[token[:i]], tokens[token[i:]]): rank
                                   for token, rank in tokens.items() for i in range(1, len(token))
                                   if token[:i] in tokens and token[i:] in tokens})
+        #: By rank, its character; by byte, its rank.
+        self.characters = literal([chr(FIRST + rank) for rank in range(1 + max(tokens.values()))], "array<string>")
+        self.byte_ranks = literal([tokens[chr(b)] for b in range(256)], "array<int>")
         self.bytes = "".join(map(chr, range(256)))
         self.first = "".join(chr(FIRST + tokens[b]) for b in self.bytes)
         named = [""] * (1 + max(tokens.values()))
@@ -155,19 +211,41 @@ class ByteBpe:
         found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (self.pattern, self.full_pattern)]
         return F.when(text.rlike(self.newer), found[1]).otherwise(found[0])
 
-    def fold(self, data: Column, merge: Callable[[Column], Column]) -> Column:
+    def fold(self, data: Column, merge: Callable[[Column, Column], Column]) -> Column:
         """A string of bytes after all merges."""
+        return F.when(F.length(data) <= LONG, self.fold_short(data, merge)).otherwise(self.fold_long(data, merge))
+
+    def fold_short(self, data: Column, merge: Callable[[Column, Column], Column]) -> Column:
+        """One place at a time, on an array of ranks; it is led by a -1 once no two neighbours merge."""
+        def joined(tokens: Column, found: Column) -> Column:
+            at = F.array_position(found, F.array_min(found)).cast("int")
+            return F.when(at.isNull(), F.concat(F.array(F.lit(-1)), tokens)).otherwise(F.concat(
+                F.slice(tokens, F.lit(1), at - 1), F.array(F.array_min(found)), F.slice(tokens, at + 2, F.size(tokens))))
+
+        def step(tokens: Column, _: Column) -> Column:
+            found = F.transform(F.sequence(F.lit(0), F.size(tokens) - 2), lambda i: merge(F.get(tokens, i), F.get(tokens, i + 1)))
+            more = F.aggregate(F.array(found), tokens, joined)
+            return F.when((F.size(tokens) == 1) | (F.get(tokens, F.lit(0)) < 0), tokens).otherwise(more)
+
+        start = let(self.byte_ranks, "array<int>", lambda ranks: F.transform(
+            F.split(data, ""), lambda byte: F.get(ranks, F.ascii(byte))))
+        ranks = F.aggregate(F.sequence(F.lit(1), F.length(data)), start, step)
+        return let(self.characters, "string", lambda of: F.array_join(F.transform(ranks, lambda t: F.get(of, t)), ""))
+
+    def fold_long(self, data: Column, merge: Callable[[Column, Column], Column]) -> Column:
+        """All places of a pair at a time, on a string of tokens."""
+        def merged(a: Column, b: Column) -> Column:
+            return let(self.characters, "string", lambda of: F.get(of, merge(F.ascii(a) - FIRST, F.ascii(b) - FIRST)))
+
         def joined(tokens: Column, neighbours: Column) -> Column:
-            found = F.transform(neighbours, merge)
+            found = F.transform(neighbours, lambda pair: merged(pair, F.substring(pair, 2, 1)))
             least = F.array_min(found)
             pair = neighbours[F.array_position(found, least).cast("int") - 1]
             return F.when(least.isNull(), F.concat(tokens, F.lit(MARK))).otherwise(F.replace(tokens, pair, least))
 
         def step(tokens: Column, _: Column) -> Column:
-            short = F.transform(F.sequence(F.lit(1), F.length(tokens) - 1), lambda i: F.substring(tokens, i, F.lit(2)))
             each = F.split(tokens, "")
-            long = F.zip_with(each, F.slice(each, F.lit(2), F.size(each)), lambda a, b: F.concat(a, b))
-            neighbours = F.when(F.length(tokens) <= LONG, short).otherwise(long)
+            neighbours = F.zip_with(each, F.slice(each, F.lit(2), F.size(each)), lambda a, b: F.concat(a, b))
             more = F.aggregate(F.array(neighbours), tokens, joined)
             return F.when((F.length(tokens) == 1) | F.endswith(tokens, F.lit(MARK)), tokens).otherwise(more)
 
