@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -27,3 +28,12 @@ def test_query_equals_sql(spark, con, name):
     columns, rows = spark_rows(entry.queries()[name](spark, SF))
     assert (columns, rows) == duck_rows(con, entry.oracle_sql()[name])
     assert as_rows(columns, rows) == rows
+
+
+def test_streams_take_tables_of_several_files(spark, tmp_path):
+    con = duckdb.connect()
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{SF}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("stream_ingest", "stream_ext_counts", "stream_cached"):
+        assert spark_rows(QUERIES[name](spark, str(tmp_path))) == duck_rows(con, ORACLE[name])

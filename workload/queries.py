@@ -357,8 +357,7 @@ def stats_of_store(spark: SparkSession, sf: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as a stream of files into a store."""
     ws = Workspace(spark)
-    schema = v.table(spark, sf, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    stream = v.table_stream(spark, sf, "documents")
     store = Snapshot(spark, f"{ws.root}/store")
 
     def rows(batch: DataFrame) -> DataFrame:
@@ -373,8 +372,7 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 def _last_state(spark: SparkSession, sf: str, columns: list, counters, keys: list[str]) -> DataFrame:
     """The state of counters after the last batch of the events, from what each batch changed."""
     ws = Workspace(spark)
-    schema = v.table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = v.table_stream(spark, sf, "events")
     events = stream.select(F.col("user_id").cast("string").alias("scan_id"), F.col("ts").cast("timestamp").alias("event_time"),
                            F.lit("hashing").alias("phase"), *columns)
     changed = []

@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The files of a table as a stream, whether it is one file or a folder of them.
+
+    A stream takes a path without a pattern for a folder, so the path has one that only this name fits.
+    """
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def files_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text").cast("binary")
     kind = F.col("n_chars") % 5
