@@ -92,6 +92,29 @@ def test_near_fingerprints_of_unlike_texts_drop_nothing(spark, ws, drop):
     assert sorted(r["doc_id"] for r in drop(ws, docs).collect()) == [0, 1, 2]
 
 
+def test_stage_compares_what_fingerprints_link_and_nothing_of_it_again(spark, monkeypatch):
+    """Of a long text and versions of it with a word changed: they share three bits and four fifths of their shingles."""
+    rng = random.Random(15)
+    base = rng.choices([f"w{i}" for i in range(2000)], k=4000)
+    near = [base]
+    while len(near) < 4:
+        other = edited(rng, base, 1)
+        if ((simhash.fingerprint(" ".join(other)) ^ simhash.fingerprint(" ".join(base))) & (1 << 64) - 1).bit_count() <= 3:
+            near.append(other)
+    seen, confirmed = [], alike._confirmed
+
+    def kept(pairs, texts):
+        seen.append({(r["a"], r["b"]) for r in pairs.collect()})
+        return confirmed(pairs, texts)
+
+    monkeypatch.setattr(alike, "_confirmed", kept)
+    rows = [(i, " ".join(t)) for i, t in enumerate([*near, base])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()] == [0]
+    keys = set(alike.described([t for _, t in rows])["key"])
+    assert {k for pair in seen[0] for k in pair} == keys and not any(seen[1:])
+
+
 def template_group(rng, n, own):
     """Texts of 300 words that share a template, with ``own`` words of their own at a place of their own."""
     base = [f"t{i}" for i in range(300)]

@@ -24,6 +24,7 @@ space and ASCII letters count in lower case, as in ``simhash``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -208,10 +209,24 @@ def differing_pairs(apart: DataFrame) -> DataFrame:
             .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct())
 
 
-def alike_links(ws: Workspace, packed: DataFrame) -> DataFrame:
+def _still_apart(ws: Workspace, pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that the links ``known`` do not connect."""
+    roots = ws.save(connected_components(ws, known), "known_roots")
+    for end in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return pairs.where(F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True))).select("a", "b")
+
+
+def texts_of(ws: Workspace, packed: DataFrame, keys: DataFrame) -> DataFrame:
+    """``key`` and a text of each of ``keys``."""
+    return ws.save(packed.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
+
+
+def alike_links(ws: Workspace, packed: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Links (a, b) of like nodes that connect all nodes which chains of like ones connect.
 
-    ``packed`` has a row (key, n, bands, text) per row of the documents.
+    ``packed`` has a row (key, n, bands, text) per row of the documents. ``known`` are links of like nodes found before;
+    they are among the result, and what they connect is not compared with its centres again.
     """
     nodes = packed.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     members = ws.save(nodes.select("key", "n", F.posexplode("bands").alias("band", "bucket")), "members")
@@ -222,10 +237,11 @@ def alike_links(ws: Workspace, packed: DataFrame) -> DataFrame:
     weights = together.groupBy("key").agg(F.sum("nodes").alias("met"))
     centres = together.join(weights, "key").groupBy("bucket").agg(F.max_by("key", rank).alias("centre"))
     together = ws.save(together.join(centres, "bucket").select("bucket", "key", "n", "nodes", "centre"), "centred")
-    some = together.select("key").distinct()
-    texts = ws.save(packed.join(some, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
-    tried = ws.save(_pairs_of(together, "centre"), "tried")
+    texts = texts_of(ws, packed, together.select("key").distinct())
+    pairs = _pairs_of(together, "centre")
+    tried = ws.save(pairs if known is None else _still_apart(ws, pairs, known), "tried")
     links = ws.save(_confirmed(tried, texts), "links")
+    links = links if known is None else links.unionByName(known)
     apart = _apart(ws, together, links, "apart")
     found = [links, ws.save(_confirmed(small_pairs(apart).join(tried, ["a", "b"], "left_anti"), texts), "small_links")]
     large = apart.where(F.col("nodes") > SMALL)
@@ -241,20 +257,23 @@ def alike_links(ws: Workspace, packed: DataFrame) -> DataFrame:
     return links.unionByName(ws.save(_confirmed(rest, texts), "last_links"))
 
 
-def alike_roots(ws: Workspace, packed: DataFrame) -> DataFrame:
+def alike_roots(ws: Workspace, packed: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``key`` and ``root`` of the nodes that have like ones; all others are their own root."""
-    return ws.save(connected_components(ws, alike_links(ws, packed)), "alike").select(
+    return ws.save(connected_components(ws, alike_links(ws, packed, known)), "alike").select(
         F.col("node").alias("key"), "root")
 
 
-def one_of_each(ws: Workspace, docs: DataFrame) -> DataFrame:
+def one_of_each(ws: Workspace, docs: DataFrame, describe: Callable[[str], Column] = described_by,
+                known_links: Callable[[Workspace, DataFrame], DataFrame] | None = None) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with the row of the smallest id of each component of like texts.
 
-    Of several rows with that id one stays, and of a component without any id one row.
+    Of several rows with that id one stays, and of a component without any id one row. ``describe`` may give more fields
+    than ``described_by``; from them and the texts, ``known_links`` finds links of like nodes beforehand.
     """
     packed = ws.save(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id",
-                                 described_by("text").alias("d")).select("row", "doc_id", "d.*"), "packed")
-    roots = alike_roots(ws, packed.select("key", "n", "bands", F.col("row.text").alias("text")))
+                                 describe("text").alias("d")).select("row", "doc_id", "d.*"), "packed")
+    texts = packed.withColumn("text", F.col("row.text")).drop("row", "doc_id")
+    roots = alike_roots(ws, texts, known_links and known_links(ws, texts))
     rooted = (packed.groupBy("key").agg(F.min("doc_id").alias("first_id")).join(roots, "key", "left")
               .select("key", "first_id", F.coalesce("root", "key").alias("root")))
     rooted = ws.save(rooted, "rooted")

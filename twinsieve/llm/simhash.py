@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from twinsieve.llm.alike import alike_roots, described_by
+from twinsieve.llm import alike
 from twinsieve.llm.components import connected_components
 from twinsieve.llm.rows import struct_udf
 from twinsieve.plans.workspace import Workspace
@@ -179,21 +179,36 @@ def near_duplicates(ws: Workspace, docs: DataFrame, id_column: str = "doc_id", t
     return prints.join(near_components(ws, prints), "fp").select("doc_id", "fp", "component_id")
 
 
+def described(texts: list) -> dict[str, list]:
+    return alike.described(texts) | {"fp": [fingerprint(t) for t in texts]}
+
+
+def described_by(text: Column | str) -> Column:
+    """As ``alike.described_by``, with the fingerprint ``fp``."""
+    return struct_udf(described, "key bigint, n bigint, bands array<bigint>, fp bigint")(text)
+
+
+def near_alike_links(ws: Workspace, packed: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes that fingerprints link and whose texts are alike.
+
+    ``packed`` has a row (key, fp, text) per row of the documents. Of the nodes of one fingerprint each is compared with
+    the first, and the first ones of two linked fingerprints with each other.
+    """
+    nodes = ws.save(packed.select("key", "fp").distinct(), "printed")
+    first = ws.save(nodes.groupBy("fp").agg(F.min("key").alias("first")), "firsts")
+    ends = [first.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}")) for end in "ab"]
+    pairs = (near_links(ws, first).join(ends[0], "a").join(ends[1], "b").select("first_a", "first_b")
+             .unionByName(nodes.join(first, "fp").select(F.col("first").alias("first_a"), F.col("key").alias("first_b"))))
+    pairs = ws.save(pairs.where("first_a <> first_b").select(
+        F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")).distinct(), "near")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    return ws.save(alike._confirmed(pairs, alike.texts_of(ws, packed, keys)), "near_links")
+
+
 def one_of_each(ws: Workspace, docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text and any other columns) with the row of the smallest id of each group of near duplicates.
+    """``docs`` (doc_id, text and any other columns) with the row of the smallest id of each component of ``alike`` texts.
 
-    A group is a component's rows whose texts are ``alike`` or linked by such texts: near fingerprints alone drop no row.
-    Of several rows with the smallest id one stays, and of a group without any id one row.
+    What near fingerprints link is compared first: they alone drop no row. Then come the like texts whose fingerprints
+    are not near, so that no link of like texts is lost.
     """
-    packed = ws.save(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id",
-                                 fingerprints("text").alias("f"), described_by("text").alias("d"))
-                     .select("row", "doc_id", "f.fp", "d.*"), "packed")
-    components = near_components(ws, packed.select("doc_id", "fp")).select("fp", F.col("root").alias("near"))
-    roots = alike_roots(ws, packed.select("key", "n", "bands", F.col("row.text").alias("text")))
-    nodes = (packed.groupBy("key", "fp").agg(F.min("doc_id").alias("first_id")).join(components, "fp")
-             .join(roots, "key", "left").select("key", "fp", "near", "first_id", F.coalesce("root", "key").alias("root")))
-    nodes = ws.save(nodes, "groups")
-    ids = nodes.groupBy("near", "root").agg(F.min("first_id").alias("least_id"))
-    first = (packed.select("row", "doc_id", "key", "fp").join(nodes.join(ids, ["near", "root"]), ["key", "fp"])
-             .where(F.col("doc_id").eqNullSafe(F.col("least_id"))).dropDuplicates(["near", "root"]))
-    return first.select("row.*")
+    return alike.one_of_each(ws, docs, described_by, near_alike_links)
