@@ -63,6 +63,15 @@ def test_share_is_exact():
             assert alike.are_alike(alike.shingles(a), alike.shingles(b)) == want
 
 
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(17)
+    for n in (0, 1, 20, 300, 5000):
+        a, b = (np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for _ in range(2))
+        b = np.union1d(a[: n // 2], b)
+        bits = sum(int(x).bit_count() for x in (alike.sketch(a) ^ alike.sketch(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b)) and len(alike.sketch(a)) * 64 == alike.SKETCH_BITS
+
+
 def test_candidates_at_the_threshold():
     rng = np.random.default_rng(13)
     for _ in range(300):

@@ -16,6 +16,10 @@ Two texts are alike if they have at least four fifths of their distinct shingles
    in an order that puts what is added before what is missing, with enough differences after it. This is exact, and groups that share much but are not
    alike have next to no such pairs.
 
+Before their texts are read, pairs whose sketches differ in more bits than like texts' can are left out. A bit of a sketch
+is the parity of the number of shingles with that hash, so sketches differ in no more bits than sets in shingles: this
+is exact too.
+
 No key is capped, and only pairs that are alike are linked.
 
 A text of one to four words is one shingle. Null and empty texts have none and are alike. Words are split at ASCII white
@@ -41,6 +45,8 @@ WORDS = 5
 BANDS, BAND_ROWS = 32, 4
 #: Nodes of a key that are compared pair by pair, at most.
 SMALL = 16
+#: Bits of a sketch.
+SKETCH_BITS = 1024
 #: Centres of a group of like nodes, by band: flips of the order of keys.
 CENTRES = (0, 0x5555555555555555, 0x3333333333333333, 0x6996966969969669)
 _RANDOM = np.random.default_rng(5)
@@ -75,19 +81,29 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
                     np.uint64).view(np.int64)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parities of the numbers of hashes, by their last bits, as signed 64-bit integers."""
+    counts = np.bincount((hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def described(texts: list) -> dict[str, list]:
-    out: dict[str, list] = {"key": [], "n": [], "bands": []}
+    out: dict[str, list] = {"key": [], "n": [], "bands": [], "sketch": []}
     for text in texts:
         hashes = shingles(text)
         out["key"].append(int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 43)).view(np.int64)))
         out["n"].append(len(hashes))
         out["bands"].append(band_keys(hashes))
+        out["sketch"].append(sketch(hashes))
     return out
 
 
+DESCRIBED = "key bigint, n bigint, bands array<bigint>, sketch array<bigint>"
+
+
 def described_by(text: Column | str) -> Column:
-    """Struct of the ``key`` of a text's set of shingles, their number ``n`` and the keys ``bands`` of candidates."""
-    return struct_udf(described, "key bigint, n bigint, bands array<bigint>")(text)
+    """Struct of the ``key`` of a text's set of shingles, their number ``n``, the keys ``bands`` of candidates and the ``sketch``."""
+    return struct_udf(described, DESCRIBED)(text)
 
 
 def are_alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -114,6 +130,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(alike("text_a", "text_b")).select("a", "b")
 
 
+def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) without those that cannot be alike by their sizes or sketches."""
+    for end in "ab":
+        pairs = pairs.join(texts.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"),
+                                        F.col("sketch").alias(f"sketch_{end}")), end)
+    bits = F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differing = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+    return pairs.where((5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
+                       & (9 * differing <= F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def differences(text: Column | str, centre: Column | str) -> Column:
     """Struct of the shingles that a text has and the centre's text lacks (``added``), and of the reverse (``missing``)."""
 
@@ -218,14 +245,15 @@ def _still_apart(ws: Workspace, pairs: DataFrame, known: DataFrame) -> DataFrame
 
 
 def texts_of(ws: Workspace, packed: DataFrame, keys: DataFrame) -> DataFrame:
-    """``key`` and a text of each of ``keys``."""
-    return ws.save(packed.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
+    """``key``, ``n``, ``sketch`` and a text of each of ``keys``."""
+    return ws.save(packed.join(keys, "key", "left_semi").groupBy("key").agg(
+        *[F.first(c).alias(c) for c in ("n", "sketch", "text")]), "texts")
 
 
 def alike_links(ws: Workspace, packed: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Links (a, b) of like nodes that connect all nodes which chains of like ones connect.
 
-    ``packed`` has a row (key, n, bands, text) per row of the documents. ``known`` are links of like nodes found before;
+    ``packed`` has a row (key, n, bands, sketch, text) per row of the documents. ``known`` are links of like nodes found before;
     they are among the result, and what they connect is not compared with its centres again.
     """
     nodes = packed.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -239,21 +267,22 @@ def alike_links(ws: Workspace, packed: DataFrame, known: DataFrame | None = None
     together = ws.save(together.join(centres, "bucket").select("bucket", "key", "n", "nodes", "centre"), "centred")
     texts = texts_of(ws, packed, together.select("key").distinct())
     pairs = _pairs_of(together, "centre")
-    tried = ws.save(pairs if known is None else _still_apart(ws, pairs, known), "tried")
+    tried = ws.save(_possible(pairs if known is None else _still_apart(ws, pairs, known), texts), "tried")
     links = ws.save(_confirmed(tried, texts), "links")
     links = links if known is None else links.unionByName(known)
     apart = _apart(ws, together, links, "apart")
-    found = [links, ws.save(_confirmed(small_pairs(apart).join(tried, ["a", "b"], "left_anti"), texts), "small_links")]
+    few = ws.save(_possible(small_pairs(apart).join(tried, ["a", "b"], "left_anti"), texts), "few")
+    found = [links, ws.save(_confirmed(few, texts), "small_links")]
     large = apart.where(F.col("nodes") > SMALL)
     if large.isEmpty():
         return links.unionByName(found[1])
     described = ws.save(from_common_text(ws, large, texts), "described")
-    again = ws.save(_pairs_of(described, "second").join(tried, ["a", "b"], "left_anti"), "tried_again")
+    again = ws.save(_possible(_pairs_of(described, "second").join(tried, ["a", "b"], "left_anti"), texts), "tried_again")
     found.append(ws.save(_confirmed(again, texts), "second_links"))
     links = reduce(DataFrame.unionByName, found)
     apart = _apart(ws, described, links, "still_apart")
     done = tried.unionByName(again)
-    rest = ws.save(differing_pairs(apart).join(done, ["a", "b"], "left_anti"), "differing")
+    rest = ws.save(_possible(differing_pairs(apart).join(done, ["a", "b"], "left_anti"), texts), "differing")
     return links.unionByName(ws.save(_confirmed(rest, texts), "last_links"))
 
 

@@ -185,13 +185,13 @@ def described(texts: list) -> dict[str, list]:
 
 def described_by(text: Column | str) -> Column:
     """As ``alike.described_by``, with the fingerprint ``fp``."""
-    return struct_udf(described, "key bigint, n bigint, bands array<bigint>, fp bigint")(text)
+    return struct_udf(described, f"{alike.DESCRIBED}, fp bigint")(text)
 
 
 def near_alike_links(ws: Workspace, packed: DataFrame) -> DataFrame:
     """Links (a, b) of nodes that fingerprints link and whose texts are alike.
 
-    ``packed`` has a row (key, fp, text) per row of the documents. Of the nodes of one fingerprint each is compared with
+    ``packed`` has a row (key, n, sketch, fp, text) per row of the documents. Of the nodes of one fingerprint each is compared with
     the first, and the first ones of two linked fingerprints with each other.
     """
     nodes = ws.save(packed.select("key", "fp").distinct(), "printed")
@@ -202,7 +202,8 @@ def near_alike_links(ws: Workspace, packed: DataFrame) -> DataFrame:
     pairs = ws.save(pairs.where("first_a <> first_b").select(
         F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")).distinct(), "near")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    return ws.save(alike._confirmed(pairs, alike.texts_of(ws, packed, keys)), "near_links")
+    texts = alike.texts_of(ws, packed, keys)
+    return ws.save(alike._confirmed(alike._possible(pairs, texts), texts), "near_links")
 
 
 def one_of_each(ws: Workspace, docs: DataFrame) -> DataFrame:
