@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -128,3 +129,12 @@ def test_counts_of_long_pre_tokens(spark, ws, library):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(ws, docs, WORD_BPE).collect()}
     assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_a_task_of_the_pipeline_leaves_no_tables_in_its_worker(own):
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["the cat sat", "the cat, 17!"]})
+    got = pa.Table.from_batches(bpe.encoded_batches(WORD_BPE, iter([batch]))).to_pylist()
+    assert [r["ids"] for r in got] == own.encode_all(["the cat sat", "the cat, 17!"])
+    own.forget()
+    list(bpe.encoded_batches(WORD_BPE, iter([batch])))
+    assert not own.runs and not own.runs.old and not own.pieces and not own.pieces.old

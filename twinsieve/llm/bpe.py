@@ -21,7 +21,8 @@ import heapq
 import json
 import struct
 import unicodedata
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +117,12 @@ class WordBpe:
         self.runs = Memo(self.encode_run)
         self.pieces = Memo(lambda piece: self.encode_pieces([piece])[0])
 
+    def forget(self) -> None:
+        """Empty the tables of encoded runs and pieces."""
+        for table in (self.runs, self.pieces):
+            table.clear()
+            table.old = {}
+
     def split_symbols(self, token: str) -> list[str]:
         """The bytes' symbols of a token; the last one carries the word end, if any."""
         if token.endswith(self.end) and len(token) > len(self.end):
@@ -323,14 +330,10 @@ def loaded(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id``, ``ids`` (little-endian unsigned 32-bit integers), ``n_tokens`` and ``decoded``, what they decode to.
-
-    Results are several times as large as the texts, so they leave a worker in parts of ``PART_ROWS`` rows.
-    """
-
-    def batches(incoming):
-        bpe = loaded(path)
+def encoded_batches(path: str, incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ids of texts, their numbers and what they decode to, of batches of (doc_id, text), for one task."""
+    bpe = loaded(path)
+    try:
         for batch in incoming:
             for at in range(0, batch.num_rows, PART_ROWS):
                 part = batch.slice(at, PART_ROWS)
@@ -338,9 +341,20 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()),
                      pa.array(map(bpe.decode, ids), pa.string())], names=["doc_id", "ids", "n_tokens", "decoded"])
+    finally:
+        # The worker lives on and serves other steps.
+        bpe.forget()
+
+
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id``, ``ids`` (little-endian unsigned 32-bit integers), ``n_tokens`` and ``decoded``, what they decode to.
+
+    Results are several times as large as the texts, so they leave a worker in parts of ``PART_ROWS`` rows. A task's tables go
+    at its end.
+    """
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        batches, "doc_id bigint, ids binary, n_tokens bigint, decoded string")
+        partial(encoded_batches, path), "doc_id bigint, ids binary, n_tokens bigint, decoded string")
 
 
 def decoded(ids: Column | str, path: str) -> Column:
