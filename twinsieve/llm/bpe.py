@@ -118,10 +118,11 @@ class WordBpe:
         self.pieces = Memo(lambda piece: self.encode_pieces([piece])[0])
 
     def forget(self) -> None:
-        """Empty the tables of encoded runs and pieces."""
+        """Empty the tables of encoded runs and pieces, and give back what Arrow holds unused."""
         for table in (self.runs, self.pieces):
             table.clear()
             table.old = {}
+        pa.default_memory_pool().release_unused()
 
     def split_symbols(self, token: str) -> list[str]:
         """The bytes' symbols of a token; the last one carries the word end, if any."""
@@ -352,7 +353,6 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     Results are several times as large as the texts, so they leave a worker in parts of ``PART_ROWS`` rows. A task's tables go
     at its end.
     """
-
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         partial(encoded_batches, path), "doc_id bigint, ids binary, n_tokens bigint, decoded string")
 
