@@ -91,3 +91,35 @@ def test_query(spark, tmp_path, library):
             want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
                          hashlib.sha256((text or "").encode()).hexdigest()))
         assert sorted(map(tuple, op11_byte_bpe(spark, f"{tmp_path}/{name}").collect())) == want
+
+
+def test_frequent_words_have_slots_and_the_table_is_not_copied(spark, ws, library, own):
+    """Of the words of a slot the most frequent one is in the head, which stands in no row and in no text of the plan."""
+    words = [(" " + chr(97 + i // 20) + chr(97 + i % 20) + "qx", 2 + i) for i in range(300)]
+    docs = spark.createDataFrame([(1, w * n) for w, n in words], "doc_id bigint, text string")
+    head = own.head(ws, docs, 64)
+    table = head.table.head()["head"]
+    counts = dict(words)
+    first = [[w for w, half in own_slots(spark, head, counts) if half == i] for i in range(head.size)]
+    for i, rivals in enumerate(first):
+        assert table["words"][i] == (max(rivals, key=counts.get) if rivals else None)
+    assert len(table["words"]) == 2 * head.size <= 64
+    assert all(ids == (library.encode_ordinary(w) if w else None) for w, ids in zip(table["words"], table["ids"]))
+    tokens = head.beside(docs, "table").select(own.encode("text", head, F.col("table")).alias("ids"))
+    plan = tokens._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("Project") == 1
+    assert "qx" not in plan.toString()
+    assert sorted(r["ids"] for r in tokens.collect()) == sorted(library.encode_ordinary(w * n) for w, n in words)
+
+
+def own_slots(spark, head, words):
+    rows = spark.createDataFrame([(w,) for w in words], "word string")
+    return [tuple(r) for r in rows.select("word", head.slots(F.col("word"))[0]).collect()]
+
+
+def test_short_words_are_merged_from_the_left(spark, own, library):
+    """Equal ranks in one word: the first place is merged first, as places are compared after ranks."""
+    words = [c * n for c in "aelo0.= " for n in range(1, byte_bpe.LONG + 1)] + ["ananananas", "abababab", "lalalala", "ñññññ"]
+    rows = spark.createDataFrame([(w,) for w in words], "word string").select("word", own.encode_word(F.col("word")).alias("ids"))
+    for row in rows.collect():
+        assert row["ids"] == library._core_bpe.encode_single_piece(row["word"].encode()), row["word"]
