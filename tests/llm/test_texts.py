@@ -4,6 +4,7 @@ import math
 import random
 import re
 import string
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -436,3 +437,15 @@ def test_no_items(spark, ws):
     assert [r["items"] for r in phrases.find_passages(ws, docs, items).collect()] == [[], []]
     assert phrases.without_contaminated(ws, docs, items).count() == 2
     assert phrases.find_passages(ws, docs.limit(0), items).count() == 0
+
+
+def test_fit_takes_little_memory():
+    """The driver holds the rated texts' buckets in one array, and at no time in wider numbers."""
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 20_000, 300)).astype(np.int32) for _ in range(20_000)]
+    grades = rng.integers(0, 3, len(rows))
+    tracemalloc.start()
+    quality.fit(rows, grades, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * sum(r.nbytes for r in rows) + 5 * 8 * quality.DIMENSIONS

@@ -24,6 +24,7 @@ from operator import eq
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,19 +113,23 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, epochs: i
     if not rows:
         model.thresholds = np.full(n_grades - 1, -8.0) + np.arange(n_grades - 1)
         return model
-    texts = np.bincount(np.concatenate(rows), minlength=DIMENSIONS)
+    # One array for all texts: the memory of many small ones stays with the process when they are gone.
+    kept, ends = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+    texts = sum(np.bincount(part, minlength=DIMENSIONS) for part in np.array_split(kept, 16))
     used = np.flatnonzero(texts >= MIN_TEXTS)
-    place = np.full(DIMENSIONS, -1)
+    place = np.full(DIMENSIONS, -1, np.int32)
     place[used] = np.arange(len(used))
-    kept = [p[p >= 0] for p in (place[r] for r in rows)]
+    kept = place[kept]
+    known = kept >= 0
+    kept, ends = kept[known], np.cumsum([0, *(np.count_nonzero(known[a:b]) for a, b in zip(ends, ends[1:]))])
     w, seen, seen_t = np.zeros(len(used)), np.full(len(used), 1e-3), np.full(n_grades - 1, 1e-3)
     low = np.concatenate([[-np.inf], thresholds])
     order = np.random.default_rng(0).permutation(len(rows))
     for epoch in range(epochs):
         for at in range(0, len(order), batch):
             some = order[at:at + batch]
-            sizes = np.array([len(kept[i]) for i in some])
-            columns = np.concatenate([kept[i] for i in some])
+            sizes = ends[some + 1] - ends[some]
+            columns = np.concatenate([kept[ends[i]:ends[i + 1]] for i in some])
             owner = np.repeat(np.arange(len(some)), sizes)
             scores = np.bincount(owner, w[columns], len(some))
             y = grades[some]
@@ -177,7 +182,10 @@ def fit_on(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS, n_grad
     order = got.sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("key", "ascending")]).combine_chunks()
     lists = order["buckets"].chunk(0) if order.num_rows else None
     parts = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py()) if lists else []
-    return fit_with_limit(parts, order["grade"].to_numpy().astype(int), n_grades)
+    model = fit_with_limit(parts, order["grade"].to_numpy().astype(int), n_grades)
+    del got, order, lists, parts
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def graded(model: OrdinalModel, text: Column | str, least: float | None = None) -> Column:
